@@ -12,12 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ENTITY, _DAY, _NO = "__entity", "__day", "__no"
+_ENTITY, _DAY, _NO = ("__entity1", "__entity2"), "__day", "__no"
 
 
-def _entity(keys: Sequence[Column]) -> Column:
-    """All keys in one binary value that equals only for equal keys, nulls included."""
-    return F.to_json(F.array(*[k.cast("string") for k in keys]))
+def _entity(keys: Sequence[Column]) -> list[Column]:
+    """All keys in 128 bits of hash, nulls told apart from any text."""
+    said = [F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("-")) for k in keys]
+    return [F.xxhash64(F.lit(seed), *said).alias(name) for seed, name in enumerate(_ENTITY)]
 
 
 def attributes_as_of(
@@ -51,31 +52,29 @@ def attributes_as_of(
     """
     by_order = F.coalesce(order.cast("string"), F.lit(""))
     rows = attributes.select(
-        F.xxhash64(_entity(attribute_keys)).alias("__h"),
-        _entity(attribute_keys).alias(_ENTITY),
+        *_entity(attribute_keys),
         F.to_date(known_time).alias(_DAY),
         by_order.alias("__order"),
         F.col(attribute_id).alias("id"),
         *[F.col(c).alias(c) for c in carry],
     ).where(F.col(_DAY).isNotNull())
-    asked = events.select(F.col(event_id), _entity(event_keys).alias(_ENTITY), F.to_date(event_time).alias(_DAY)).where(F.col(_DAY).isNotNull())
+    asked = events.select(F.col(event_id), *_entity(event_keys), F.to_date(event_time).alias(_DAY)).where(F.col(_DAY).isNotNull())
 
+    # Both ends of a day in one array: the two uses below then read the same columns, and one exchange serves both.
     wide = F.struct("id", *carry)
-    versions = rows.drop("__h").groupBy(_ENTITY, _DAY).agg(
-        F.min_by(wide, F.struct("__order", "id")).alias("first"),
-        F.max_by(wide, F.struct(F.col("__order"), -F.col("id"))).alias("last"),
-    )
-    days = asked.select(_ENTITY, _DAY).distinct()
-    versions = versions.join(days.select(_ENTITY).distinct(), _ENTITY, "left_semi")
+    first = F.min_by(wide, F.struct("__order", "id"))
+    last = F.max_by(wide, F.struct(F.col("__order"), -F.col("id")))
+    versions = rows.groupBy(*_ENTITY, _DAY).agg(F.array(first, last).alias("both"))
+    days = asked.select(*_ENTITY, _DAY).distinct()
+    versions = versions.join(days.select(*_ENTITY).distinct(), [*_ENTITY], "left_semi")
 
-    timeline = versions.select(_ENTITY, _DAY, F.lit(1).alias("change"), "first", "last").unionByName(
-        days.select(_ENTITY, _DAY, F.lit(0).alias("change")), allowMissingColumns=True
+    timeline = versions.select(*_ENTITY, _DAY, F.lit(1).alias("change"), "both").unionByName(
+        days.select(*_ENTITY, _DAY, F.lit(0).alias("change")), allowMissingColumns=True
     )
-    until = Window.partitionBy(_ENTITY).orderBy(_DAY, F.desc("change")).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = timeline.withColumn(_NO, F.sum("change").over(until))
+    until = Window.partitionBy(*_ENTITY).orderBy(_DAY, F.desc("change")).rowsBetween(Window.unboundedPreceding, 0)
     # The first version of an entity is the same for all its events: it travels along the window.
-    numbered = numbered.withColumn("reported", F.first("first", ignorenulls=True).over(until))
-    of_days = numbered.where((F.col("change") == 0) & (F.col(_NO) > 0)).select(_ENTITY, _DAY, _NO, "reported")
-    by_no = numbered.where("change = 1").select(_ENTITY, _NO, F.col("last").alias("restated"))
-    known = of_days.join(by_no, [_ENTITY, _NO]).select(_ENTITY, _DAY, "reported", "restated")
-    return asked.join(known, [_ENTITY, _DAY]).select(event_id, "reported", "restated")
+    numbered = timeline.withColumn(_NO, F.sum("change").over(until)).withColumn("start", F.first("both", ignorenulls=True).over(until))
+    of_days = numbered.where((F.col("change") == 0) & (F.col(_NO) > 0)).select(*_ENTITY, _DAY, _NO, F.col("start")[0].alias("reported"))
+    by_no = numbered.where("change = 1").select(*_ENTITY, _NO, F.col("both")[1].alias("restated"))
+    known = of_days.join(by_no, [*_ENTITY, _NO]).select(*_ENTITY, _DAY, "reported", "restated")
+    return asked.join(known, [*_ENTITY, _DAY]).select(event_id, "reported", "restated")
