@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["split", "tokens", "packing", "repetition"]
+_MODULES = ["split", "tokens", "packing", "repetition", "markup"]
 
 
 def registries() -> list:
