@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["split", "tokens", "packing", "repetition", "markup", "boilerplate", "neardup"]
+_MODULES = ["split", "tokens", "packing", "repetition", "markup", "boilerplate", "neardup", "survivors", "ranking"]
 
 
 def registries() -> list:
