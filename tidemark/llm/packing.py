@@ -90,7 +90,8 @@ def pack(
         return pdf[["container_id", id_col, "piece_no", "token_start", "token_end"]]
 
     kind = dict(sized.dtypes)[id_col]
-    return pieces.groupBy("shard").applyInPandas(place, f"container_id bigint, {id_col} {kind}, piece_no int, token_start bigint, token_end bigint")
+    # A fixed number of partitions, which adaptive execution does not coalesce: shards are small in bytes, not in work.
+    return pieces.repartition(min(shards, 10_000), "shard").groupBy("shard").applyInPandas(place, f"container_id bigint, {id_col} {kind}, piece_no int, token_start bigint, token_end bigint")
 
 
 @query("p9_containers")
