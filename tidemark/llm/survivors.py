@@ -39,7 +39,7 @@ def copies(
     recency: str = "filed",
     trust: str = "loaded_at",
 ) -> DataFrame:
-    """Kinds of rows that state one figure out of one filing, with the group they belong to.
+    """Kinds of rows that state one figure out of one filing, with the group they belong to; rows that are alone do not come out.
 
     One row for each group, day, value, filing and set of filled fields that occurs: ``group`` (a key within this
     result), the ``days``, ``val``, ``accn`` (normalised), ``mask`` (which of ``filled`` are), ``n`` rows, ``id`` the
@@ -85,6 +85,8 @@ def copies(
         w = Window.partitionBy("figure", "seg")
         joined = F.max(F.col("accn").isNull()).over(w)
         parted = parted.withColumn("seg", F.xxhash64("seg", F.when(joined, F.lit(0).cast("bigint")).otherwise(F.col("accn"))))
+    # Rows that are alone go before anything else is shuffled.
+    parted = parted.withColumn("__all", F.sum("n").over(Window.partitionBy("figure", "seg"))).where("__all > 1").drop("__all")
     return parted.withColumn("group", F.struct("figure", "seg")).drop("figure", "seg")
 
 
@@ -98,7 +100,7 @@ def _facts_copies(facts: DataFrame) -> DataFrame:
 
 
 def survivors(kinds: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """``group_id``, ``n_rows``, ``best_id``, ``layers`` and for each of ``fields`` the id of the row that gives it, of groups of two rows or more.
+    """``group_id``, ``n_rows``, ``best_id``, ``layers`` and for each of ``fields`` the id of the row that gives it, of each group.
 
     A row is a point of completeness (number of filled fields), recency (``d1``, the second day) and trust. The first
     layer are the points that no other dominates (as good in all three and better in one), the second those that then
@@ -110,7 +112,7 @@ def survivors(kinds: DataFrame, fields: Sequence[str]) -> DataFrame:
     """
     points = kinds.groupBy("group", "mask", "d1").agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.max("best").alias("best"))
     point = F.struct(F.bit_count("mask").alias("filled"), F.col("d1").alias("day"), F.col("best.trust").alias("trust"), F.col("best.i").alias("i"), "mask")
-    groups = points.groupBy("group").agg(F.sum("n").alias("n_rows"), F.min("id").alias("group_id"), F.sort_array(F.collect_list(point), asc=False).alias("p")).where("n_rows > 1")
+    groups = points.groupBy("group").agg(F.sum("n").alias("n_rows"), F.min("id").alias("group_id"), F.sort_array(F.collect_list(point), asc=False).alias("p"))
     # In this order a point comes after all that dominate it: its layer is one more than the last of these.
     beats = lambda q, p: (q["filled"] >= p["filled"]) & (q["day"] >= p["day"]) & (q["trust"] >= p["trust"]) & ((q["filled"] > p["filled"]) | (q["day"] > p["day"]) | (q["trust"] > p["trust"]))
     start = F.expr("cast(array() as array<struct<filled:int,day:int,trust:timestamp,i:bigint,mask:int,layer:int>>)")
