@@ -22,9 +22,11 @@ def positions(df: DataFrame, by: Sequence[str], order: str, part: int = PART) ->
     numbered each on its own and moved up by what the parts before hold, so no task sorts a whole list.
     """
     counts = df.groupBy(*by, order).agg(F.count(F.lit(1)).alias("ties"))
-    cuts = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("__m"), F.percentile_approx(order, F.array(*[F.lit(k / 64) for k in range(1, 64)]), 10_000).alias("__q"))
-    cuts = cuts.select(*by, F.when(F.col("__m") > part, F.col("__q")).otherwise(F.slice("__q", 1, 0)).alias("__q"))
-    parted = counts.join(cuts, [*by]).withColumn("__part", F.size(F.filter("__q", lambda q: q < F.col(order)))).drop("__q")
+    # Most lists are short: only of the others are quantiles taken.
+    long = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > part).select(*by)
+    cuts = counts.join(long, [*by], "left_semi").groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(k / 64) for k in range(1, 64)]), 1_000).alias("__q"))
+    nth = F.coalesce(F.size(F.filter("__q", lambda q: q < F.col(order))), F.lit(0))
+    parted = counts.join(cuts, [*by], "left").withColumn("__part", F.when(F.col("__q").isNull(), 0).otherwise(nth)).drop("__q")
     sums = parted.groupBy(*by, "__part").agg(F.sum("ties").alias("__s"))
     w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "__part", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__base"))
