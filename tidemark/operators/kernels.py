@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.operators.text import locate, markup_text, passages
 from tidemark.session import ship
 
@@ -18,7 +19,7 @@ def rows_of(df: DataFrame, f: Callable[..., Iterable[tuple]], schema: str) -> Da
     from pyspark.sql.types import StructType
 
     ship(df.sparkSession)
-    names = [p.split()[0] for p in _fields(schema)]
+    names = schemas.names(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -35,17 +36,6 @@ def rows_of(df: DataFrame, f: Callable[..., Iterable[tuple]], schema: str) -> Da
     return df.mapInArrow(run, schema)
 
 
-def _fields(schema: str) -> list[str]:
-    """Top-level fields of a DDL schema."""
-    parts, depth, start = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            parts.append(schema[start:i].strip())
-            start = i + 1
-    return [*parts, schema[start:].strip()]
-
-
 def normalized(pages: DataFrame, *, id_col: str, raw: str = "html") -> DataFrame:
     """``id_col`` and the ``text`` of each page; null stays null."""
     kind = dict(pages.dtypes)[id_col]

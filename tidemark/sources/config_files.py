@@ -1,0 +1,164 @@
+"""Registries and evaluation sets in YAML: small, read and validated on the driver, then tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections import Counter
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark import schemas
+from tidemark.operators.text.locate import RANK
+
+# The words that evaluation files may use.
+ARCHETYPES, SPLITS, GRADES, SCOPES = ("lexical", "semantic", "entity", "peer"), ("dev", "blind"), (0, 1, 2), ("all", "lenders")
+
+
+class ConfigError(ValueError):
+    """Everything that is wrong with a file, not only the first of it."""
+
+    def __init__(self, name: str, problems: list[str]) -> None:
+        super().__init__(f"{name}: " + "; ".join(problems))
+        self.problems = problems
+
+
+def _load(path: str | Path, *, missing_ok: bool = False) -> Any:
+    import yaml
+
+    p = Path(path)
+    if missing_ok and not p.exists():
+        return []
+    return yaml.safe_load(p.read_text(encoding="utf-8")) or []
+
+
+def _repeated(values: list) -> list:
+    return sorted(str(v) for v, n in Counter(values).items() if n > 1)
+
+
+def read_companies(spark: SparkSession, path: str | Path) -> DataFrame:
+    """The companies in the order of the file, which is kept as ``ordinal``."""
+    data = _load(path)
+    rows = data.get("companies", []) if isinstance(data, dict) else data
+    problems, out = [], []
+    for n, r in enumerate(rows):
+        where = f"company {n + 1}"
+        cik = str(r.get("cik", "")).upper().removeprefix("CIK").strip()
+        if not cik.isdigit() or int(cik) == 0 or len(cik.lstrip("0")) > 10:
+            problems.append(f"{where}: no company key {r.get('cik')!r}")
+            continue
+        if not isinstance(r.get("lender", False), bool):
+            problems.append(f"{where}: lender must be true or false")
+        if not r.get("ticker"):
+            problems.append(f"{where}: no ticker")
+        out.append((n, str(r.get("ticker", "")).strip().upper(), f"{int(cik):010d}", r.get("name"), r.get("group"), bool(r.get("lender", False))))
+    problems += [f"{what} {v} twice" for what, k in (("ticker", 1), ("cik", 2)) for v in _repeated([r[k] for r in out])]
+    if not rows:
+        problems.append("no companies")
+    if problems:
+        raise ConfigError(str(path), problems)
+    return spark.createDataFrame(out, schemas.COMPANIES)
+
+
+def read_concepts(spark: SparkSession, path: str | Path) -> DataFrame:
+    """One row for each candidate tag of a concept, in the order of preference."""
+    data = _load(path)
+    concepts = data.get("concepts", {}) if isinstance(data, dict) else {}
+    problems, out = [], []
+    for name, c in concepts.items():
+        tags = c.get("candidates") or []
+        if c.get("rule", "first_available") != "first_available":
+            problems.append(f"{name}: unknown rule {c.get('rule')!r}")
+        if c.get("applies_to", "all") not in SCOPES:
+            problems.append(f"{name}: applies_to must be one of {SCOPES}")
+        if c.get("period_type") not in ("instant", "duration"):
+            problems.append(f"{name}: period_type must be instant or duration")
+        if not tags:
+            problems.append(f"{name}: no candidates")
+        problems += [f"{name}: candidate {t} twice" for t in _repeated(tags)]
+        out += [(name, c.get("label"), c.get("applies_to", "all"), c.get("unit"), c.get("period_type"), k, t) for k, t in enumerate(tags)]
+    if not concepts:
+        problems.append("no concepts")
+    if problems:
+        raise ConfigError(str(path), problems)
+    return spark.createDataFrame(out, schemas.CONCEPTS)
+
+
+def validate_questions(questions: list[dict], vocabulary: dict[str, set]) -> list[str]:
+    """All problems of a list of questions: repeated ids, unknown words, scopes that the manifest does not have, bad passages."""
+    problems = [f"question {q} twice" for q in _repeated([q.get("id") for q in questions])]
+    for q in questions:
+        name = q.get("id", "?")
+        if not str(q.get("question", "")).strip():
+            problems.append(f"{name}: no text")
+        for field, words in (("archetype", ARCHETYPES), ("split", SPLITS)):
+            if q.get(field) not in words:
+                problems.append(f"{name}: {field} must be one of {words}")
+        scope = q.get("scope") or {}
+        for field, known in (("tickers", "ticker"), ("fiscal_years", "fiscal_year"), ("items", "item")):
+            have = vocabulary.get(known, set())
+            problems += [f"{name}: unknown {known} {v}" for v in scope.get(field) or [] if str(v) not in have]
+        problems += [f"{name}: item {v} is none" for v in scope.get("items") or [] if str(v).upper() not in RANK]
+        if q.get("archetype") == "peer" and len(scope.get("tickers") or []) < 2:
+            problems.append(f"{name}: a peer question needs two companies or more")
+        for n, g in enumerate(q.get("gold") or [], 1):
+            a, z = g.get("char_start", -1), g.get("char_end", -1)
+            if not 0 <= a < z:
+                problems.append(f"{name}: gold {n} is empty or negative")
+            if g.get("grade") not in GRADES:
+                problems.append(f"{name}: gold {n} has grade {g.get('grade')!r}")
+            if not g.get("accession"):
+                problems.append(f"{name}: gold {n} has no accession")
+    return problems
+
+
+def _day(v: Any) -> dt.date | None:
+    return v if isinstance(v, dt.date) else dt.date.fromisoformat(v) if v else None
+
+
+def read_questions(spark: SparkSession, path: str | Path, vocabulary: dict[str, set]) -> tuple[DataFrame, DataFrame]:
+    """Questions, and their gold passages."""
+    data = _load(path)
+    rows = data.get("questions", []) if isinstance(data, dict) else data
+    if problems := validate_questions(rows, vocabulary):
+        raise ConfigError(str(path), problems)
+    questions, gold = [], []
+    for q in rows:
+        s = q.get("scope") or {}
+        questions.append((q["id"], q["question"], q.get("persona"), q["archetype"], q["split"], list(s.get("tickers") or []), list(s.get("fiscal_years") or []), list(s.get("items") or []), _day(q.get("written_on"))))
+        for g in q.get("gold") or []:
+            gold.append((q["id"], g["accession"], g["char_start"], g["char_end"], g["grade"], g.get("document"), g.get("source"), g.get("filing_sha256"), _day(g.get("labelled_on")) or _day(q.get("written_on"))))
+    schema = "id string, question string, persona string, archetype string, split string, tickers array<string>, fiscal_years array<int>, items array<string>, written_on date"
+    return spark.createDataFrame(questions, schema), spark.createDataFrame(gold, schemas.SPANS)
+
+
+def read_records(spark: SparkSession, path: str | Path, what: str) -> DataFrame:
+    """Judgments, rechecks or failures; a missing file has none."""
+    schema = {
+        "judgments": "question string, accession string, char_start bigint, char_end bigint, grade int, judged_on date, document string",
+        "rechecks": "question string, accession string, char_start bigint, char_end bigint, regrade int, rechecked_on date",
+        "failures": "question string, cause string, config string, note string",
+    }[what]
+    data = _load(path, missing_ok=True)
+    rows = data.get(what, []) if isinstance(data, dict) else data
+    names = [f.split()[0] for f in schema.split(", ")]
+    problems = [f"{what} {n}: no {k}" for n, r in enumerate(rows, 1) for k in ("question",) if not r.get(k)]
+    problems += [f"{what} {n}: bad grade" for n, r in enumerate(rows, 1) for k in ("grade", "regrade") if k in names and r.get(k) not in GRADES]
+    if problems:
+        raise ConfigError(str(path), problems)
+    return spark.createDataFrame([tuple(_day(r.get(n)) if n.endswith("_on") else r.get(n) for n in names) for r in rows], schema)
+
+
+def append_records(path: str | Path, what: str, rows: list[dict], header: str = "") -> None:
+    """Write a machine-owned file anew with more rows; its leading comment stays."""
+    import yaml
+
+    p = Path(path)
+    before = p.read_text(encoding="utf-8") if p.exists() else header
+    head = "".join(line for line in before.splitlines(keepends=True) if line.startswith("#"))
+    data = _load(p, missing_ok=True)
+    old = data.get(what, []) if isinstance(data, dict) else data
+    partial = p.with_suffix(p.suffix + ".partial")
+    partial.write_text(head + yaml.safe_dump({what: [*old, *rows]}, sort_keys=False, allow_unicode=True), encoding="utf-8")
+    partial.replace(p)
