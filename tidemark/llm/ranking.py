@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import Registry, table
+from tidemark.session import checkpointed
 
 query = Registry()
 
@@ -18,21 +19,26 @@ PART = 100_000
 def positions(df: DataFrame, by: Sequence[str], order: str, part: int = PART) -> DataFrame:
     """``df`` with ``before``: how many rows of the same ``by`` have a smaller ``order``, and ``ties``: how many the same (itself too).
 
-    Equal values are counted on the map side first. Values of a long list are cut at approximate quantiles into parts,
-    numbered each on its own and moved up by what the parts before hold, so no task sorts a whole list.
+    ``df`` should be cheap to read again. Equal values are counted on the map side first. Where there are lists of more
+    than ``part`` different values, lists are cut at approximate quantiles into parts, numbered each on its own and moved up
+    by what the parts before hold, so that no task sorts a whole long list; the numbers are the same either way.
     """
     counts = df.groupBy(*by, order).agg(F.count(F.lit(1)).alias("ties"))
-    # Most lists are short: only of the others are quantiles taken.
-    long = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > part).select(*by)
-    cuts = counts.join(long, [*by], "left_semi").groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(k / 64) for k in range(1, 64)]), 1_000).alias("__q"))
-    nth = F.coalesce(F.size(F.filter("__q", lambda q: q < F.col(order))), F.lit(0))
-    parted = counts.join(cuts, [*by], "left").withColumn("__part", F.when(F.col("__q").isNull(), 0).otherwise(nth)).drop("__q")
-    sums = parted.groupBy(*by, "__part").agg(F.sum("ties").alias("__s"))
-    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, "__part", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__base"))
-    w = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = parted.withColumn("__in", F.coalesce(F.sum("ties").over(w), F.lit(0))).join(sums, [*by, "__part"])
-    return df.join(placed.select(*by, order, (F.col("__base") + F.col("__in")).alias("before"), "ties"), [*by, order])
+    long = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > part)
+    upto = Window.unboundedPreceding, -1
+    if long.isEmpty():
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(*upto)
+        placed = counts.withColumn("before", F.coalesce(F.sum("ties").over(w), F.lit(0)))
+    else:
+        counts = checkpointed(counts)
+        cuts = counts.join(long.select(*by), [*by], "left_semi").groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(k / 64) for k in range(1, 64)]), 1_000).alias("__q"))
+        nth = F.coalesce(F.size(F.filter("__q", lambda q: q < F.col(order))), F.lit(0))
+        parted = checkpointed(counts.join(cuts, [*by], "left").withColumn("__part", F.when(F.col("__q").isNull(), 0).otherwise(nth)).drop("__q"))
+        w = Window.partitionBy(*by).orderBy("__part").rowsBetween(*upto)
+        sums = parted.groupBy(*by, "__part").agg(F.sum("ties").alias("__s")).select(*by, "__part", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__base"))
+        w = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(*upto)
+        placed = parted.withColumn("__in", F.coalesce(F.sum("ties").over(w), F.lit(0))).join(sums, [*by, "__part"]).withColumn("before", F.col("__base") + F.col("__in"))
+    return df.join(placed.select(*by, order, "before", "ties"), [*by, order])
 
 
 def _tails(norm: str, n: Column) -> Column:
@@ -72,7 +78,7 @@ def robust_rank_aggregation(
     Empty tables give an empty result.
 
     Scale: repeated hits are combined on the map side; places of long lists are found in parts (see ``positions``), for the
-    final ranking too. What is gathered for an item is bounded by the number of lists.
+    final ranking too. The narrow tables in between are written to the checkpoint folder. What is gathered for an item is bounded by the number of lists.
     """
     valid = F.col(score).isNotNull() & ~F.isnan(score)
     better = F.when(F.col(retriever).isin(*smaller_is_better), -F.col(score)).otherwise(F.col(score))
@@ -82,16 +88,16 @@ def robust_rank_aggregation(
     # One ascending number for both orders: scores by their sign and size, then ranks, then nothing.
     scored = F.struct(F.lit(0).alias("kind"), (-F.col("__s")).cast("double").alias("v"))
     ranked = F.struct(F.lit(1).alias("kind"), F.coalesce(F.col("__r").cast("double"), F.lit(float("inf"))).alias("v"))
-    best = best.withColumn("__o", F.when(F.col("__s").isNotNull(), scored).otherwise(ranked)).select(question, retriever, item, F.col("__o.kind").alias("__kind"), (F.col("__o.v") + 0.0).alias("__v"))
+    best = checkpointed(best.withColumn("__o", F.when(F.col("__s").isNotNull(), scored).otherwise(ranked)).select(question, retriever, item, F.col("__o.kind").alias("__kind"), (F.col("__o.v") + 0.0).alias("__v")))
     by_value = positions(best, [question, retriever, "__kind"], "__v")
     scored_n = best.where("__kind = 0").groupBy(question, retriever).agg(F.count(F.lit(1)).alias("__n0"))
     placed = by_value.join(scored_n, [question, retriever], "left").withColumn(
         "place", F.col("before") + (F.col("ties") + 1) / 2 + F.when(F.col("__kind") == 1, F.coalesce("__n0", F.lit(0))).otherwise(0)
     )
-    lists = best.groupBy(question, retriever).agg(F.lit(1).alias("one")).groupBy(question).agg(F.count(F.lit(1)).alias("n_lists"))
     items = placed.groupBy(question, item).agg(F.sort_array(F.collect_list(F.struct(F.col("place"), F.col(retriever).alias("retriever")))).alias("__l"))
-    many = items.groupBy(question).agg(F.count(F.lit(1)).alias("__n"))
-    items = items.join(lists.join(many, question), question)
+    pairs = best.select(question, retriever).distinct().groupBy(question).agg(F.count(F.lit(1)).alias("n_lists"))
+    many = best.select(question, item).distinct().groupBy(question).agg(F.count(F.lit(1)).alias("__n"))
+    items = items.join(pairs.join(many, question), question)
     items = items.withColumn("n_lists", F.when(F.col("n_lists") <= most_lists, F.col("n_lists")).otherwise(F.raise_error(F.lit(f"more than {most_lists} lists for a question")).cast("bigint")))
     norm = F.transform("__l", lambda x: x["place"] / F.col("__n"))
     items = items.withColumn("__norm", F.concat(norm, F.array_repeat(F.lit(1.0), (F.col("n_lists") - F.size("__l")).cast("int"))))
@@ -100,7 +106,7 @@ def robust_rank_aggregation(
     mean = F.aggregate("__norm", F.lit(0.0), lambda s, x: s + x) / F.col("n_lists")
     items = items.withColumn("rho", rho).withColumn("__mean", mean)
     sources = F.array_sort(F.transform("__l", lambda x: F.struct(x["retriever"].alias("retriever"), x["place"].alias("place"))))
-    items = items.select(question, item, "rho", "n_lists", F.size("__l").alias("n_found"), sources.alias("sources"), "__mean")
+    items = checkpointed(items.select(question, item, "rho", "n_lists", F.size("__l").alias("n_found"), sources.alias("sources"), "__mean"))
     by_rho = positions(items, [question], "rho")
     w = Window.partitionBy(question, "rho").orderBy("__mean", item)
     return by_rho.withColumn("fused_rank", F.col("before") + F.row_number().over(w)).select(question, item, "fused_rank", "rho", "n_lists", "n_found", "sources")
