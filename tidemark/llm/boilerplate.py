@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import Registry, table
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, spread
 
 query = Registry()
 
@@ -86,11 +86,11 @@ k AS (SELECT ticker, form FROM f WHERE form <> '' GROUP BY ticker, form HAVING c
 
 @query("p7_found", _LINES + "SELECT row_id, CAST(line_no AS INTEGER) AS line_no FROM f JOIN k USING (ticker, form)")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(table(spark, sf_dir, "manifest")).select("row_id", "line_no")
+    return repeated_lines(spread(table(spark, sf_dir, "manifest"))).select("row_id", "line_no")
 
 
 @query("p7_clean")
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in six rows or more and in at least two different texts are taken out."""
-    rows = table(spark, sf_dir, "manifest").select("row_id", "ticker", "period_end", "text")
+    rows = spread(table(spark, sf_dir, "manifest")).select("row_id", "ticker", "period_end", "text")
     return without_repeated_lines(rows, min_clusters=2).select("row_id", "text", "n_removed")

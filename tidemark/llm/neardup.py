@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_map
 from tidemark.llm.components import components
 from tidemark.plans.registry import Registry, table
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, spread
 
 query = Registry()
 
@@ -185,10 +185,10 @@ def near_duplicate_groups(df: DataFrame, *, id_col: str = "row_id", n: int = 5,
 
 @query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_pairs(table(spark, sf_dir, "manifest"), n=3, similarity=0.7).toDF("row_id_a", "row_id_b")
+    return near_duplicate_pairs(spread(table(spark, sf_dir, "manifest")), n=3, similarity=0.7).toDF("row_id_a", "row_id_b")
 
 
 @query("p6_groups")
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of rows at the production threshold: runs of five words, similarity 0.8."""
-    return near_duplicate_groups(table(spark, sf_dir, "manifest"))
+    return near_duplicate_groups(spread(table(spark, sf_dir, "manifest")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import VOCABULARY, encode_texts
 from tidemark.plans.registry import Registry, table
-from tidemark.session import checkpointed, ship
+from tidemark.session import checkpointed, ship, spread
 
 query = Registry()
 
@@ -96,5 +96,5 @@ def pack(
 
 @query("p9_containers")
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = encode_texts(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY, ids=False)
+    sized = encode_texts(spread(table(spark, sf_dir, "documents")), vocabulary=VOCABULARY, ids=False)
     return pack(sized)

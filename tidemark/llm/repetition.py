@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map
 from tidemark.plans.registry import Registry, table
+from tidemark.session import spread
 
 query = Registry()
 
@@ -125,7 +126,7 @@ s AS (SELECT doc_id, len(r) AS n_runs, len(list_distinct(r)) AS n_distinct FROM
 
 @query("p10_found", _RUNS + "SELECT doc_id FROM s WHERE 1 - n_distinct / n_runs >= 0.5")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_share(table(spark, sf_dir, "documents")).where("2 * n_distinct <= n_runs AND n_runs > 0").select("doc_id")
+    return repeated_share(spread(table(spark, sf_dir, "documents"))).where("2 * n_distinct <= n_runs AND n_runs > 0").select("doc_id")
 
 
 @query(
@@ -133,9 +134,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _RUNS + "SELECT doc_id, coalesce(n_runs, 0) AS n_runs, coalesce(n_distinct, 0) AS n_distinct, round(1 - n_distinct / n_runs, 9) AS repeated FROM documents LEFT JOIN s USING (doc_id)",
 )
 def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_share(table(spark, sf_dir, "documents")).withColumn("repeated", F.round("repeated", 9))
+    return repeated_share(spread(table(spark, sf_dir, "documents"))).withColumn("repeated", F.round("repeated", 9))
 
 
 @query("p10_target_ratio")
 def p10_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target_ratio(table(spark, sf_dir, "documents"))
+    return target_ratio(spread(table(spark, sf_dir, "documents")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map
 from tidemark.plans.registry import Registry, table
+from tidemark.session import spread
 
 query = Registry()
 
@@ -100,9 +101,9 @@ def split_oversized(df: DataFrame, *, id_col: str = "row_id", size: int = 3200,
 
 @query("p3_found", "SELECT row_id FROM manifest WHERE length(text) > 3200")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(table(spark, sf_dir, "manifest")).where("piece_no = 0").select("row_id")
+    return split_oversized(spread(table(spark, sf_dir, "manifest"))).where("piece_no = 0").select("row_id")
 
 
 @query("p3_pieces")
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(table(spark, sf_dir, "manifest"))
+    return split_oversized(spread(table(spark, sf_dir, "manifest")))

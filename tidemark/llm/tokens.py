@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.bpe import replayer
 from tidemark.llm.common import arrow_map
 from tidemark.plans.registry import Registry, table
+from tidemark.session import spread
 
 query = Registry()
 
@@ -46,4 +47,4 @@ def encode_texts(df: DataFrame, *, id_col: str = "doc_id", vocabulary: str = VOC
 
 @query("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"))
+    return encode_texts(spread(table(spark, sf_dir, "documents")))
