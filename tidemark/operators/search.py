@@ -142,9 +142,11 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     ``queries``: ``query_id``, ``term``. They are few terms against the postings, which is for the planner to see.
     """
     asked = queries.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    known = index.frequencies.join(asked, "term").crossJoin(F.broadcast(index.totals))
+    # Only postings of asked terms matter, which the planner filters before it counts them.
+    own = index.postings.join(queries.select("term").distinct(), "term", "left_semi")
+    known = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(asked, "term").crossJoin(F.broadcast(index.totals))
     known = known.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    hits = index.postings.join(known.drop("df"), "term")
+    hits = own.join(known.drop("df"), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 

@@ -9,6 +9,7 @@ from tidemark.functions import vectors as vec
 from tidemark.operators import evaluate as ev
 from tidemark.operators import search as se
 from tidemark.plans.registry import Registry, table
+from tidemark.session import spread
 
 query = Registry()
 
@@ -97,7 +98,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = se.lexical_index(table(spark, sf_dir, "documents"), id_col="doc_id")
+    index = se.lexical_index(spread(table(spark, sf_dir, "documents")), id_col="doc_id")
     scores = se.bm25_scores(index, se.query_terms(spark, _TEXTS)).withColumnRenamed("id", "doc_id")
     return scores.withColumn("score", F.round("score", 9))
 
@@ -122,7 +123,7 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bm25_english")
 def bm25_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With stop words, possessives and stems."""
-    index = se.lexical_index(table(spark, sf_dir, "documents"), id_col="doc_id", english=True)
+    index = se.lexical_index(spread(table(spark, sf_dir, "documents")), id_col="doc_id", english=True)
     return se.ranked(se.bm25_scores(index, se.query_terms(spark, _TEXTS, english=True)), 10, by=["query_id"], tie="id").withColumnRenamed("id", "doc_id")
 
 

@@ -10,6 +10,7 @@ from tidemark.operators import intervals as iv
 from tidemark.operators import kernels as ke
 from tidemark.operators import manifest as ma
 from tidemark.plans.registry import Registry, table
+from tidemark.session import spread
 from tidemark.plans.retrieval_queries import _EVAL, _hits, _spans
 
 query = Registry()
@@ -177,33 +178,33 @@ def running_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_normalized")
 def html_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ke.normalized(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("html")), id_col="doc_id")
+    return ke.normalized(spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("html")), id_col="doc_id")
 
 
 @query("sections_located")
 def sections_located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ke.located(table(spark, sf_dir, "documents").select("doc_id", "text"), id_col="doc_id")
+    return ke.located(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), id_col="doc_id")
 
 
 @query("chunks_fixed")
 def chunks_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ke.fixed_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), id_col="doc_id")
+    return ke.fixed_windows(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), id_col="doc_id")
 
 
 @query("chunks_item_aware")
 def chunks_item_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return ke.item_aware(docs, iv.segments(ke.located(docs, id_col="doc_id"), by="doc_id"), id_col="doc_id")
 
 
 @query("passages_found")
 def passages_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ke.with_passages(table(spark, sf_dir, "documents"), "credit losses", id_col="doc_id")
+    return ke.with_passages(spread(table(spark, sf_dir, "documents")), "credit losses", id_col="doc_id")
 
 
 @query("parser_coverage")
 def parser_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return ad.parser_report(ad.parser_states(docs, ke.located(docs, id_col="doc_id"), id_col="doc_id"))
 
 

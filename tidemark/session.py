@@ -47,6 +47,15 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan for work that takes long for each byte: over all cores where its files give too few partitions to use them.
+
+    Only tables of a few files are shuffled; filters and columns are still pushed below.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if 2 * scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, once per context."""
     sc = spark.sparkContext
