@@ -131,7 +131,8 @@ def lexical_index(docs: DataFrame, *, id_col: str, english: bool = False) -> Lex
     else:
         analysed = docs.select(F.col(id_col).alias("id"), F.coalesce(plain_terms("text"), F.expr("cast(array() as array<string>)")).alias("terms"))
     lengths = analysed.select("id", F.size("terms").alias("dl"))
-    postings = analysed.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # An outer explode: from an inner one the planner infers a filter on the number of terms, which would split each text twice.
+    postings = analysed.select("id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return LexicalIndex(postings, lengths, frequencies, lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
 
@@ -157,7 +158,11 @@ def query_terms(spark, texts: dict[Any, str], *, english: bool = False) -> DataF
     split = english_terms if english else lambda t: re.findall("[a-z0-9]+", t.lower())
     rows = [(q, t) for q, text in texts.items() for t in split(text)]
     kind = "string" if any(isinstance(q, str) for q in texts) else "bigint"
-    return spark.createDataFrame(rows, f"query_id {kind}, term string")
+    if not rows:
+        return spark.createDataFrame([], f"query_id {kind}, term string")
+    # Literals, so that the planner knows how few they are.
+    pairs = F.array(*[F.struct(F.lit(q).cast(kind).alias("query_id"), F.lit(t).alias("term")) for q, t in rows])
+    return spark.range(1).select(F.inline(pairs))
 
 
 def reciprocal_rank_fusion(lists: DataFrame, *, by: Sequence[str], item: str, retriever: str = "retriever", rank: str = "rank", k: int = RRF_K, limit: int | None = None) -> DataFrame:
