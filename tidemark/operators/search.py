@@ -97,7 +97,8 @@ def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id
                 m = min(k + 1, cosines.shape[1])
                 top = np.argpartition(-cosines, m - 1, axis=1)[:, :m]
                 rows = np.repeat(np.arange(len(ids)), m)
-                columns = [pa.array([ids[i] for i in rows]), pa.array(mine[top.ravel()].tolist()), pa.array(cosines[rows, top.ravel()])]
+                own = keep.column(0).type
+                columns = [pa.array([ids[i] for i in rows], own), pa.array(mine[top.ravel()].tolist(), own), pa.array(cosines[rows, top.ravel()])]
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", id_col, "cosine"])
 
         found = vectors.select(id_col, embedding).mapInArrow(nearest, f"query_id {kind}, {id_col} {kind}, cosine double")
