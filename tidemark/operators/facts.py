@@ -87,8 +87,8 @@ def select_annual(rows: DataFrame, ends: DataFrame, keys: Sequence[str]) -> Data
 
 
 def restatement(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = ("val", "filed", "accn")) -> DataFrame:
-    """First and last report of each group of ``keys``, by ``filed``, then ``accn``, then ``fact_id``."""
-    order, what = F.struct("filed", "accn", "fact_id"), F.struct(*carry)
+    """First and last report of each group of ``keys``, by ``filed``, then ``accn``, then ``fact_id`` (without one, ``val``)."""
+    order, what = F.struct("filed", "accn", "fact_id" if "fact_id" in rows.columns else "val"), F.struct(*carry)
     ends = rows.groupBy(*keys).agg(F.min_by(what, order).alias("a"), F.max_by(what, order).alias("z"))
     return ends.select(
         *keys,
