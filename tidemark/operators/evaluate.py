@@ -22,6 +22,34 @@ def covers(hit_start: Column, hit_end: Column, start: Column, end: Column) -> Co
     return overlap(hit_start, hit_end, start, end) >= F.least(F.lit(MIN_OVERLAP), end - start)
 
 
+def grid(questions: DataFrame, configs: Sequence[str]) -> DataFrame:
+    """Each question with each config."""
+    return questions.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
+
+
+def scoped_hits(scored: DataFrame, scopes: DataFrame, k: int = DEPTH, *, tie: str = "row_id") -> DataFrame:
+    """The ``k`` best of each question and config within the question's scope, with their ``position``.
+
+    Scopes: ``question_id`` and arrays ``tickers``, ``fiscal_years``, ``items`` of which an empty or null one asks for
+    nothing. The scope is applied before the best are taken. A question about several companies takes the same number
+    of each, rounded up, dealt in turns in the order of the scope, and of these the first ``k``.
+    """
+    joined = scored.join(scopes.select("question_id", "tickers", "fiscal_years", F.col("items").alias("wanted")), "question_id")
+    free = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
+    joined = joined.where(
+        (free("tickers") | F.array_contains("tickers", F.col("ticker")))
+        & (free("fiscal_years") | F.array_contains("fiscal_years", F.col("fiscal_year")))
+        & (free("wanted") | F.arrays_overlap("items", "wanted"))
+    )
+    peers = F.greatest(F.size("tickers"), F.lit(1))
+    company = F.when(peers > 1, F.col("ticker"))
+    w = Window.partitionBy("question_id", "config", company).orderBy(F.desc("score"), tie)
+    rows = joined.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= F.ceil(F.lit(k) / peers))
+    place = F.when(peers > 1, F.array_position("tickers", F.col("ticker"))).otherwise(0)
+    dealt = rows.withColumn("__place", place).withColumn("position", F.row_number().over(Window.partitionBy("question_id", "config").orderBy("turn", "__place")))
+    return dealt.where(F.col("position") <= k).drop("tickers", "fiscal_years", "wanted", "turn", "__place")
+
+
 def covered_spans(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """Each hit with the passages of its question that it covers. Equi-join on question and filing, ranges as a condition.
 

@@ -53,6 +53,15 @@ def embedding_input(prefix: Column, text: Column) -> Column:
     return F.concat(F.lit(DOCUMENT), prefix, F.lit("\n\n"), text)
 
 
+def query_input(question: Column) -> Column:
+    return F.concat(F.lit(QUERY), question)
+
+
+def corpus_plan(chunks: DataFrame, prefix: str = "prefix") -> DataFrame:
+    """Chunks with the ``input`` that the encoder gets for each and its ``digest``."""
+    return chunks.withColumn("input", embedding_input(F.col(prefix), F.col("text"))).withColumn("digest", digest(F.col("input")))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 

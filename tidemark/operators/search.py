@@ -181,6 +181,11 @@ def reciprocal_rank_fusion(lists: DataFrame, *, by: Sequence[str], item: str, re
     return fused if limit is None else fused.where(F.col("rank") <= limit)
 
 
+def provenance(sources: Column) -> Column:
+    """Where a fused hit is from: the first letter of each list and the rank there."""
+    return F.array_join(F.transform(sources, lambda s: F.concat(F.substring(s["retriever"], 1, 1), F.lit("#"), s["rank"].cast("string"))), " ")
+
+
 def hybrid(vector_hits: DataFrame, lexical_hits: DataFrame, *, by: Sequence[str], item: str, k: int = 10, candidates: int = CANDIDATES) -> DataFrame:
     """Fusion of the best ``candidates`` of two ranked lists."""
     if candidates < k:

@@ -223,15 +223,13 @@ def judging_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "original_grades",
-    """WITH a AS (SELECT question_id, row_id, grade, judged_on, CASE WHEN row_id % 2 = 0 THEN 'gold' ELSE 'judgment' END AS origin, row_number() OVER (ORDER BY question_id, row_id, judged_on, grade NULLS FIRST) AS entry_no FROM judgments)
+    """WITH a AS (SELECT question_id, row_id, grade, CASE WHEN row_id % 2 = 0 THEN 'gold' ELSE 'judgment' END AS origin, date_diff('day', DATE '2000-01-01', judged_on) * 10 + coalesce(grade, -1) + 1 AS entry_no FROM judgments)
     SELECT question_id, row_id, grade, origin FROM a QUALIFY row_number() OVER (PARTITION BY question_id, row_id ORDER BY origin = 'gold' DESC, CASE WHEN origin = 'gold' THEN -entry_no ELSE entry_no END) = 1""",
 )
 def original_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold before judgments, the last gold and the first judgment; every other row is made gold here."""
-    from pyspark.sql import Window
-
+    """Gold before judgments, the last gold and the first judgment; rows with an even id stand for gold here, their day and grade for the order."""
     rows = table(spark, sf_dir, "judgments").withColumn("origin", F.when(F.col("row_id") % 2 == 0, "gold").otherwise("judgment"))
-    rows = rows.withColumn("entry_no", F.row_number().over(Window.orderBy("question_id", "row_id", "judged_on", F.asc_nulls_first("grade"))))
+    rows = rows.withColumn("entry_no", F.datediff("judged_on", F.lit("2000-01-01").cast("date")) * 10 + F.coalesce("grade", F.lit(-1)) + 1)
     return ad.original_grades(rows, ["question_id", "row_id"]).select("question_id", "row_id", "grade", "origin")
 
 
@@ -244,3 +242,10 @@ def recheck_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that are too fresh on a day to be checked again."""
     return ad.recent(table(spark, sf_dir, "judgments"), "2026-10-20").select("question_id", "row_id", "judged_on")
+
+
+@query("distinct_inputs", f"SELECT digest, count(*) AS n_chunks, max(tokens) AS tokens FROM (SELECT sha256('search_document: ' || {_PREFIX} || chr(10) || chr(10) || text) AS digest, CAST(floor(length(text) / 4) AS BIGINT) AS tokens {_NAMED}) GROUP BY digest")
+def distinct_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a corpus comes to for the encoder: each different input once, with the chunks it stands for."""
+    plan = ma.corpus_plan(_named(spark, sf_dir))
+    return plan.groupBy("digest").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(ma.estimated_tokens(F.col("text"))).alias("tokens"))
