@@ -107,9 +107,12 @@ def robust_rank_aggregation(
     items = items.withColumn("rho", rho).withColumn("__mean", mean)
     sources = F.array_sort(F.transform("__l", lambda x: F.struct(x["retriever"].alias("retriever"), x["place"].alias("place"))))
     items = checkpointed(items.select(question, item, "rho", "n_lists", F.size("__l").alias("n_found"), sources.alias("sources"), "__mean"))
-    by_rho = positions(items, [question], "rho")
-    w = Window.partitionBy(question, "rho").orderBy("__mean", item)
-    return by_rho.withColumn("fused_rank", F.col("before") + F.row_number().over(w)).select(question, item, "fused_rank", "rho", "n_lists", "n_found", "sources")
+    # Ties in rho may be many, ties in both hardly.
+    placed = positions(items, [question, "rho"], "__mean").withColumnRenamed("before", "__mean_before").drop("ties")
+    placed = positions(placed, [question], "rho")
+    w = Window.partitionBy(question, "rho", "__mean").orderBy(item)
+    fused = F.col("before") + F.col("__mean_before") + F.row_number().over(w)
+    return placed.withColumn("fused_rank", fused).select(question, item, "fused_rank", "rho", "n_lists", "n_found", "sources")
 
 
 @query("p4_ranking")
