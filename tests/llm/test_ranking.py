@@ -59,3 +59,11 @@ def test_parts_give_the_same_positions(spark):
     whole, parted = (sorted(map(tuple, positions(df, ["k"], "v", part=p).select("k", "v", "before", "ties").collect())) for p in (10**6, 20))
     assert whole == parted
     assert all(b == sum(x == k and y < v for x, y in rows) for k, v, b, _ in whole[::97])
+
+
+def test_long_lists_give_the_same_ranking(spark):
+    r = random.Random(9)
+    rows = [(q, n, i, float(r.randint(0, 9)), r.randint(1, 60), "q") for q in (1, 1, 2) for n in "abc" for i in range(1, 61) if r.random() < 0.7]
+    df = spark.createDataFrame(rows, SCHEMA)
+    short, long = (sorted((x["question_id"], x["fused_rank"], x["row_id"]) for x in robust_rank_aggregation(df, part=p).collect()) for p in (10**6, 2))
+    assert short == long

@@ -63,6 +63,7 @@ def robust_rank_aggregation(
     rank: str = "hit_rank",
     smaller_is_better: Sequence[str] = ("l2_distance",),
     most_lists: int = 20,
+    part: int = PART,
 ) -> DataFrame:
     """``question``, ``item``, ``fused_rank``, ``rho``, ``n_lists``, ``n_found`` and ``sources`` (retriever and its position, sorted).
 
@@ -89,7 +90,7 @@ def robust_rank_aggregation(
     scored = F.struct(F.lit(0).alias("kind"), (-F.col("__s")).cast("double").alias("v"))
     ranked = F.struct(F.lit(1).alias("kind"), F.coalesce(F.col("__r").cast("double"), F.lit(float("inf"))).alias("v"))
     best = checkpointed(best.withColumn("__o", F.when(F.col("__s").isNotNull(), scored).otherwise(ranked)).select(question, retriever, item, F.col("__o.kind").alias("__kind"), (F.col("__o.v") + 0.0).alias("__v")))
-    by_value = positions(best, [question, retriever, "__kind"], "__v")
+    by_value = positions(best, [question, retriever, "__kind"], "__v", part)
     scored_n = best.where("__kind = 0").groupBy(question, retriever).agg(F.count(F.lit(1)).alias("__n0"))
     placed = by_value.join(scored_n, [question, retriever], "left").withColumn(
         "place", F.col("before") + (F.col("ties") + 1) / 2 + F.when(F.col("__kind") == 1, F.coalesce("__n0", F.lit(0))).otherwise(0)
@@ -107,12 +108,15 @@ def robust_rank_aggregation(
     items = items.withColumn("rho", rho).withColumn("__mean", mean)
     sources = F.array_sort(F.transform("__l", lambda x: F.struct(x["retriever"].alias("retriever"), x["place"].alias("place"))))
     items = checkpointed(items.select(question, item, "rho", "n_lists", F.size("__l").alias("n_found"), sources.alias("sources"), "__mean"))
-    # Ties in rho may be many, ties in both hardly.
-    placed = positions(items, [question, "rho"], "__mean").withColumnRenamed("before", "__mean_before").drop("ties")
-    placed = positions(placed, [question], "rho")
+    # Ties in rho may be many, ties in both hardly: long ones are placed by mean rank in parts, others in one window.
+    columns = [question, item, "fused_rank", "rho", "n_lists", "n_found", "sources"]
+    if items.groupBy(question, "rho").agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > part).isEmpty():
+        w = Window.partitionBy(question, "rho").orderBy("__mean", item)
+        return positions(items, [question], "rho", part).withColumn("fused_rank", F.col("before") + F.row_number().over(w)).select(*columns)
+    placed = positions(items, [question, "rho"], "__mean", part).withColumnRenamed("before", "__mean_before").drop("ties")
     w = Window.partitionBy(question, "rho", "__mean").orderBy(item)
     fused = F.col("before") + F.col("__mean_before") + F.row_number().over(w)
-    return placed.withColumn("fused_rank", fused).select(question, item, "fused_rank", "rho", "n_lists", "n_found", "sources")
+    return positions(placed, [question], "rho", part).withColumn("fused_rank", fused).select(*columns)
 
 
 @query("p4_ranking")
