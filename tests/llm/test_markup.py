@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from tidemark.llm.markup import clean_markup, clean_text, markup_kinds, template_classes
+from tidemark.llm.markup import clean_markup, clean_text, markup_kinds, p2_templates, template_classes
 
 PLAIN = [
     "Holders of <5% positions; a < b and c > d.",
@@ -86,3 +86,10 @@ def test_templates(spark):
     got = template_classes(df, min_pages=5).collect()
     assert len(got) == 1 and got[0]["pages"] == 6
     assert {"<html>", "report", "contact"} <= set(got[0]["tokens"]) and not {"ab", "cd"} & set(got[0]["tokens"])
+
+
+def test_templates_of_all_texts(spark, tmp_path):
+    texts = [f"<p>{n} apples</p>" if n % 2 else f"# Filed {n} by agent" for n in range(50)]
+    spark.createDataFrame([(n, t, "main") for n, t in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(tuple(r["tokens"]), r["pages"]) for r in p2_templates(spark, str(tmp_path)).collect()}
+    assert got == {(("<p>", "apples", "</p>"), 25), (("filed", "by", "agent"), 25)}

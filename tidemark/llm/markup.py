@@ -8,16 +8,18 @@ text, nor say what kind of markup a text has, so ``clean_markup`` reads each tex
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from html.entities import html5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map
 from tidemark.plans.registry import Registry, table
-from tidemark.session import spread
+from tidemark.session import checkpointed, spread
 
 query = Registry()
 
@@ -282,7 +284,32 @@ def clean_markup(df: DataFrame, *, id_col: str = "doc_id", text: bool = True) ->
     return out.withColumnRenamed("id", id_col)
 
 
-_TOKEN = r"</?[A-Za-z][A-Za-z0-9]*|[A-Za-z0-9]+"
+_TOKEN = re.compile(r"</?[A-Za-z][A-Za-z0-9]*|[A-Za-z0-9]+")
+#: Tokens of classes up to this number are broadcast to the pages; more are joined by a shuffle.
+BROADCAST_TOKENS = 100_000
+
+
+def _occurrences(pages: DataFrame, id_col: str, host_col: str) -> DataFrame:
+    """``host``, ``page``, ``token``, ``c``, ``first``, ``last``: how often and where a page has each of its tokens."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, tokens, counts, first, last = [], [], [], [], []
+        for text in b.column(2).to_pylist():
+            found = "\n".join(_TOKEN.findall(text)).lower().split("\n")
+            own = Counter(found)
+            own.pop("", None)
+            sizes.append(len(own))
+            tokens.extend(own)
+            counts.extend(own.values())
+            first.extend(map(dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True)).__getitem__, own))
+            last.extend(map(dict(zip(found, range(len(found)), strict=True)).__getitem__, own))
+        which = pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
+        names = pa.array([f"{t}>" if t[0] == "<" else t for t in tokens], pa.string())
+        columns = [b.column(0).take(which), b.column(1).take(which), names, *[pa.array(x, pa.int32()) for x in (counts, first, last)]]
+        return pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "c", "first", "last"])
+
+    rows = pages.where(F.col(host_col).isNotNull() & F.col("text").isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(id_col, "text").alias("page"), "text")
+    return arrow_map(rows, run, f"host {dict(pages.dtypes)[host_col]}, page bigint, token string, c int, first int, last int")
 
 
 def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", min_pages: int = 20, min_tokens: int = 3) -> DataFrame:
@@ -293,23 +320,24 @@ def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str
     its tokens keep their order on every page. Classes are nested by what they span: ``depth`` counts the valid classes of the host
     that are on all the pages of a class and span it from first to last token. What lies between the tokens of a class is content.
 
-    Rows with a null host or text are left out; an empty table gives an empty result.
+    Rows with a null host or text are left out, each other row is a page of its own; an empty table gives an empty result.
 
-    Scale: an occurrence vector is kept as a sum of hashes of page and count, which the map side combines; no vector and no page of a host
-    is gathered. Only tokens of classes, of which there are few, are gathered, ``depth`` compares the classes of one host.
+    Scale: an occurrence vector is kept as sums of hashes of page and count, which the map side combines; no vector and no page of a host
+    is gathered, and pages are read twice rather than shuffled unless classes have more tokens than ``BROADCAST_TOKENS``. Only tokens of
+    classes, of which there are few, are gathered, ``depth`` compares the classes of one host.
     """
-    rows = pages.where(F.col(host_col).isNotNull() & F.col("text").isNotNull()).select(F.col(host_col).alias("host"), F.col(id_col).alias("page"), F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("pos", "raw"))
-    token = F.when(F.col("raw").startswith("<"), F.concat(F.lower("raw"), F.lit(">"))).otherwise(F.lower("raw"))
-    per = rows.withColumn("token", token).groupBy("host", "page", "token").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    vector = F.sum(F.xxhash64("page", "c").cast("decimal(38,0)"))
-    tokens = per.groupBy("host", "token").agg(vector.alias("v"), F.count(F.lit(1)).alias("pages"), F.sum("c").alias("occurrences"), F.avg("first").alias("at"), F.avg("last").alias("until"))
-    tokens = tokens.where(F.col("pages") >= min_pages)
+    per = _occurrences(pages, id_col, host_col)
+    hashed = per.withColumn("h", F.xxhash64("page", "c"))
+    vector = F.struct(F.sum(F.col("h").bitwiseAND(F.lit(2**32 - 1))).alias("low"), F.sum(F.shiftright("h", 32)).alias("high"))
+    tokens = hashed.groupBy("host", "token").agg(vector.alias("v"), F.count(F.lit(1)).alias("pages"), F.sum("c").alias("occurrences"), F.avg("first").alias("at"), F.avg("last").alias("until"))
+    tokens = checkpointed(tokens.where(F.col("pages") >= min_pages))
     sizes = tokens.groupBy("host", "v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_tokens)
-    members = tokens.join(sizes, ["host", "v"], "left_semi")
+    members = checkpointed(tokens.join(sizes, ["host", "v"], "left_semi"))
     # In order on every page: the neighbours in the order of mean places never change places on a page.
     w = Window.partitionBy("host", "v").orderBy("at", "token")
     pairs = members.withColumn("next", F.lead("token").over(w)).where("next IS NOT NULL").select("host", "v", "token", "next")
-    places = per.select("host", "page", "token", "first")
+    asked = members.select("host", "token")
+    places = checkpointed(per.select("host", "page", "token", "first").join(F.broadcast(asked) if asked.count() <= BROADCAST_TOKENS else asked, ["host", "token"], "left_semi"))
     swapped = pairs.join(places, ["host", "token"]).join(places.select("host", "page", F.col("token").alias("next"), F.col("first").alias("then")), ["host", "page", "next"]).where("then < first")
     valid = members.join(swapped.select("host", "v").distinct(), ["host", "v"], "left_anti")
     classes = valid.groupBy("host", "v").agg(
@@ -322,8 +350,8 @@ def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str
 
 @query("p2_templates")
 def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates of the texts with HTML in them, by source."""
-    return template_classes(spread(table(spark, sf_dir, "documents")).where(F.lower("text").rlike("<html|<div|<table")))
+    """Templates of all texts, by source."""
+    return template_classes(spread(table(spark, sf_dir, "documents")))
 
 
 @query("p2_found")
