@@ -64,6 +64,19 @@ def test_a_large_class_is_a_star(spark):
     assert got == {(1, n) for n in range(2, 101)}
 
 
+def test_a_large_class_of_different_texts_is_unfolded(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(n, long.upper() if n % 2 else long, "q") for n in range(1, 71)] + [(71, long + " more", "q")]
+    got = sorted((r["a"], r["b"]) for r in near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA), n=3, similarity=0.7).collect())
+    assert got == [(a, b) for a in range(1, 72) for b in range(a + 1, 72)]
+    rows = [(n, long, "q") for n in range(1, 101)] + [(101, long + "!", "q"), (102, long + " more", "q")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["a"], r["b"]) for r in near_duplicate_pairs(df, n=3, similarity=0.7).collect())
+    assert got == sorted([(1, n) for n in range(2, 101)] + [(n, m) for m in (101, 102) for n in range(1, 101)] + [(101, 102)])
+    members = {r["id"]: (r["first"], r["size"], r["copy"], r["copies"]) for r in near_duplicates(df, n=3, similarity=0.7)[1].collect()}
+    assert (members[7], members[101], members[102]) == ((1, 101, 1, 100), (1, 101, 101, 1), (102, 1, 102, 1))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)]
     r = random.Random(1)

@@ -26,7 +26,7 @@ CHUNKS, LENGTH, BITS = 10, 5, 16
 LEAST_EQUAL = 22
 #: Ids up to this number (8 bytes each) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Classes of equal texts up to this size are unfolded into pairs; larger ones give each member's link to the first.
+#: Exact copies of a text up to this number are unfolded into pairs; of more each has a link to the first, as a pair among them.
 UNFOLDED = 64
 
 _WORD = re.compile(r"[^\W_]+")
@@ -74,10 +74,10 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, *, id_col: str, n: int) -> DataFrame:
-    """``id``, ``c1``, ``c2`` (128 bits that equal for equal sequences of words), ``runs`` and ``sig`` of each text with a run of ``n`` words."""
+    """``id``, ``c1``, ``c2`` (128 bits that equal for equal sequences of words), ``t1``, ``t2`` (for equal bytes), ``runs`` and ``sig`` of each text with a run of ``n`` words."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        which, sizes, classes, parts = [], [], [], []
+        which, sizes, classes, exact, parts = [], [], [], [], []
         for r, text in enumerate(b.column(1).to_pylist()):
             words = _word_hashes(text)
             if len(words) >= n:
@@ -85,6 +85,7 @@ def signatures(df: DataFrame, *, id_col: str, n: int) -> DataFrame:
                 which.append(r)
                 sizes.append(len(runs))
                 classes.append(xxhash.xxh3_128_digest(words.tobytes()))
+                exact.append(xxhash.xxh3_128_digest(text))
                 parts.append((runs >> np.uint64(32)).astype(np.uint32) ^ runs.astype(np.uint32))
         ids = b.column(0).take(pa.array(which, pa.int32()))
         sig = np.zeros((len(which), len(_A)), np.uint32)
@@ -93,13 +94,13 @@ def signatures(df: DataFrame, *, id_col: str, n: int) -> DataFrame:
             for k in range(len(_A)):
                 sig[:, k] = np.minimum.reduceat(flat * _A[k] + _B[k], edges)
         sig = ((sig ^ (sig >> np.uint32(16))) & np.uint32(2**BITS - 1)).astype(np.uint16).view(np.int16)
-        pair = np.frombuffer(b"".join(classes), np.int64).reshape(-1, 2)
+        pair, same = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in (classes, exact))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * len(_A)), pa.array(sig.ravel()))
-        columns = [ids, pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(sizes, pa.int32()), lists]
-        return pa.RecordBatch.from_arrays(columns, ["id", "c1", "c2", "runs", "sig"])
+        columns = [ids, pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(sizes, pa.int32()), lists]
+        return pa.RecordBatch.from_arrays(columns, ["id", "c1", "c2", "t1", "t2", "runs", "sig"])
 
     kind = dict(df.dtypes)[id_col]
-    return arrow_map(df.where("text IS NOT NULL").select(id_col, "text"), run, f"id {kind}, c1 bigint, c2 bigint, runs int, sig array<smallint>")
+    return arrow_map(df.where("text IS NOT NULL").select(id_col, "text"), run, f"id {kind}, c1 bigint, c2 bigint, t1 bigint, t2 bigint, runs int, sig array<smallint>")
 
 
 def _keys(sig: str) -> Column:
@@ -111,24 +112,31 @@ def _keys(sig: str) -> Column:
     return F.array(*keys)
 
 
+def _members(signed: DataFrame) -> DataFrame:
+    """The members of ``near_duplicates``."""
+    exact = signed.groupBy("c1", "c2", "t1", "t2").agg(F.min("id").alias("copy"), F.count(F.lit(1)).alias("copies"))
+    firsts = exact.groupBy("c1", "c2").agg(F.min("copy").alias("first"), F.sum("copies").alias("size"))
+    return signed.select("id", "c1", "c2", "t1", "t2").join(exact.join(firsts, ["c1", "c2"]), ["c1", "c2", "t1", "t2"]).select("id", "first", "size", "copy", "copies")
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "row_id", n: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, and who belongs to which text.
 
     Links: ``a``, ``b`` (ids of the first rows of two classes of texts), ``similarity``: distinct runs of ``n`` words in
     both divided by distinct runs in either, at least ``similarity``. Members: ``id``, ``first`` (the smallest id of its
-    class), ``size``: the rows whose texts are the same sequence of words, whatever stands between these.
+    class), ``size``: the rows whose texts are the same sequence of words, whatever stands between these; ``copy`` (the
+    smallest id of its exact copies), ``copies``: the rows whose texts are the same bytes.
 
     Candidates come from a multi-index join over b-bit signatures, see CHUNKS; an exact comparison of the texts follows.
     Rows with a null text or fewer than ``n`` words are in neither result. Ids must be unique and not null; other columns
     are ignored; empty tables give empty results.
 
-    Scale: copies are combined before any pair is formed. The signatures (about 170 bytes a row) and the candidates
+    Scale: copies are combined before any pair is formed. The signatures (about 190 bytes a row) and the candidates
     are written to the checkpoint folder, so texts are read twice and never all shuffled unless more rows than
     ``BROADCAST_IDS`` are in question. Buckets are joined, never gathered: adaptive execution may split a large one.
     """
     signed = checkpointed(signatures(df, id_col=id_col, n=n))
-    firsts = signed.groupBy("c1", "c2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
-    members = signed.select("id", "c1", "c2").join(firsts, ["c1", "c2"]).select("id", "first", "size")
+    members = _members(signed)
     reps = signed.groupBy("c1", "c2").agg(F.min_by(F.struct("id", "runs", "sig"), "id").alias("r")).select("r.id", "r.runs", "r.sig")
     keys = reps.select("id", "runs", F.explode(_keys("sig")).alias("key"))
     left, right = (keys.select("key", F.col("id").alias(x), F.col("runs").alias(f"runs_{x}")) for x in "ab")
@@ -158,19 +166,26 @@ def near_duplicates(df: DataFrame, *, id_col: str = "row_id", n: int = 5, simila
 
 
 def near_duplicate_pairs(df: DataFrame, *, id_col: str = "row_id", n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``a`` < ``b``: pairs of rows, of which classes of up to ``UNFOLDED`` equal texts are unfolded.
+    """``a`` < ``b``: all pairs of rows with different texts, and those of up to ``UNFOLDED`` exact copies of a text.
+
+    More exact copies than that are a star: each has a link to the first of them. Which rows are copies of which is in
+    the members of ``near_duplicates``.
 
-    A larger class takes part with its first row, to which each member has a link: nothing is lost, but the pairs
-    among its members follow from these links.
+    Scale: what is joined is as large as what comes out; variants of one text are paired by kind of text before their copies are.
     """
     links, members = near_duplicates(df, id_col=id_col, n=n, similarity=similarity)
-    spread = members.where((F.col("size") <= UNFOLDED) | (F.col("id") == F.col("first")))
-    across = links.select("a", "b").join(spread.select(F.col("first").alias("a"), F.col("id").alias("x")), "a")
-    across = across.join(spread.select(F.col("first").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    copies = members.where("size > 1")
-    small, large = copies.where(F.col("size") <= UNFOLDED), copies.where(F.col("size") > UNFOLDED)
-    within = small.select("first", F.col("id").alias("a")).join(small.select("first", F.col("id").alias("b")), "first").where("a < b").select("a", "b")
-    return across.unionByName(within).unionByName(large.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    members = checkpointed(members)
+    across = links.select("a", "b").join(members.select(F.col("first").alias("a"), F.col("id").alias("x")), "a")
+    across = across.join(members.select(F.col("first").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # Within a class: different texts of the same words in full, then exact copies.
+    varied = members.where("size > copies")
+    kinds = varied.select("first", "copy").distinct()
+    kinds = kinds.select("first", F.col("copy").alias("k")).join(kinds.select("first", F.col("copy").alias("m")), "first").where("k < m").select("k", "m")
+    variants = kinds.join(varied.select(F.col("copy").alias("k"), F.col("id").alias("x")), "k").join(varied.select(F.col("copy").alias("m"), F.col("id").alias("y")), "m")
+    variants = variants.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    small, large = members.where((F.col("copies") > 1) & (F.col("copies") <= UNFOLDED)), members.where(F.col("copies") > UNFOLDED)
+    within = small.select("copy", F.col("id").alias("a")).join(small.select("copy", F.col("id").alias("b")), "copy").where("a < b").select("a", "b")
+    return across.unionByName(variants).unionByName(within).unionByName(large.where("id <> copy").select(F.col("copy").alias("a"), F.col("id").alias("b")))
 
 
 def near_duplicate_groups(df: DataFrame, *, id_col: str = "row_id", n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -188,6 +203,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(spread(table(spark, sf_dir, "manifest")), n=3, similarity=0.7).toDF("row_id_a", "row_id_b")
 
 
+@query("p6_members")
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the pairs of ``p6_found``: the class of equal words and the exact copies to which each row belongs."""
+    members = _members(checkpointed(signatures(spread(table(spark, sf_dir, "manifest")), id_col="row_id", n=3)))
+    return members.toDF("row_id", "class_id", "class_size", "copy_id", "copies")
+
+
 @query("p6_groups")
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of rows at the production threshold: runs of five words, similarity 0.8."""
