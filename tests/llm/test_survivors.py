@@ -56,6 +56,13 @@ def test_two_filings_joined_only_by_an_empty_one(spark):
     assert {k: r["n_rows"] for k, r in found(spark, [fact(1, accn=a), fact(2, accn=b), fact(3, accn="")]).items()} == {1: 3}
 
 
+def test_only_links_join_a_group(spark):
+    x, y = "0000000001-25-000001", "0000000001-25-000002"
+    day = lambda n: D(2025, 2, 1) + dt.timedelta(n)
+    got = found(spark, [fact(1, accn=x), fact(2, accn=y, filed=day(5)), fact(3, accn=y, filed=day(10)), fact(4, accn="", filed=day(14))])
+    assert {k: r["n_rows"] for k, r in got.items()} == {2: 3}
+
+
 def test_nulls_zero_negative_repeats_and_empty(spark):
     rows = [fact(1, val=None), fact(2, val=None), fact(3, val=0.0), fact(4, val=0.0), fact(5, val=-100.0, accn=None), fact(6, val=-100.9, accn=None), fact(7, end=None), fact(8, end=None)]
     got = found(spark, rows)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.ids import cik10
 from tidemark.plans.registry import Registry, table
+from tidemark.session import checkpointed, ship
 
 query = Registry()
 
@@ -50,10 +54,12 @@ def copies(
     group is all that links lead to. Rows with a null day or value belong to no group and do not come out.
 
     Method: rows are combined into kinds on the map side, then sorted by one property after the other; a gap that no
-    link can bridge parts them. Properties are gone through twice, as one may open a gap in another. No pairs are formed.
+    link can bridge parts them. Properties are gone through twice, as one may open a gap in another. In most segments that
+    are left any two kinds are linked, as its extremes show; in the others links are followed from kind to kind.
 
     Scale: an exact copy costs nothing after the map side, whatever share of all rows it is; kinds of a figure are
-    bounded by its days, amounts and filings. All sorts share one partitioning by figure.
+    bounded by its days, amounts and filings. All sorts share one partitioning by figure. Segments that are not alone are
+    written to the checkpoint folder; those whose extremes aren't linked are gathered, one at a time, to follow their links.
     """
     d = [F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) for c in days]
     full = [F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(filled)]
@@ -86,8 +92,35 @@ def copies(
         joined = F.max(F.col("accn").isNull()).over(w)
         parted = parted.withColumn("seg", F.xxhash64("seg", F.when(joined, F.lit(0).cast("bigint")).otherwise(F.col("accn"))))
     # Rows that are alone go before anything else is shuffled.
-    parted = parted.withColumn("__all", F.sum("n").over(Window.partitionBy("figure", "seg"))).where("__all > 1").drop("__all")
-    return parted.withColumn("group", F.struct("figure", "seg")).drop("figure", "seg")
+    w = Window.partitionBy("figure", "seg")
+    low, high = F.min("val").over(w), F.max("val").over(w)
+    near = (high - low <= tolerance * F.greatest(F.abs(low), F.abs(high))) & F.coalesce(F.min("accn").over(w) == F.max("accn").over(w), F.lit(True))
+    for c in own:
+        near &= F.max(c).over(w) - F.min(c).over(w) < within_days
+    parted = checkpointed(parted.withColumn("__all", F.sum("n").over(w)).withColumn("__near", near).where("__all > 1").drop("__all"))
+
+    def follow(t: pa.Table) -> pa.Table:
+        days_, v = [t.column(c).to_numpy() for c in own], t.column("val").to_numpy()
+        empty, accn = t.column("accn").is_null().to_numpy(), t.column("accn").fill_null(0).to_numpy()
+        part = np.full(len(v), -1, np.int64)
+        for k in range(len(v)):
+            todo = [k] if part[k] < 0 else []
+            part[todo] = k
+            while todo:
+                i = todo.pop()
+                linked = (part < 0) & ~(np.abs(v - v[i]) > tolerance * np.maximum(np.abs(v), abs(v[i]))) & (empty | empty[i] | (accn == accn[i]))
+                for d_ in days_:
+                    linked &= np.abs(d_ - d_[i]) < within_days
+                part[linked] = k
+                todo.extend(np.flatnonzero(linked).tolist())
+        return t.append_column("__part", pa.array(part))
+
+    ship(facts.sparkSession)
+    far = parted.where("NOT __near").drop("__near")
+    schema = StructType([*far.schema.fields, StructField("__part", LongType())])
+    far = far.groupBy("figure", "seg").applyInArrow(follow, schema).withColumn("seg", F.xxhash64("seg", "__part")).drop("__part")
+    far = far.withColumn("__all", F.sum("n").over(Window.partitionBy("figure", "seg"))).where("__all > 1").drop("__all")
+    return parted.where("__near").drop("__near").unionByName(far).withColumn("group", F.struct("figure", "seg")).drop("figure", "seg")
 
 
 def _facts_copies(facts: DataFrame) -> DataFrame:
