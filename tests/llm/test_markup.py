@@ -73,6 +73,13 @@ def test_long_text_is_read_whole():
     assert markup_kinds("plain words. " * 200_000 + "<b>x</b>") == ["html"]
 
 
+def test_deep_nesting():
+    assert clean_text("a " + "{{x|" * 9 + "y" + "}}" * 9 + " b")[1] == "a  b"
+    assert clean_text("a " + "\\emph{" * 9 + "y" + "}" * 9 + " b")[1] == "a y b"
+    assert clean_text("a &" + "amp;" * 9 + "lt;b&" + "amp;" * 9 + "gt;c")[1] == "a c"
+    assert clean_text("&" + "amp;" * 500_000 + " x")[1] == "& x"
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "<b>x</b>", "q"), (1, "<b>x</b>", "q"), (2, None, "q"), (None, "", "q")], "doc_id bigint, text string, markup string")
     got = sorted(((r["doc_id"], r["markup"], r["text"]) for r in clean_markup(df).collect()), key=str)

@@ -39,6 +39,7 @@ _ATTRIBUTES = r"(?:\s+[^\s<>=\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))
 _TAG = re.compile(rf"</?({_TAGS.replace(' ', '|')}){_ATTRIBUTES}>", _I)
 _TAG_LIKE = re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^<>]*>|<!\[CDATA\[|<\?xml[^<>]*>", _I | re.S)
 _REFERENCE = re.compile(r"&(?:#\d{1,7};|#[xX][0-9a-fA-F]{1,6};|([A-Za-z][A-Za-z0-9]*;))")
+_ESCAPED = re.compile(r"&(?:(?:amp|AMP|#0{0,5}38|#[xX]0{0,4}26);)+")
 _WIKI_TAG = re.compile(r"</?(?:ref|references|nowiki|syntaxhighlight|gallery|noinclude|includeonly|onlyinclude)(?:\s[^<>]*)?/?>", _I)
 
 _FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})([^`\n]*)\n(.*?)(?:^[ ]{0,3}\1[`~]*[ \t]*$|\Z)", _M | re.S)
@@ -175,8 +176,8 @@ def _html(text: str, keep: _Kept) -> str:
             return "" if closing and name == "tr" else "\n"
         return "\n\n" if name in _BLOCKS_SET else ""
 
-    for _ in range(3):  # references may hide tags, also twice
-        text = _TAG.sub(tag, text)
+    while True:  # references may hide tags, however often they are escaped; each round shortens the text
+        text = _TAG.sub(tag, _ESCAPED.sub("&", text))
         plain = _REFERENCE.sub(lambda m: unescape(m.group()) if m[1] is None or m[1] in _ENTITIES else m.group(), text)
         if plain == text:
             break
@@ -197,7 +198,7 @@ def _latex(text: str, keep: _Kept) -> str:
     text = re.sub(r"\\begin\{tabular\*?\}(?:\{[^{}]*\})*(.*?)\\end\{tabular\*?\}", lambda m: "\n" + re.sub(r"[ ]*\\\\[ ]*", "\n", re.sub(r"(?<!\\)&", "|", m[1])).replace("\\hline", "") + "\n", text, flags=re.S)
     text = re.sub(r"\\(?:begin|end)\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\])?", "\n", text)
     text = re.sub(r"\\item\b(?:\[([^\]\n]*)\])?[ \t]*", lambda m: "\n• " + (f"{m[1]} " if m[1] else ""), text)
-    for _ in range(6):  # commands within commands
+    while True:  # commands within commands
         plain = re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
         if plain == text:
             break
@@ -209,7 +210,7 @@ def _latex(text: str, keep: _Kept) -> str:
 def _wiki(text: str) -> str:
     text = re.sub(r"\[\[(?:Category|File|Image):[^\[\]\n]*\]\]", "", text, flags=_I)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]", r"\1", text)
-    for _ in range(4):
+    while True:
         plain = re.sub(r"\{\{[^{}]*\}\}", "", text)
         if plain == text:
             break
