@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from tidemark.llm.survivors import FIELDS, _facts_copies, survivors
 
@@ -70,3 +71,50 @@ def test_nulls_zero_negative_repeats_and_empty(spark):
     assert found(spark, []) == {}
     many = [fact(n) for n in range(1, 300)]
     assert found(spark, many)[1]["n_rows"] == 299
+
+
+def test_near_in_one_property_each_is_no_link(spark):
+    end, filed = D(2024, 12, 31), D(2025, 2, 1)
+    at = [(0, 0), (5, 10), (10, 20), (15, 5), (20, 15)]
+    assert found(spark, [fact(n, end=end + dt.timedelta(e), filed=filed + dt.timedelta(f)) for n, (e, f) in enumerate(at, 1)]) == {}
+
+
+def test_an_empty_filing_joins_only_what_is_near(spark):
+    a, b, c = (f"0000000001-25-00000{k}" for k in (1, 2, 3))
+    got = found(spark, [fact(1, accn=a), fact(2, accn=""), fact(3, accn=b, val=100.9), fact(4, accn=c, val=101.8)])
+    assert {k: r["n_rows"] for k, r in got.items()} == {1: 3}
+
+
+def test_a_null_load_is_the_least_trusted(spark):
+    assert found(spark, [fact(1, loaded=None), fact(2)])[1]["best_id"] == 2
+    r = found(spark, [fact(1, loaded=None, fy=None), fact(2, frame=None), fact(3, loaded=None, frame=None)])[1]
+    assert (r["best_id"], r["n_rows"], r["layers"], r["frame_from"]) == (2, 3, 2, 1)
+
+
+def test_groups_are_components_of_links(spark):
+    random.seed(5)
+    accns = ["", None, "0000000001-25-000001", "000000000125000001", "0000000001-25-000002"]
+    vals = [0.0, -0.0, 1e-320, 5e-324, 1e308, float("inf"), float("-inf"), *[100 * 1.004**k for k in range(12)], *[-100 * 1.007**k for k in range(4)]]
+    rows = [
+        fact(n, tag=random.choice("AB"), end=D(2024, 12, 1) + dt.timedelta(random.randrange(0, 25, 2)), filed=D(2025, 2, 1) + dt.timedelta(random.randrange(0, 40, 3)), val=random.choice(vals), accn=random.choice(accns))
+        for n in range(1, 500)
+    ]
+
+    def linked(x, y):
+        v, w = x[6], y[6]
+        a, b = ((z[11] or "").replace("-", "") for z in (x, y))
+        close = v == w or abs(v - w) <= 0.01 * max(abs(v), abs(w)) < float("inf")
+        return x[2] == y[2] and abs((x[5] - y[5]).days) < 7 and abs((x[10] - y[10]).days) < 7 and close and (a == b or not a or not b)
+
+    part = {r[0]: r[0] for r in rows}
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and linked(x, y) and part[x[0]] != part[y[0]]:
+                old, new = max(part[x[0]], part[y[0]]), min(part[x[0]], part[y[0]])
+                part = {k: new if v == old else v for k, v in part.items()}
+    sizes = {}
+    for v in part.values():
+        sizes[v] = sizes.get(v, 0) + 1
+    want = {k: n for k, n in sizes.items() if n > 1}
+    assert len(want) > 20 and max(want.values()) > 20
+    assert {k: r["n_rows"] for k, r in found(spark, rows).items()} == want

@@ -2,31 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.ids import cik10
+from tidemark.llm.components import components
 from tidemark.plans.registry import Registry, table
-from tidemark.session import checkpointed, ship
+from tidemark.session import checkpointed
 
 query = Registry()
 
+#: What a null trust counts as: earlier than any other.
+_NEVER = "0001-01-01 00:00:00"
+
 
 def _digest(columns: Sequence[Column]) -> Column:
     """64 bits of all columns, nulls told apart from any value."""
     return F.xxhash64(*[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns])
 
 
-def _split(df: DataFrame, by: Sequence[str], value: str, new: Column) -> DataFrame:
-    """``seg`` parted further where the next row in the order of ``value`` is a new one."""
-    w = Window.partitionBy(*by, "seg").orderBy(value)
-    df = df.withColumn("__new", F.coalesce(new.cast("int"), F.lit(0)))
-    return df.withColumn("seg", F.xxhash64("seg", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("__new")
+def _split(df: DataFrame, by: list[str], value: str, apart: Callable[[Column, Column], Column]) -> tuple[DataFrame, list[str]]:
+    """The parts of ``by`` parted further, by one more column, where two neighbours in the order of ``value`` are apart."""
+    w = Window.partitionBy(*by).orderBy(value)
+    df = df.withColumn("__new", F.coalesce(apart(F.lag(value).over(w), F.col(value)).cast("int"), F.lit(0)))
+    return df.withColumn(f"s{len(by)}", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new"), [*by, f"s{len(by)}"]
+
+
+def _within(low: Column, high: Column, tolerance: float) -> Column:
+    return (low == high) | (high - low <= tolerance * F.greatest(F.abs(low), F.abs(high)))
+
+
+def _value_cell(val: Column, tolerance: float) -> Column:
+    """A whole number that grows with ``val``: values of one cell are within the tolerance, those within it at most two cells apart."""
+    # Cells are a hair narrower than the tolerance, so that rounding puts no two values into one that are not within it.
+    width = -math.log1p(-tolerance) * (1 - 1e-9)
+    size = F.floor(F.log(F.abs(val)) / width)
+    # Offset by more than any double's logarithm needs, so that both signs keep their order and zero stands alone.
+    reach = int(800 / width)
+    ends = F.when(val == math.inf, 4 * reach).when(val == -math.inf, -4 * reach)
+    return ends.when(val > 0, size + reach).when(val < 0, -(size + reach)).otherwise(F.lit(0)).cast("bigint")
+
+
+def _linked_parts(nodes: DataFrame, seg: Sequence[str], days: Sequence[str], within_days: int, tolerance: float) -> DataFrame:
+    """``node``, ``part`` (the smallest node that links lead to) of the nodes that have links.
+
+    In: ``node``, ``seg``, ``days``, ``cell``, ``low``, ``high``, ``accn``. A node stands for values of one cell, days and filing, all of which are
+    linked with each other; two nodes are linked if the two nearest of their values are.
+
+    Candidates come from an equi-join on the cells of a grid (as many days wide as a link may bridge) and their neighbours, once on
+    equal filings and once on an empty one with any. A cell has at most ``within_days`` squared nodes of one filing, so there are only so many
+    candidates for each node, however many nodes a figure has.
+    """
+    grid = [F.floor(F.col(c) / within_days).cast("int") for c in days]
+    here = nodes.select("node", *seg, *days, "low", "high", "accn", *[g.alias(f"g_{c}") for g, c in zip(grid, days, strict=True)], F.col("cell").alias("g_cell"))
+    around = here
+    for c in days:
+        around = around.withColumn(f"g_{c}", F.explode(F.array(*[F.col(f"g_{c}") + k for k in (-1, 0, 1)])))
+    # A link is found from its smaller value.
+    around = around.withColumn("g_cell", F.explode(F.array(*[F.col("g_cell") + k for k in (0, 1, 2)])))
+    keys = [*seg, *[f"g_{c}" for c in days], "g_cell"]
+    names = {c: f"{c}_" for c in ("node", *days, "low", "high", "accn")}
+    other = here.withColumnsRenamed(names)
+    near = _within(F.col("high"), F.col("low_"), tolerance) | (F.col("low_") <= F.col("high"))
+    for c in days:
+        near &= F.abs(F.col(c) - F.col(f"{c}_")) < within_days
+    same = around.where("accn IS NOT NULL").withColumn("k", F.col("accn")).join(other.where("accn_ IS NOT NULL").withColumn("k", F.col("accn_")), [*keys, "k"]).where(near)
+    empty = around.where("accn IS NULL").join(other, keys).where(near)
+    empty_ = around.where("accn IS NOT NULL").join(other.where("accn_ IS NULL"), keys).where(near)
+    links = [x.select(F.col("node").alias("a"), F.col("node_").alias("b")) for x in (same, empty, empty_)]
+    return components(links[0].unionByName(links[1]).unionByName(links[2])).toDF("node", "part")
 
 
 def copies(
@@ -40,26 +87,27 @@ def copies(
     tolerance: float = 0.01,
     filled: Sequence[str] = ("fy", "fp", "form", "accn", "frame"),
     id_col: str = "fact_id",
-    recency: str = "filed",
     trust: str = "loaded_at",
 ) -> DataFrame:
     """Kinds of rows that state one figure out of one filing, with the group they belong to; rows that are alone do not come out.
 
     One row for each group, day, value, filing and set of filled fields that occurs: ``group`` (a key within this
     result), the ``days``, ``val``, ``accn`` (normalised), ``mask`` (which of ``filled`` are), ``n`` rows, ``id`` the
-    smallest id, and ``best``: greatest ``trust`` and then smallest id.
+    smallest id, and ``best``: greatest ``trust`` (a null one is less than any) and then smallest id.
 
     Two rows are linked if all of ``figure`` are equal (nulls too), each of ``days`` differs by less than
     ``within_days``, ``val`` by at most ``tolerance`` of the greater amount, and ``filing`` is equal or empty in one; a
-    group is all that links lead to. Rows with a null day or value belong to no group and do not come out.
+    group is all that links lead to. Rows with a null or NaN value, a null day or a null id belong to no group and do not come out.
 
     Method: rows are combined into kinds on the map side, then sorted by one property after the other; a gap that no
-    link can bridge parts them. Properties are gone through twice, as one may open a gap in another. In most segments that
-    are left any two kinds are linked, as its extremes show; in the others links are followed from kind to kind.
+    link can bridge parts them, which rules out links but states none. In most of the segments that are left any two kinds are
+    linked, as their extremes show. In the others every link is found and checked (see ``_linked_parts``), and groups are the
+    components of these links.
 
     Scale: an exact copy costs nothing after the map side, whatever share of all rows it is; kinds of a figure are
     bounded by its days, amounts and filings. All sorts share one partitioning by figure. Segments that are not alone are
-    written to the checkpoint folder; those whose extremes aren't linked are gathered, one at a time, to follow their links.
+    written to the checkpoint folder. No segment is gathered; candidates of the unclear ones grow in proportion to their kinds.
+    ``figure`` is hashed to 64 bits; as a link also needs near days and values, figures with one hash would still have to agree on these.
     """
     d = [F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) for c in days]
     full = [F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(filled)]
@@ -69,58 +117,42 @@ def copies(
     rows = facts.select(
         _digest(figure).alias("figure"),
         *[x.alias(f"d{k}") for k, x in enumerate(d)],
-        F.col(val).cast("double").alias("val"),
+        (F.col(val).cast("double") + 0.0).alias("val"),
         F.when(filing == "", F.lit(None)).otherwise(F.xxhash64(filing)).alias("accn"),
         mask.alias("mask"),
         F.col(id_col).cast("bigint").alias("id"),
-        F.col(trust).cast("timestamp").alias("trust"),
-    ).where("val IS NOT NULL AND id IS NOT NULL" + "".join(f" AND d{k} IS NOT NULL" for k in range(len(d))))
+        F.coalesce(F.col(trust).cast("timestamp"), F.lit(_NEVER).cast("timestamp")).alias("trust"),
+    ).where("val IS NOT NULL AND NOT isnan(val) AND id IS NOT NULL" + "".join(f" AND d{k} IS NOT NULL" for k in range(len(d))))
     own = [f"d{k}" for k in range(len(d))]
     kinds = rows.groupBy("figure", *own, "val", "accn", "mask").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max(F.struct("trust", (-F.col("id")).alias("i"))).alias("best")
     )
-    parted = kinds.repartition("figure").withColumn("seg", F.lit(0).cast("bigint"))
-    for _ in range(2):
-        for c in reversed(own):
-            w = Window.partitionBy("figure", "seg").orderBy(c)
-            parted = _split(parted, ["figure"], c, F.col(c) - F.lag(c).over(w) >= within_days)
-        w = Window.partitionBy("figure", "seg").orderBy("val")
-        low, high = F.lag("val").over(w), F.col("val")
-        parted = _split(parted, ["figure"], "val", high - low > tolerance * F.greatest(F.abs(low), F.abs(high)))
-        # Filings part only where no row without one joins them.
-        w = Window.partitionBy("figure", "seg")
-        joined = F.max(F.col("accn").isNull()).over(w)
-        parted = parted.withColumn("seg", F.xxhash64("seg", F.when(joined, F.lit(0).cast("bigint")).otherwise(F.col("accn"))))
+    parted, seg = kinds.repartition("figure"), ["figure"]
+    for c in reversed(own):
+        parted, seg = _split(parted, seg, c, lambda low, high: high - low >= within_days)
+    parted, seg = _split(parted, seg, "val", lambda low, high: ~_within(low, high, tolerance))
     # Rows that are alone go before anything else is shuffled.
-    w = Window.partitionBy("figure", "seg")
-    low, high = F.min("val").over(w), F.max("val").over(w)
-    near = (high - low <= tolerance * F.greatest(F.abs(low), F.abs(high))) & F.coalesce(F.min("accn").over(w) == F.max("accn").over(w), F.lit(True))
+    w = Window.partitionBy(*seg)
+    near = _within(F.min("val").over(w), F.max("val").over(w), tolerance) & F.coalesce(F.min("accn").over(w) == F.max("accn").over(w), F.lit(True))
     for c in own:
         near &= F.max(c).over(w) - F.min(c).over(w) < within_days
     parted = checkpointed(parted.withColumn("__all", F.sum("n").over(w)).withColumn("__near", near).where("__all > 1").drop("__all"))
 
-    def follow(t: pa.Table) -> pa.Table:
-        days_, v = [t.column(c).to_numpy() for c in own], t.column("val").to_numpy()
-        empty, accn = t.column("accn").is_null().to_numpy(), t.column("accn").fill_null(0).to_numpy()
-        part = np.full(len(v), -1, np.int64)
-        for k in range(len(v)):
-            todo = [k] if part[k] < 0 else []
-            part[todo] = k
-            while todo:
-                i = todo.pop()
-                linked = (part < 0) & ~(np.abs(v - v[i]) > tolerance * np.maximum(np.abs(v), abs(v[i]))) & (empty | empty[i] | (accn == accn[i]))
-                for d_ in days_:
-                    linked &= np.abs(d_ - d_[i]) < within_days
-                part[linked] = k
-                todo.extend(np.flatnonzero(linked).tolist())
-        return t.append_column("__part", pa.array(part))
-
-    ship(facts.sparkSession)
-    far = parted.where("NOT __near").drop("__near")
-    schema = StructType([*far.schema.fields, StructField("__part", LongType())])
-    far = far.groupBy("figure", "seg").applyInArrow(follow, schema).withColumn("seg", F.xxhash64("seg", "__part")).drop("__part")
-    far = far.withColumn("__all", F.sum("n").over(Window.partitionBy("figure", "seg"))).where("__all > 1").drop("__all")
-    return parted.where("__near").drop("__near").unionByName(far).withColumn("group", F.struct("figure", "seg")).drop("figure", "seg")
+    out = [*own, "val", "accn", "mask", "n", "id", "best"]
+    clear = parted.where("__near").select(F.struct(*seg, F.lit(None).cast("bigint").alias("part")).alias("group"), *out)
+    unclear = parted.where("NOT __near").withColumn("cell", _value_cell(F.col("val"), tolerance))
+    if unclear.isEmpty():
+        return clear
+    place = [*seg, *own, "cell"]
+    nodes = checkpointed(unclear.groupBy(*place, "accn").agg(F.min("val").alias("low"), F.max("val").alias("high"), F.sum("n").alias("size"), F.min("id").alias("node")))
+    parts = nodes.join(_linked_parts(nodes, seg, own, within_days, tolerance), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    # A node without links is a group only if it has copies itself.
+    many = parts.groupBy("part").agg(F.sum("size").alias("size")).where("size > 1").select("part")
+    parts = parts.join(many, "part", "left_semi").select(*[F.col(c).alias(f"{c}_") for c in (*place, "accn")], "part")
+    same = F.lit(True)
+    for c in (*place, "accn"):
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return clear.unionByName(unclear.join(parts, same).select(F.struct(*seg, "part").alias("group"), *out))
 
 
 def _facts_copies(facts: DataFrame) -> DataFrame:
@@ -175,7 +207,27 @@ def survivors(kinds: DataFrame, fields: Sequence[str]) -> DataFrame:
 FIELDS = ("fy", "fp", "form", "accn", "frame")
 
 
-@query("p5_found")
+_COPIES = r"""
+WITH RECURSIVE f AS MATERIALIZED (
+  SELECT fact_id, val, filed, period_end, period_start, loaded_at, lower(trim(tag)) AS t, lower(trim(unit)) AS u,
+    coalesce(nullif(lpad(regexp_extract(upper(trim(cik)), '^(?:CIK[-_]?)?0*([0-9]{1,10})$', 1), 10, '0'), '0000000000'), lower(trim(cik))) AS c,
+    regexp_replace(lower(trim(coalesce(accn, ''))), '[^0-9a-z]', '', 'g') AS a,
+    CAST(fy IS NOT NULL AS INT) + CAST(coalesce(trim(fp), '') <> '' AS INT) + CAST(coalesce(trim(form), '') <> '' AS INT)
+      + CAST(coalesce(trim(accn), '') <> '' AS INT) + CAST(coalesce(trim(frame), '') <> '' AS INT) AS filled
+  FROM facts WHERE val IS NOT NULL AND filed IS NOT NULL AND period_end IS NOT NULL),
+l AS MATERIALIZED (
+  SELECT x.fact_id AS a, y.fact_id AS b FROM f x JOIN f y
+    ON x.c IS NOT DISTINCT FROM y.c AND x.t IS NOT DISTINCT FROM y.t AND x.u IS NOT DISTINCT FROM y.u AND x.period_start IS NOT DISTINCT FROM y.period_start
+   AND x.fact_id <> y.fact_id AND abs(date_diff('day', x.filed, y.filed)) < 7 AND abs(date_diff('day', x.period_end, y.period_end)) < 7
+   AND abs(x.val - y.val) <= 0.01 * greatest(abs(x.val), abs(y.val)) AND (x.a = y.a OR x.a = '' OR y.a = '')),
+r AS (SELECT a AS id, b AS met FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.met = l.a),
+g AS (SELECT id, least(id, min(met)) AS group_id FROM r GROUP BY id),
+b AS (SELECT group_id, fact_id, row_number() OVER (PARTITION BY group_id ORDER BY filled DESC, filed DESC, loaded_at DESC NULLS LAST, fact_id) AS k
+      FROM g JOIN f ON g.id = f.fact_id)
+"""
+
+
+@query("p5_found", _COPIES + "SELECT group_id, fact_id AS best_id FROM b WHERE k = 1")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(_facts_copies(table(spark, sf_dir, "facts")), ()).select("group_id", "best_id")
 
