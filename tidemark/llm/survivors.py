@@ -232,7 +232,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(_facts_copies(table(spark, sf_dir, "facts")), ()).select("group_id", "best_id")
 
 
-@query("p5_survivors")
+_LAYERS = (
+    _COPIES
+    + """,
+m AS (SELECT group_id, facts.*, coalesce(loaded_at, TIMESTAMP '0001-01-01') AS trust, fy IS NOT NULL AS h1, coalesce(trim(fp), '') <> '' AS h2,
+        coalesce(trim(form), '') <> '' AS h3, coalesce(trim(facts.accn), '') <> '' AS h4, coalesce(trim(frame), '') <> '' AS h5
+      FROM g JOIN facts ON g.id = facts.fact_id),
+p AS (SELECT DISTINCT ON (group_id, h1, h2, h3, h4, h5, filed) *, CAST(h1 AS INT) + CAST(h2 AS INT) + CAST(h3 AS INT) + CAST(h4 AS INT) + CAST(h5 AS INT) AS filled
+      FROM m ORDER BY group_id, h1, h2, h3, h4, h5, filed, trust DESC, fact_id),
+d AS MATERIALIZED (SELECT q.fact_id AS over, p.fact_id AS under FROM p q JOIN p ON q.group_id = p.group_id AND q.filled >= p.filled AND q.filed >= p.filed AND q.trust >= p.trust
+      AND (q.filled > p.filled OR q.filed > p.filed OR q.trust > p.trust)),
+c AS (SELECT fact_id, 1 AS layer FROM p UNION SELECT d.under, c.layer + 1 FROM c JOIN d ON c.fact_id = d.over),
+y AS (SELECT fact_id, max(layer) AS layer FROM c GROUP BY fact_id),
+o AS (SELECT p.*, layer, row_number() OVER (PARTITION BY group_id ORDER BY layer, filled DESC, filed DESC, trust DESC, fact_id) AS k FROM p JOIN y USING (fact_id)),
+n AS (SELECT group_id, count(*) AS n_rows FROM m GROUP BY group_id),
+s AS (SELECT group_id, arg_min(fact_id, k) AS best_id, max(layer) AS layers, arg_min(fy, k) FILTER (h1) AS fy, arg_min(fp, k) FILTER (h2) AS fp,
+        arg_min(form, k) FILTER (h3) AS form, arg_min(accn, k) FILTER (h4) AS accn, arg_min(frame, k) FILTER (h5) AS frame FROM o GROUP BY group_id)
+SELECT s.group_id, n_rows, best_id, layers, b.cik, b.tag, b.unit, b.val, b.filed, b.period_end, s.fy, s.fp, s.form, s.accn, s.frame
+FROM s JOIN n USING (group_id) JOIN facts b ON b.fact_id = s.best_id
+"""
+)
+
+
+@query("p5_survivors", _LAYERS)
 def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each group: the best row, its empty fields filled from the next layers."""
     facts = table(spark, sf_dir, "facts")
