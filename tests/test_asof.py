@@ -73,3 +73,14 @@ def test_against_brute_force_with_a_hot_key(spark):
             last = min(known, key=lambda f: (-f[2].toordinal(), [-ord(c) for c in f[3]], f[0]))
             want[n] = (first[0], last[0], first[4], last[4])
     assert run(spark, events, facts) == want
+
+
+def test_two_versions_on_one_day(spark):
+    hour = lambda h: dt.datetime(2024, 1, 5, h)
+    e = spark.createDataFrame([(1, "a", hour(8)), (2, "a", hour(9)), (3, "a", hour(12)), (4, "a", hour(16)), (5, "a", dt.datetime(2024, 1, 7))], "event bigint, k string, at timestamp")
+    f = spark.createDataFrame([(1, "a", hour(9), 1.0), (2, "a", hour(15), 2.0), (3, "a", dt.datetime(2024, 1, 6), 3.0)], "id bigint, k string, known timestamp, val double")
+    how = dict(event_keys=[F.col("k")], attribute_keys=[F.col("k")], event_id="event", order=F.lit(""), attribute_id="id")
+    by_time = attributes_as_of(e, f, event_time=F.col("at"), known_time=F.col("known"), **how)
+    assert {r["event"]: (r["reported"]["id"], r["restated"]["id"]) for r in by_time.collect()} == {2: (1, 1), 3: (1, 1), 4: (1, 2), 5: (1, 3)}
+    by_day = attributes_as_of(e, f, event_time=F.to_date("at"), known_time=F.to_date("known"), **how)
+    assert {r["event"]: (r["reported"]["id"], r["restated"]["id"]) for r in by_day.collect()} == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (1, 3)}

@@ -33,8 +33,8 @@ def _as_known(spark: SparkSession, sf_dir: str, carry: tuple[str, ...]) -> DataF
         event_keys=keys,
         attribute_keys=keys,
         event_id="value_id",
-        event_time=F.col("answered_at"),
-        known_time=F.col("filed"),
+        event_time=F.to_date("answered_at"),
+        known_time=F.to_date("filed"),
         order=F.col("accn"),
         attribute_id="fact_id",
         carry=carry,
