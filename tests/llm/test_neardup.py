@@ -52,8 +52,8 @@ def test_copies_nulls_and_short_texts(spark):
     links, members = near_duplicates(df, n=3, similarity=0.7)
     assert [(r["a"], r["b"]) for r in links.collect()] == [(1, 8)]
     assert {(r["id"], r["first"], r["size"]) for r in members.collect()} == {(1, 1, 3), (2, 1, 3), (3, 1, 3), (8, 8, 1)}
-    groups = {r["row_id"]: (r["class_id"], r["group_id"], r["n_links"]) for r in near_duplicate_groups(df, n=3, similarity=0.7).collect()}
-    assert groups == {1: (1, 1, 1), 2: (1, 1, 1), 3: (1, 1, 1), 8: (8, 1, 1)}
+    groups = {r["row_id"]: (r["class_id"], r["group_id"]) for r in near_duplicate_groups(df, n=3, similarity=0.7).collect()}
+    assert groups == {1: (1, 1), 2: (1, 1), 3: (1, 1), 8: (8, 1)}
     assert near_duplicate_pairs(df.limit(0)).count() == 0
 
 
@@ -77,6 +77,38 @@ def test_a_large_class_of_different_texts_is_unfolded(spark):
     assert (members[7], members[101], members[102]) == ((1, 101, 1, 100), (1, 101, 101, 1), (102, 1, 102, 1))
 
 
+def test_large_classes_are_paired_with_each_others_first(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    texts = {1: long, 2: long + " more"}
+    df = spark.createDataFrame([(100 * k + n, texts[k], "q") for k in texts for n in range(80)], SCHEMA)
+    got = sorted((r["a"], r["b"]) for r in near_duplicate_pairs(df, n=3, similarity=0.7).collect())
+    want = {(100 * k, 100 * k + n) for k in texts for n in range(1, 80)} | {(100, 200 + n) for n in range(80)} | {(100 + n, 200) for n in range(80)}
+    assert got == sorted(want)
+
+
+def test_groups_are_components_of_links(spark):
+    rows = corpus(3, 150)
+    r = random.Random(4)
+    words = rows[0][1].split()
+    for _ in range(60):  # a chain whose ends are not alike
+        words[r.randrange(len(words))] = f"new{r.random()}"
+        rows.append((len(rows) + 1, " ".join(words), "q"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    for n, least in ((3, 0.7), (5, 0.8)):
+        group = {i: i for i, *_ in rows}
+        for a, b in sorted(by_hand(rows, n, least)):
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = {k: new if v == old else v for k, v in group.items()}
+        assert {r["row_id"]: r["group_id"] for r in near_duplicate_groups(df, n=n, similarity=least).collect()} == group
+
+
+def test_a_family_of_near_copies(spark):
+    words = [f"word{i}" for i in range(150)]
+    rows = [(n, " ".join([*words[: n % 100], f"date{n}", *words[n % 100 :]]), "q") for n in range(1, 2001)]
+    got = {r["group_id"] for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)]
     r = random.Random(1)

@@ -26,7 +26,7 @@ CHUNKS, LENGTH, BITS = 10, 5, 16
 LEAST_EQUAL = 22
 #: Ids up to this number (8 bytes each) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Exact copies of a text up to this number are unfolded into pairs; of more each has a link to the first, as a pair among them.
+#: Exact copies of a text up to this number are unfolded into all pairs; of more each has a pair with the first copy of its own and of each linked text.
 UNFOLDED = 64
 
 _WORD = re.compile(r"[^\W_]+")
@@ -119,37 +119,27 @@ def _members(signed: DataFrame) -> DataFrame:
     return signed.select("id", "c1", "c2", "t1", "t2").join(exact.join(firsts, ["c1", "c2"]), ["c1", "c2", "t1", "t2"]).select("id", "first", "size", "copy", "copies")
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "row_id", n: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Links between different texts, and who belongs to which text.
+def _index(df: DataFrame, id_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All signatures (written once), one row for each class of equal words with its signature, and the keys of these rows."""
+    signed = checkpointed(signatures(df, id_col=id_col, n=n))
+    reps = signed.groupBy("c1", "c2").agg(F.min_by(F.struct("id", "sig"), "id").alias("r")).select("r.id", "r.sig")
+    return signed, reps, reps.select("id", F.explode(_keys("sig")).alias("key"))
 
-    Links: ``a``, ``b`` (ids of the first rows of two classes of texts), ``similarity``: distinct runs of ``n`` words in
-    both divided by distinct runs in either, at least ``similarity``. Members: ``id``, ``first`` (the smallest id of its
-    class), ``size``: the rows whose texts are the same sequence of words, whatever stands between these; ``copy`` (the
-    smallest id of its exact copies), ``copies``: the rows whose texts are the same bytes.
 
-    Candidates come from a multi-index join over b-bit signatures, see CHUNKS; an exact comparison of the texts follows.
-    Rows with a null text or fewer than ``n`` words are in neither result. Ids must be unique and not null; other columns
-    are ignored; empty tables give empty results.
+def _checked(df: DataFrame, pairs: DataFrame, reps: DataFrame, *, id_col: str, n: int, similarity: float) -> DataFrame:
+    """``a``, ``b``, ``similarity`` of the candidates (``a`` < ``b``, distinct) that are as similar as asked, by their signatures and then by their texts.
 
-    Scale: copies are combined before any pair is formed. The signatures (about 190 bytes a row) and the candidates
-    are written to the checkpoint folder, so texts are read twice and never all shuffled unless more rows than
-    ``BROADCAST_IDS`` are in question. Buckets are joined, never gathered: adaptive execution may split a large one.
+    The text of ``b`` is joined first and that of ``a`` last: a text that is the first of many pairs is then shuffled once, not once for each pair.
     """
-    signed = checkpointed(signatures(df, id_col=id_col, n=n))
-    members = _members(signed)
-    reps = signed.groupBy("c1", "c2").agg(F.min_by(F.struct("id", "runs", "sig"), "id").alias("r")).select("r.id", "r.runs", "r.sig")
-    keys = reps.select("id", "runs", F.explode(_keys("sig")).alias("key"))
-    left, right = (keys.select("key", F.col("id").alias(x), F.col("runs").alias(f"runs_{x}")) for x in "ab")
-    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
     sig = reps.select("id", "sig")
-    pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+    pairs = pairs.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a")
     equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     pairs = checkpointed(pairs.where(equal >= LEAST_EQUAL).select("a", "b"))
 
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = df.where("text IS NOT NULL").select(F.col(id_col).alias("id"), "text")
     texts = texts.join(F.broadcast(asked) if pairs.count() <= BROADCAST_IDS // 2 else asked, "id", "left_semi")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def compare(b: pa.RecordBatch) -> pa.RecordBatch:
         known: dict[int, np.ndarray] = {}
@@ -162,40 +152,90 @@ def near_duplicates(df: DataFrame, *, id_col: str = "row_id", n: int = 5, simila
 
     kind = dict(df.dtypes)[id_col]
     links = arrow_map(both.select("a", "b", "text_a", "text_b"), compare, f"a {kind}, b {kind}, similarity double")
-    return links.where(F.col("similarity") >= similarity), members
+    return links.where(F.col("similarity") >= similarity)
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "row_id", n: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Links between different texts, and who belongs to which text.
+
+    Links: ``a``, ``b`` (ids of the first rows of two classes of texts), ``similarity``: distinct runs of ``n`` words in
+    both divided by distinct runs in either, at least ``similarity``. Members: ``id``, ``first`` (the smallest id of its
+    class), ``size``: the rows whose texts are the same sequence of words, whatever stands between these; ``copy`` (the
+    smallest id of its exact copies), ``copies``: the rows whose texts are the same bytes. This is the whole result,
+    of one form at every size: any two rows are near-duplicates if they have one class or their classes have a link.
+
+    Candidates come from a multi-index join over b-bit signatures, see CHUNKS; an exact comparison of the texts follows.
+    Rows with a null text or fewer than ``n`` words are in neither result. Ids must be unique and not null; other columns
+    are ignored; empty tables give empty results.
+
+    Scale: copies are combined before any pair is formed. The signatures (about 190 bytes a row) and the candidates
+    are written to the checkpoint folder, so texts are read twice and never all shuffled unless more rows than
+    ``BROADCAST_IDS`` are in question. Buckets are joined, never gathered: adaptive execution may split a large one. The work
+    grows with the links there are; where groups are wanted and not links, ``near_duplicate_groups`` does without most of them.
+    """
+    signed, reps, keys = _index(df, id_col, n)
+    pairs = keys.toDF("a", "key").join(keys.toDF("b", "key"), "key").where("a < b").select("a", "b").distinct()
+    return _checked(df, pairs, reps, id_col=id_col, n=n, similarity=similarity), _members(signed)
 
 
 def near_duplicate_pairs(df: DataFrame, *, id_col: str = "row_id", n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``a`` < ``b``: all pairs of rows with different texts, and those of up to ``UNFOLDED`` exact copies of a text.
+    """``a`` < ``b``: the result of ``near_duplicates`` unfolded into pairs of rows.
 
-    More exact copies than that are a star: each has a link to the first of them. Which rows are copies of which is in
-    the members of ``near_duplicates``.
+    Every two different texts that are linked have pairs: each row of one with the first copy of the other. Each row has one with the
+    first copy of its own text. Where both texts have up to ``UNFOLDED`` copies all pairs come out; beyond, those left out
+    follow from the members, and what comes out grows with the rows and not with their square.
 
-    Scale: what is joined is as large as what comes out; variants of one text are paired by kind of text before their copies are.
+    Scale: variants of one text are paired by kind of text before their copies are.
     """
     links, members = near_duplicates(df, id_col=id_col, n=n, similarity=similarity)
     members = checkpointed(members)
-    across = links.select("a", "b").join(members.select(F.col("first").alias("a"), F.col("id").alias("x")), "a")
-    across = across.join(members.select(F.col("first").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    # Within a class: different texts of the same words in full, then exact copies.
-    varied = members.where("size > copies")
-    kinds = varied.select("first", "copy").distinct()
-    kinds = kinds.select("first", F.col("copy").alias("k")).join(kinds.select("first", F.col("copy").alias("m")), "first").where("k < m").select("k", "m")
-    variants = kinds.join(varied.select(F.col("copy").alias("k"), F.col("id").alias("x")), "k").join(varied.select(F.col("copy").alias("m"), F.col("id").alias("y")), "m")
-    variants = variants.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    small, large = members.where((F.col("copies") > 1) & (F.col("copies") <= UNFOLDED)), members.where(F.col("copies") > UNFOLDED)
-    within = small.select("copy", F.col("id").alias("a")).join(small.select("copy", F.col("id").alias("b")), "copy").where("a < b").select("a", "b")
-    return across.unionByName(variants).unionByName(within).unionByName(large.where("id <> copy").select(F.col("copy").alias("a"), F.col("id").alias("b")))
+    # Kinds of text (equal bytes) that are linked: across classes, and within a class that has several.
+    kinds = members.select("first", "copy", "copies").where("id = copy")
+    k, m = kinds.toDF("a", "k", "n_k"), kinds.toDF("b", "m", "n_m")
+    varied = kinds.join(members.where("size > copies AND id = copy").select("copy"), "copy", "left_semi").select("first", "copy", "copies")
+    linked = links.select("a", "b").join(k, "a").join(m, "b").select("k", "m", "n_k", "n_m")
+    linked = linked.unionByName(varied.toDF("a", "k", "n_k").join(varied.toDF("a", "m", "n_m"), "a").where("k < m").select("k", "m", "n_k", "n_m"))
+    small = (F.col("n_k") <= UNFOLDED) & (F.col("n_m") <= UNFOLDED)
+    x, y = members.select(F.col("copy").alias("k"), F.col("id").alias("x")), members.select(F.col("copy").alias("m"), F.col("id").alias("y"))
+    linked = checkpointed(linked)
+    full = linked.where(small).join(x, "k").join(y, "m").select("x", "y")
+    large = linked.where(~small)
+    to_m, to_k = large.join(x, "k").select("x", F.col("m").alias("y")), large.join(y, "m").where("m <> y").select(F.col("k").alias("x"), "y")
+    across = full.unionByName(to_m).unionByName(to_k).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    copied = members.where("copies > 1")
+    few = copied.where(F.col("copies") <= UNFOLDED)
+    within = few.select("copy", F.col("id").alias("a")).join(few.select("copy", F.col("id").alias("b")), "copy").where("a < b").select("a", "b")
+    return across.unionByName(within).unionByName(copied.where((F.col("copies") > UNFOLDED) & (F.col("id") != F.col("copy"))).select(F.col("copy").alias("a"), F.col("id").alias("b")))
 
 
 def near_duplicate_groups(df: DataFrame, *, id_col: str = "row_id", n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``id_col``, ``class_id`` (first row with the same words), ``group_id`` (smallest id that links lead to), ``n_links`` of its class."""
-    links, members = near_duplicates(df, id_col=id_col, n=n, similarity=similarity)
-    links = checkpointed(links.select("a", "b"))
-    counts = links.select(F.col("a").alias("first")).unionAll(links.select("b")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
-    groups = components(links).select(F.col("id").alias("first"), "component")
-    out = members.join(counts, "first", "left").join(groups, "first", "left")
-    return out.select(F.col("id").alias(id_col), F.col("first").alias("class_id"), F.coalesce("component", "first").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """``id_col``, ``class_id`` (first row with the same words), ``group_id`` (smallest id that links lead to) of each row.
+
+    The groups are those of the links of ``near_duplicates``, without finding all of these. First each text is compared with the first of
+    each of its buckets, which joins most of a family of near copies with as many comparisons as it has texts and buckets. Then only
+    pairs of one bucket that are not yet in one group are compared: buckets of one group are done, in the others the texts outside
+    of the largest group there are compared with all. So every link between two groups would have been found.
+
+    Scale: a family of texts all near each other costs in proportion to its size, not to its square.
+    """
+    signed, reps, keys = _index(df, id_col, n)
+    how = {"id_col": id_col, "n": n, "similarity": similarity}
+    reps, keys = checkpointed(reps), checkpointed(keys)
+    hubs = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    tried = checkpointed(keys.join(hubs, "key").where("a < id").select("a", F.col("id").alias("b")).distinct())
+    links = checkpointed(_checked(df, tried, reps, **how).select("a", "b"))
+    grouped = checkpointed(components(links))
+    placed = keys.join(grouped, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+    mixed = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("n"))
+    mixed = checkpointed(mixed.groupBy("key").agg(F.max_by("g", "n").alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("key", "main"))
+    inside = placed.join(mixed, "key")
+    outer = inside.where("g <> main").select("key", F.col("id").alias("x"), F.col("g").alias("gx"))
+    pairs = outer.join(inside.select("key", F.col("id").alias("y"), F.col("g").alias("gy")), "key").where("gx <> gy")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = checkpointed(_checked(df, pairs, reps, **how).select("a", "b"))
+    groups = components(links.unionByName(more)).select(F.col("id").alias("first"), "component")
+    out = _members(signed).join(groups, "first", "left")
+    return out.select(F.col("id").alias(id_col), F.col("first").alias("class_id"), F.coalesce("component", "first").alias("group_id"))
 
 
 @query("p6_found")
@@ -203,9 +243,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(spread(table(spark, sf_dir, "manifest")), n=3, similarity=0.7).toDF("row_id_a", "row_id_b")
 
 
+@query("p6_links")
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links behind ``p6_found``, between the first rows of classes of equal words."""
+    links, _ = near_duplicates(spread(table(spark, sf_dir, "manifest")), n=3, similarity=0.7)
+    return links.toDF("class_a", "class_b", "similarity")
+
+
 @query("p6_members")
 def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside the pairs of ``p6_found``: the class of equal words and the exact copies to which each row belongs."""
+    """Beside the links of ``p6_links`` and the pairs of ``p6_found``: the class of equal words and the exact copies to which each row belongs."""
     members = _members(checkpointed(signatures(spread(table(spark, sf_dir, "manifest")), id_col="row_id", n=3)))
     return members.toDF("row_id", "class_id", "class_size", "copy_id", "copies")
 
