@@ -69,8 +69,8 @@ def attributes_as_of(
     are taken.
 
     Scale: attribute rows are first reduced to one per entity and time (with a map-side combine); only entity, time and
-    a flag are sorted, see ``_numbered``; of the wide rows only those whose number is asked for are moved again. Joins are
-    equi-joins on entity and time or number, which adaptive execution may split.
+    a flag are sorted and numbered, see ``_numbered``; of the wide rows only those whose number is asked for are moved
+    again. All joins are equi-joins on entity and number or time, which adaptive execution may split.
     """
     by_order = F.coalesce(order.cast("string"), F.lit(""))
     rows = attributes.select(*_entity(attribute_keys), known_time.alias(_TIME), by_order.alias("__order"), F.col(attribute_id).alias("id"), *[F.col(c).alias(c) for c in carry])
@@ -87,12 +87,10 @@ def attributes_as_of(
     change = F.when(F.size("ends") > 0, 1).otherwise(0)
     timeline = versions.select(*_ENTITY, _TIME, change.alias("change")).unionByName(times.select(*_ENTITY, _TIME, F.lit(0).alias("change")))
     numbered = _numbered(timeline)
-    at = numbered.where((F.col("change") == 0) & (F.col(_NO) > 0)).select(*_ENTITY, _TIME, _NO)
-    # The numbers that any event asks for: its latest version's and the first one's.
-    needed = at.select(*_ENTITY, F.explode(F.array(F.col(_NO), F.lit(1).cast("bigint"))).alias(_NO)).distinct()
-    by_no = numbered.where("change = 1").select(*_ENTITY, _TIME, _NO).join(needed, [*_ENTITY, _NO], "left_semi")
-    by_no = by_no.join(versions, [*_ENTITY, _TIME]).select(*_ENTITY, _NO, "ends")
-    first = by_no.where(F.col(_NO) == 1).select(*_ENTITY, F.col("ends")[0].alias("reported"))
-    last = by_no.select(*_ENTITY, _NO, F.col("ends")[1].alias("restated"))
-    known = at.join(last, [*_ENTITY, _NO]).join(first, [*_ENTITY]).select(*_ENTITY, _TIME, "reported", "restated")
+    at = numbered.where((F.col("change") == 0) & (F.col(_NO) > 0)).select(*_ENTITY, F.col(_TIME).alias("__at"), F.col(_NO).alias("__latest"))
+    # Each time asks for two numbers, the first one's and its latest version's: one join serves both.
+    asks = at.select(*_ENTITY, "__at", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.lit(1).cast("bigint").alias(_NO)), F.struct(F.lit(1).alias("end"), F.col("__latest").alias(_NO)))).alias("w"))
+    found = numbered.where("change = 1").select(*_ENTITY, _TIME, _NO).join(asks.select(*_ENTITY, "__at", "w.*"), [*_ENTITY, _NO])
+    found = found.join(versions, [*_ENTITY, _TIME]).select(*_ENTITY, F.col("__at").alias(_TIME), "end", F.get("ends", F.col("end")).alias("row"))
+    known = found.groupBy(*_ENTITY, _TIME).agg(F.first(F.when(F.col("end") == 0, F.col("row")), ignorenulls=True).alias("reported"), F.first(F.when(F.col("end") == 1, F.col("row")), ignorenulls=True).alias("restated"))
     return asked.join(known, [*_ENTITY, _TIME]).select(event_id, "reported", "restated")
