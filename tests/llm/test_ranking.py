@@ -31,6 +31,17 @@ def test_rho_and_scales(spark):
         assert got[1, i]["fused_rank"] == i
 
 
+def test_any_number_of_lists(spark):
+    r = random.Random(3)
+    for lists in (1, 25, 300):
+        rows = [(1, f"list{k}", i, r.random() + (i == 3), 1, "q") for k in range(lists) for i in range(1, 9) if i < 8 or k % 2]
+        got = ranked(spark, rows)
+        assert set(got) == {(1, i) for i in range(1, 9 if lists > 1 else 8)}
+        for (_, _), x in got.items():
+            assert x["n_lists"] == lists
+            assert x["rho"] == pytest.approx(by_hand([s["place"] for s in x["sources"]], len(got), lists), rel=1e-9, abs=1e-300)
+
+
 def test_no_range_dominates(spark):
     r = random.Random(4)
     rows = [(1, n, i, s(i), i, "q") for n, s in (("a", lambda i: -float(i)), ("b", lambda i: -i / 1e6), ("huge", lambda i: r.random() * 1e12)) for i in range(1, 51)]

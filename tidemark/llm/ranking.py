@@ -20,20 +20,24 @@ def positions(df: DataFrame, by: Sequence[str], order: str, part: int = PART) ->
     """``df`` with ``before``: how many rows of the same ``by`` have a smaller ``order``, and ``ties``: how many the same (itself too).
 
     ``df`` should be cheap to read again. Equal values are counted on the map side first. Where there are lists of more
-    than ``part`` different values, lists are cut at approximate quantiles into parts, numbered each on its own and moved up
-    by what the parts before hold, so that no task sorts a whole long list; the numbers are the same either way.
+    than ``part`` different values, these are cut at approximate quantiles into parts of about as many, however long they are, numbered
+    each on its own and moved up by what the parts before hold, so that no task sorts a whole long list; the numbers are the same either way.
     """
     counts = df.groupBy(*by, order).agg(F.count(F.lit(1)).alias("ties"))
     long = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > part)
     upto = Window.unboundedPreceding, -1
-    if long.isEmpty():
+    longest = long.agg(F.max("__m")).first()[0]
+    if longest is None:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(*upto)
         placed = counts.withColumn("before", F.coalesce(F.sum("ties").over(w), F.lit(0)))
     else:
         counts = checkpointed(counts)
-        cuts = counts.join(long.select(*by), [*by], "left_semi").groupBy(*by).agg(F.percentile_approx(order, F.array(*[F.lit(k / 64) for k in range(1, 64)]), 1_000).alias("__q"))
-        nth = F.coalesce(F.size(F.filter("__q", lambda q: q < F.col(order))), F.lit(0))
-        parted = checkpointed(counts.join(cuts, [*by], "left").withColumn("__part", F.when(F.col("__q").isNull(), 0).otherwise(nth)).drop("__q"))
+        # As many cuts as the longest list needs; a shorter one takes every so many-th of them.
+        n = -(-longest // part)
+        quantiles = F.percentile_approx(order, F.array(*[F.lit(k / n) for k in range(1, n)]), 20 * n)
+        cuts = counts.join(long.select(*by), [*by], "left_semi").groupBy(*by).agg(quantiles.alias("__q"), F.ceil(F.count(F.lit(1)) / part).alias("__own"))
+        nth = F.floor(F.coalesce(F.size(F.filter("__q", lambda q: q < F.col(order))), F.lit(0)) * F.col("__own") / n)
+        parted = checkpointed(counts.join(cuts, [*by], "left").withColumn("__part", F.when(F.col("__q").isNull(), 0).otherwise(nth)).drop("__q", "__own"))
         w = Window.partitionBy(*by).orderBy("__part").rowsBetween(*upto)
         sums = parted.groupBy(*by, "__part").agg(F.sum("ties").alias("__s")).select(*by, "__part", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__base"))
         w = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(*upto)
@@ -41,14 +45,21 @@ def positions(df: DataFrame, by: Sequence[str], order: str, part: int = PART) ->
     return df.join(placed.select(*by, order, "before", "ties"), [*by, order])
 
 
-def _tails(norm: str, n: Column) -> Column:
+def _log_factorials(n: Column) -> Column:
+    """The logarithms of 0! to n!."""
+    start = F.array(F.lit(0.0))
+    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), n), start, lambda s, k: F.concat(s, F.array(F.element_at(s, -1) + F.log(k.cast("double")))))
+
+
+def _tails(norm: str, n: Column, logs: str) -> Column:
     """For the k-th of n sorted values the probability that the k-th smallest of n uniform values is at most it:
-    the distribution function of the beta distribution of k and n - k + 1, which is a binomial sum."""
+    the distribution function of the beta distribution of k and n - k + 1, which is a binomial sum. ``logs`` are those of 0! to n!."""
+    log = F.col(logs)
 
     def tail(r: Column, i: Column) -> Column:
-        ways = lambda j: F.factorial(n) / (F.factorial(j) * F.factorial(n - j))
-        term = lambda j: ways(j) * F.pow(r, j.cast("double")) * F.pow(1 - r, (n - j).cast("double"))
-        return F.aggregate(F.sequence(i + 1, n), F.lit(0.0), lambda s, j: s + term(j))
+        ways = lambda j: log[n] - log[j] - log[n - j]
+        term = lambda j: F.exp(ways(j) + j * F.log(r) + F.when(j == n, 0.0).otherwise((n - j) * F.log1p(-r)))
+        return F.when(r >= 1, 1.0).otherwise(F.aggregate(F.sequence(i + 1, n), F.lit(0.0), lambda s, j: s + term(j)))
 
     return F.transform(norm, tail)
 
@@ -62,7 +73,6 @@ def robust_rank_aggregation(
     score: str = "score",
     rank: str = "hit_rank",
     smaller_is_better: Sequence[str] = ("l2_distance",),
-    most_lists: int = 20,
     part: int = PART,
 ) -> DataFrame:
     """``question``, ``item``, ``fused_rank``, ``rho``, ``n_lists``, ``n_found`` and ``sources`` (retriever and its position, sorted).
@@ -72,11 +82,10 @@ def robust_rank_aggregation(
     ones, by ``hit_rank``, those without a rank last. A position divided by the number of the question's different items is
     the normalised rank; an item that a list lacks has 1 there. The sorted normalised ranks of an item are compared with
     the order statistics of uniform values; ``rho`` is the least of these probabilities times the number of lists, at
-    most 1. Items are ranked by ``rho``, then mean normalised rank, then ``item``; all differ. As only places within lists
-    matter, no list's range can dominate, and an infinite score is just the best or the worst.
+    most 1. Items are ranked by ``rho``, then mean normalised rank, then ``item``; all differ. A question may have any number
+    of lists. As only places within lists matter, no list's range can dominate, and an infinite score is just the best or the worst.
 
-    Rows with a null question, retriever or item are left out. A question with more than ``most_lists`` (20 at most) lists is an error.
-    Empty tables give an empty result.
+    Rows with a null question, retriever or item are left out. Empty tables give an empty result.
 
     Scale: repeated hits are combined on the map side; places of long lists are found in parts (see ``positions``), for the
     final ranking too. The narrow tables in between are written to the checkpoint folder. What is gathered for an item is bounded by the number of lists.
@@ -98,13 +107,13 @@ def robust_rank_aggregation(
     items = placed.groupBy(question, item).agg(F.sort_array(F.collect_list(F.struct(F.col("place"), F.col(retriever).alias("retriever")))).alias("__l"))
     pairs = best.select(question, retriever).distinct().groupBy(question).agg(F.count(F.lit(1)).alias("n_lists"))
     many = best.select(question, item).distinct().groupBy(question).agg(F.count(F.lit(1)).alias("__n"))
-    items = items.join(pairs.join(many, question), question)
-    items = items.withColumn("n_lists", F.when(F.col("n_lists") <= most_lists, F.col("n_lists")).otherwise(F.raise_error(F.lit(f"more than {most_lists} lists for a question")).cast("bigint")))
-    norm = F.transform("__l", lambda x: x["place"] / F.col("__n"))
-    items = items.withColumn("__norm", F.concat(norm, F.array_repeat(F.lit(1.0), (F.col("n_lists") - F.size("__l")).cast("int"))))
-    items = items.withColumn("n_lists", F.col("n_lists").cast("int"))
-    rho = F.least(F.lit(1.0), F.col("n_lists") * F.array_min(_tails("__norm", F.col("n_lists"))))
-    mean = F.aggregate("__norm", F.lit(0.0), lambda s, x: s + x) / F.col("n_lists")
+    pairs = pairs.join(many, question).withColumn("__logs", _log_factorials(F.col("n_lists"))).withColumn("n_lists", F.col("n_lists").cast("int"))
+    items = items.join(pairs, question)
+    # An item that a list lacks has 1 there, whose probability is 1: such places need not be looked at.
+    items = items.withColumn("__norm", F.transform("__l", lambda x: x["place"] / F.col("__n")))
+    rho = F.least(F.lit(1.0), F.col("n_lists") * F.array_min(_tails("__norm", F.col("n_lists"), "__logs")))
+    # In halves of places, which are exact: the mean of the normalised ranks in other units.
+    mean = F.aggregate("__l", (F.col("n_lists") - F.size("__l")) * F.col("__n").cast("double"), lambda s, x: s + x["place"])
     items = items.withColumn("rho", rho).withColumn("__mean", mean)
     sources = F.array_sort(F.transform("__l", lambda x: F.struct(x["retriever"].alias("retriever"), x["place"].alias("place"))))
     items = checkpointed(items.select(question, item, "rho", "n_lists", F.size("__l").alias("n_found"), sources.alias("sources"), "__mean"))
@@ -119,6 +128,24 @@ def robust_rank_aggregation(
     return positions(placed, [question], "rho", part).withColumn("fused_rank", fused).select(*columns)
 
 
-@query("p4_ranking")
+_RANKING = """
+WITH h AS (SELECT question_id AS q, retriever AS t, row_id AS i,
+        max(CASE WHEN NOT isnan(score) THEN CASE WHEN retriever = 'l2_distance' THEN -score ELSE score END END) AS s, min(hit_rank) FILTER (hit_rank > 0) AS r
+      FROM hits WHERE question_id IS NOT NULL AND retriever IS NOT NULL AND row_id IS NOT NULL GROUP BY ALL),
+v AS (SELECT *, s IS NULL AS none, coalesce(-s, r, 'infinity'::DOUBLE) AS v FROM h),
+p AS (SELECT *, rank() OVER (PARTITION BY q, t ORDER BY none, v) + (count(*) OVER (PARTITION BY q, t, none, v) - 1) / 2 AS place FROM v),
+n AS (SELECT q, count(DISTINCT t) AS lists, count(DISTINCT i) AS items FROM h GROUP BY q),
+o AS (SELECT p.*, lists, items, place / items AS x, row_number() OVER (PARTITION BY q, i ORDER BY place, t) AS k FROM p JOIN n USING (q)),
+b AS (SELECT *, CASE WHEN x >= 1 THEN 1.0 ELSE list_sum(list_transform(range(k, lists + 1),
+        lambda j: factorial(lists::INT) / (factorial(j::INT) * factorial((lists - j)::INT)) * pow(x, j) * pow(1 - x, lists - j))) END AS tail FROM o),
+f AS (SELECT q, i, least(1, any_value(lists) * min(tail)) AS rho, any_value(lists) AS lists, count(*) AS found,
+        (any_value(lists) - count(*)) * any_value(items) + sum(place) AS mean, string_agg(t || '#' || CAST(place AS DOUBLE), ' ' ORDER BY t) AS sources FROM b GROUP BY q, i)
+SELECT q AS question_id, i AS row_id, row_number() OVER (PARTITION BY q ORDER BY rho, mean, i) AS fused_rank, round(rho, 9) AS rho, CAST(lists AS INTEGER) AS n_lists,
+  CAST(found AS INTEGER) AS n_found, sources FROM f
+"""
+
+
+@query("p4_ranking", _RANKING)
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robust_rank_aggregation(table(spark, sf_dir, "hits"))
+    sources = F.array_join(F.transform("sources", lambda s: F.concat_ws("#", s["retriever"], s["place"].cast("string"))), " ")
+    return robust_rank_aggregation(table(spark, sf_dir, "hits")).withColumns({"rho": F.round("rho", 9), "sources": sources})
