@@ -35,9 +35,10 @@ def repeated_lines(
     Texts that are equal within a source are first collapsed into a cluster, dated by its earliest row. Each line, in
     the form of ``line_form``, is then counted once per cluster: over how many clusters and dates it occurs, and how
     many rows these clusters have. A line is repeated if all three counts reach their thresholds; with ``min_clusters``
-    above 1 the lines of an article that was only republished are not taken for boilerplate.
+    above 1 the lines of an article that was only republished are not taken for boilerplate, with ``min_dates`` above 1 those of
+    one that came out once in several versions.
 
-    Nulls: rows without a source or text have no lines; a null date counts as none. Blank lines never count. A line
+    Nulls: rows without a source or text have no lines; clusters without a date have one further date in common. Blank lines never count. A line
     that occurs twice in one text counts once and comes out with both numbers. Every row of a repeated ``id_col`` counts as
     a row. Other columns are ignored; an empty table gives an empty result.
 
@@ -50,8 +51,9 @@ def repeated_lines(
     source, doc = F.xxhash64(source_col).alias("source"), F.xxhash64(F.lit(1), source_col, "text").alias("doc")
     forms = F.transform(F.split("text", "\n"), line_form)
     hashes = F.transform(forms, lambda x: F.when(x != "", F.xxhash64(x)))
+    undated = F.lit("0001-01-01").cast("date")
     clusters = texts.select(source, doc, day.alias("day"), hashes.alias("lines")).groupBy("source", "doc").agg(
-        F.count(F.lit(1)).alias("size"), F.min("day").alias("day"), F.first("lines").alias("lines")
+        F.count(F.lit(1)).alias("size"), F.coalesce(F.min("day"), undated).alias("day"), F.first("lines").alias("lines")
     )
     lines = checkpointed(clusters.select("source", "doc", "size", "day", F.posexplode("lines").alias("line_no", "h")).where("h IS NOT NULL"))
     once = lines.groupBy("source", "h", "doc").agg(F.first("size").alias("size"), F.first("day").alias("day"))
@@ -89,8 +91,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(spread(table(spark, sf_dir, "manifest"))).select("row_id", "line_no")
 
 
-@query("p7_clean")
+_CLEAN = f"""
+WITH c AS (SELECT ticker, text, coalesce(min(period_end), DATE '0001-01-01') AS day FROM manifest WHERE text IS NOT NULL AND ticker IS NOT NULL GROUP BY ticker, text),
+l AS (SELECT row_id, ticker, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM manifest WHERE text IS NOT NULL),
+f AS (SELECT l.*, day, {_FORM} AS form FROM l LEFT JOIN c USING (ticker, text)),
+k AS (SELECT ticker, form FROM f WHERE form <> '' AND ticker IS NOT NULL GROUP BY ticker, form
+      HAVING count(DISTINCT row_id) >= 6 AND count(DISTINCT text) >= 2 AND count(DISTINCT day) >= 2),
+g AS (SELECT row_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (k.form IS NULL), '') AS text, count(k.form) AS n
+      FROM f LEFT JOIN k ON f.ticker = k.ticker AND f.form = k.form GROUP BY row_id)
+SELECT row_id, g.text, CAST(coalesce(n, 0) AS INTEGER) AS n_removed FROM manifest LEFT JOIN g USING (row_id)
+"""
+
+
+@query("p7_clean", _CLEAN)
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in six rows or more and in at least two different texts are taken out."""
+    """Lines in six rows or more, in at least two different texts of at least two dates, are taken out."""
     rows = spread(table(spark, sf_dir, "manifest")).select("row_id", "ticker", "period_end", "text")
-    return without_repeated_lines(rows, min_clusters=2).select("row_id", "text", "n_removed")
+    return without_repeated_lines(rows, min_clusters=2, min_dates=2).select("row_id", "text", "n_removed")
