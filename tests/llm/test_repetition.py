@@ -1,6 +1,10 @@
 from __future__ import annotations
 
-from tidemark.llm.repetition import repeated_share, target_ratio
+import random
+
+from pyspark.sql import functions as F
+
+from tidemark.llm.repetition import repeated_share, repetition_ratio
 
 
 def share(words):
@@ -19,10 +23,18 @@ def test_share(spark):
     assert repeated_share(df.limit(0)).count() == 0
 
 
-def test_target_ratio(spark):
-    good = [(n, f"the quick brown fox number {n} jumps over lazy dogs near river {n}", "q") for n in range(30)]
-    bad = [(100 + n, "buy now cheap " * 30, "q") for n in range(5)]
-    df = spark.createDataFrame([*good, *bad, (999, None, "q"), (998, "", "q")], "doc_id bigint, text string, ratio string")
-    got = {r["doc_id"]: (r["ratio"], r["like_target"]) for r in target_ratio(df).collect()}
-    assert all(got[n][1] for n in range(30)) and not any(got[100 + n][1] for n in range(5))
-    assert got[999] == (None, False) == got[998]
+def test_ratio_decides_as_the_share_does(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefgh"[: r.randint(1, 8)]) for _ in range(r.randint(3, 60))) for _ in range(300)]
+    texts += ["a b c d e f g a b c d e f", "a b c d e a b c d e a", "", None, "a b c d", "w " * 5000]
+    df = spark.createDataFrame([(n, t, n % 3 == 0 or None, "q") for n, t in enumerate(texts)], "doc_id bigint, text string, good boolean, ratio string")
+    shares = [share((t or "").lower().split()) for t in texts]
+    for least in (0.5, 0.2):
+        for trusted in (F.col("good"), F.lit(False), F.lit(True), F.col("doc_id") == 305):  # some, none, all, one that only repeats
+            got = {x["doc_id"]: x["repeats"] for x in repetition_ratio(df, trusted=trusted, share=least).collect()}
+            assert got == {n: s is not None and s >= least - 1e-12 for n, s in enumerate(shares)}
+    got = {x["doc_id"]: x["ratio"] for x in repetition_ratio(df, trusted=F.col("good")).collect()}
+    assert got[302] is None and got[303] is None and got[304] is None
+    known = sorted((s, got[n]) for n, s in enumerate(shares) if s is not None)
+    assert len({a < b for (s, a), (t, b) in zip(known, known[1:], strict=False) if t - s > 1e-9}) == 1
+    assert repetition_ratio(df.limit(0), trusted=F.col("good")).count() == 0

@@ -238,26 +238,51 @@ def near_duplicate_groups(df: DataFrame, *, id_col: str = "row_id", n: int = 5,
     return out.select(F.col("id").alias(id_col), F.col("first").alias("class_id"), F.coalesce("component", "first").alias("group_id"))
 
 
-@query("p6_found")
+_RUNS = r"""
+WITH RECURSIVE w AS (SELECT row_id, md5(text) AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM manifest WHERE text IS NOT NULL),
+k AS (SELECT row_id, t, array_to_string(w, ' ') AS said, w FROM w WHERE len(w) >= {n}),
+m AS MATERIALIZED (SELECT row_id, t, min(row_id) OVER (PARTITION BY said) AS class_id, count(*) OVER (PARTITION BY said) AS class_size,
+        min(row_id) OVER (PARTITION BY t) AS copy_id, count(*) OVER (PARTITION BY t) AS copies FROM k),
+s AS MATERIALIZED (SELECT row_id AS i, hash(unnest(list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda j: array_to_string(w[j:j + {n} - 1], ' '))))) AS g
+      FROM k WHERE row_id IN (SELECT class_id FROM m)),
+n AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+c AS (SELECT x.i AS a, y.i AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.i < y.i GROUP BY x.i, y.i),
+l AS MATERIALIZED (SELECT a, b, c / (p.n + q.n - c) AS similarity FROM c JOIN n p ON p.i = a JOIN n q ON q.i = b WHERE c / (p.n + q.n - c) >= {least})
+"""
+_PRODUCTION, _FOUND = (_RUNS.replace("{n}", str(n)).replace("{least}", str(least)) for n, least in ((5, 0.8), (3, 0.7)))
+
+
+@query(
+    "p6_found",
+    _FOUND
+    + """SELECT least(x.row_id, y.row_id) AS row_id_a, greatest(x.row_id, y.row_id) AS row_id_b FROM l JOIN m x ON x.class_id = a JOIN m y ON y.class_id = b
+UNION ALL SELECT x.row_id, y.row_id FROM m x JOIN m y ON x.class_id = y.class_id AND x.row_id < y.row_id""",
+)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(spread(table(spark, sf_dir, "manifest")), n=3, similarity=0.7).toDF("row_id_a", "row_id_b")
 
 
-@query("p6_links")
+@query("p6_links", _FOUND + "SELECT a AS class_a, b AS class_b, round(similarity, 9) AS similarity FROM l")
 def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links behind ``p6_found``, between the first rows of classes of equal words."""
     links, _ = near_duplicates(spread(table(spark, sf_dir, "manifest")), n=3, similarity=0.7)
-    return links.toDF("class_a", "class_b", "similarity")
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("similarity", 9).alias("similarity"))
 
 
-@query("p6_members")
+@query("p6_members", _FOUND + "SELECT row_id, class_id, class_size, copy_id, copies FROM m")
 def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beside the links of ``p6_links`` and the pairs of ``p6_found``: the class of equal words and the exact copies to which each row belongs."""
     members = _members(checkpointed(signatures(spread(table(spark, sf_dir, "manifest")), id_col="row_id", n=3)))
     return members.toDF("row_id", "class_id", "class_size", "copy_id", "copies")
 
 
-@query("p6_groups")
+@query(
+    "p6_groups",
+    _PRODUCTION
+    + """, r AS (SELECT i AS id, i AS met FROM n UNION SELECT r.id, e.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) e ON r.met = e.a),
+g AS (SELECT id, min(met) AS group_id FROM r GROUP BY id)
+SELECT row_id, class_id, group_id FROM m JOIN g ON m.class_id = g.id""",
+)
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of rows at the production threshold: runs of five words, similarity 0.8."""
     return near_duplicate_groups(spread(table(spark, sf_dir, "manifest")))

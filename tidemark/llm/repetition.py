@@ -1,23 +1,24 @@
 """Problem 10: repetition inside a single document.
 
-The method named for this problem compares two corpora: a log-likelihood ratio of hashed n-grams between a trusted
-target and the raw corpus. Such a score depends on which n-grams a text has, not on how often it says them again, so
-it cannot give the share asked for; ``repeated_share`` counts the runs of each text instead. ``target_ratio`` is the
-named method, with texts that repeat little as the trusted target.
+The log-likelihood ratio of a text's hashed n-grams between a trusted target and the raw corpus, divided by their number. Over
+the n-grams as such that ratio tells which of them a text has, not how often it says them again; so the multinomials are over what the
+hashes say of each n-gram within its own text: said first, or said again.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map
 from tidemark.plans.registry import Registry, table
-from tidemark.session import spread
+from tidemark.session import checkpointed, spread
 
 query = Registry()
 
@@ -75,46 +76,39 @@ def repeated_share(df: DataFrame, *, id_col: str = "doc_id", n: int = 5) -> Data
     return arrow_map(df.select(id_col, "text"), run, f"id {kind}, n_runs bigint, n_distinct bigint, repeated double").withColumnRenamed("id", id_col)
 
 
-def target_ratio(df: DataFrame, *, id_col: str = "doc_id", n: int = 2, buckets: int = 1 << 16, trusted_below: float = 0.05, least: float = -0.1) -> DataFrame:
-    """``id_col``, ``ratio``, ``like_target``: the mean log-likelihood ratio of a text's hashed n-grams, trusted against raw.
+def repetition_ratio(df: DataFrame, *, trusted: Column, id_col: str = "doc_id", n: int = 5, share: float = 0.5) -> DataFrame:
+    """``id_col``, ``n_runs``, ``n_distinct``, ``ratio`` and ``repeats``: whether at least ``share`` of a text's runs of ``n`` words are repeated.
 
-    Both multinomials (n-grams of 1 to ``n`` words in ``buckets``, one added to each count) are counted over all texts;
-    the trusted are those whose repeated share is below ``trusted_below`` or that have no runs. ``like_target`` says
-    whether the ratio is at least ``least``. A text without words has a null ratio and is not like the target.
+    The hashes of a text's runs tell which of them the text has said before. So each run is one of two features, said first or said again,
+    and there are two multinomials over these: that of the whole corpus and that of its ``trusted`` texts, with one added to each
+    count. ``ratio`` is the log-likelihood ratio of a text under these, trusted against raw, divided by its number of runs.
 
-    Scale: each task adds its counts before the shuffle, so what is summed and given to all tasks has ``buckets`` rows.
-    """
-    spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
+    The ratio of a text is a linear function of its repeated share, so it passes that of a text with just ``share`` exactly
+    where the share does; texts so near that rounding may decide are told by their counts, and so is every text where trusted and raw
+    repeat alike, as the ratio then says nothing. Which texts are trusted thus moves the ratios but never the result.
 
-    def grams(text: str | None) -> np.ndarray:
-        parts = [run_hashes(text, k) for k in range(1, n + 1)]
-        return (np.concatenate(parts) % np.uint64(buckets)).astype(np.int64)
+    A text of fewer than ``n`` words, also an empty or null one, has no runs, a null ratio and does not repeat. A null ``trusted`` is false.
+    Repeated rows each come out; other columns are ignored; an empty table gives an empty result. ``n`` is 1 to 8.
 
-    def counts(b: pa.RecordBatch) -> pa.RecordBatch:
-        raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for t in b.column(1).to_pylist():
-            g, h = grams(t), run_hashes(t, 5)
-            c = np.bincount(g, minlength=buckets)
-            raw += c
-            if len(h) == 0 or 1 - len(np.unique(h)) / len(h) < trusted_below:
-                trusted += c
-        some = np.flatnonzero(raw)
-        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(trusted[some])], ["bucket", "raw", "trusted"])
-
-    texts = df.select(id_col, "text")
-    summed = arrow_map(texts, counts, "bucket bigint, raw bigint, trusted bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-    raw, trusted = np.ones(buckets), np.ones(buckets)
-    for r in summed.collect():  # at most ``buckets`` rows
-        raw[r[0]] += r[1]
-        trusted[r[0]] += r[2]
-    weights = spark.sparkContext.broadcast(np.log(trusted / trusted.sum()) - np.log(raw / raw.sum()))
-
-    def score(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [float(weights.value[g].mean()) if len(g := grams(t)) else None for t in b.column(1).to_pylist()]
-        like = [x is not None and x >= least for x in found]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64()), pa.array(like)], ["id", "ratio", "like_target"])
-
-    return arrow_map(texts, score, f"id {kind}, ratio double, like_target boolean").withColumnRenamed("id", id_col)
+    Scale: each text is read once, whole and on its own; its counts (some 25 bytes) are written to the checkpoint folder. Four sums go to the driver.
+    """
+    kind = dict(df.dtypes)[id_col]
+    rows = df.select(F.struct(F.col(id_col).alias("id"), F.coalesce(trusted, F.lit(False)).alias("trusted")).alias("__row"), "text")
+    counted = checkpointed(repeated_share(rows, id_col="__row", n=n).select(F.col("__row.id").cast(kind).alias(id_col), "__row.trusted", "n_runs", "n_distinct"))
+    again = F.col("n_runs") - F.col("n_distinct")
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("trusted"), c)), F.lit(0))
+    raw_first, raw_again, first, later = counted.agg(F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum(again), F.lit(0)), of(F.col("n_distinct")), of(again)).first()
+    said_first = math.log((first + 1) / (first + later + 2)) - math.log((raw_first + 1) / (raw_first + raw_again + 2))
+    said_again = math.log((later + 1) / (first + later + 2)) - math.log((raw_again + 1) / (raw_first + raw_again + 2))
+    least = (1 - share) * said_first + share * said_again
+    ratio = (F.col("n_distinct") * said_first + again * said_again) / F.when(F.col("n_runs") > 0, F.col("n_runs"))
+    counted = counted.withColumn("ratio", ratio)
+    # Where trusted texts repeat less, a repeating one is less likely under them, and the other way round.
+    beyond = (F.col("ratio") - least) * (1 if said_again > said_first else -1)
+    clear = F.abs(beyond) > 1e-9 * (abs(said_first) + abs(said_again))
+    by_count = F.col("n_distinct") <= (1 - share) * F.col("n_runs")
+    repeats = F.coalesce(F.when(clear, beyond > 0).otherwise(by_count), F.lit(False)) & (F.col("n_runs") > 0)
+    return counted.select(id_col, "n_runs", "n_distinct", "ratio", repeats.alias("repeats"))
 
 
 _RUNS = r"""
@@ -124,9 +118,31 @@ s AS (SELECT doc_id, len(r) AS n_runs, len(list_distinct(r)) AS n_distinct FROM
 """
 
 
+# The forms of reports of a period, whose texts are the trusted ones.
+_REPORTS = ("10-K", "10-Q", "20-F", "40-F")
+
+
+def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_ratio(spread(table(spark, sf_dir, "documents")), trusted=F.col("form").isin(*_REPORTS))
+
+
 @query("p10_found", _RUNS + "SELECT doc_id FROM s WHERE 1 - n_distinct / n_runs >= 0.5")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_share(spread(table(spark, sf_dir, "documents"))).where("2 * n_distinct <= n_runs AND n_runs > 0").select("doc_id")
+    return _ratios(spark, sf_dir).where("repeats").select("doc_id")
+
+
+@query(
+    "p10_ratio",
+    _RUNS
+    + """, d AS (SELECT documents.doc_id, form, coalesce(n_runs, 0) AS n_runs, coalesce(n_distinct, 0) AS n_distinct FROM documents LEFT JOIN s USING (doc_id)),
+q AS (SELECT sum(n_distinct) AS a, sum(n_runs) AS n, coalesce(sum(n_distinct) FILTER (form IN ('10-K', '10-Q', '20-F', '40-F')), 0) AS b,
+        coalesce(sum(n_runs) FILTER (form IN ('10-K', '10-Q', '20-F', '40-F')), 0) AS m FROM d),
+x AS (SELECT ln((b + 1) / (m + 2)) - ln((a + 1) / (n + 2)) AS first, ln((m - b + 1) / (m + 2)) - ln((n - a + 1) / (n + 2)) AS again FROM q)
+SELECT doc_id, n_runs, n_distinct, round((n_distinct * first + (n_runs - n_distinct) * again) / nullif(n_runs, 0), 9) AS ratio,
+  n_runs > 0 AND 2 * n_distinct <= n_runs AS repeats FROM d, x""",
+)
+def p10_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ratios(spark, sf_dir).withColumn("ratio", F.round("ratio", 9))
 
 
 @query(
@@ -135,8 +151,3 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_share(spread(table(spark, sf_dir, "documents"))).withColumn("repeated", F.round("repeated", 9))
-
-
-@query("p10_target_ratio")
-def p10_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target_ratio(spread(table(spark, sf_dir, "documents")))
