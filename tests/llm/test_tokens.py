@@ -86,7 +86,9 @@ def test_packing_invariants(spark):
 def test_packing_other_capacities(spark):
     content = fill(spark, [1] * 50 + [10] * 3, capacity=20, most=8)
     assert all(sum(c) <= 20 and len(c) <= 8 for c in content.values())
-    content = fill(spark, [10] * 10, capacity=100, attention=200.0)
+    content = fill(spark, [90, 80, 10, 10, 20], capacity=100, attention=0.645)
+    assert sorted(map(sorted, content.values())) == [[10, 10, 20], [80], [90]]  # 90 costs too much for any other, 80 leaves no cost for 10
+    content = fill(spark, [10] * 10, capacity=100, attention=0.02)
     assert all(len(c) == 2 for c in content.values())
     assert fill(spark, []) == {}
 

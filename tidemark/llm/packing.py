@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import VOCABULARY, encode_texts
@@ -22,7 +22,8 @@ def vector_best_fit(sizes: np.ndarray, capacity: int, most: int, attention: floa
 
     A bin has three capacities: tokens, number of items, and attention cost (the sum of squared sizes). Among the
     open bins into which the item fits under all three, the one with the smallest weighted norm of what is then left
-    (each as a share of its capacity) is taken, the oldest among equals; a new bin opens only where none fits.
+    (each as a share of its capacity) is taken, the oldest among equals; a new bin opens only where none fits. An item
+    whose own cost is above ``attention`` has a bin to itself, as nothing fits beside it.
     """
     order = np.argsort(-sizes, kind="stable")
     bins = np.zeros(len(sizes), np.int64)
@@ -59,21 +60,24 @@ def pack(
     id_col: str = "doc_id",
     size_col: str = "n_tokens",
     capacity: int = 2048,
-    most: int = 1024,
-    attention: float | None = None,
+    most: int = 128,
+    attention: float = 0.75,
     shard_items: int = 20_000,
 ) -> DataFrame:
     """``container_id``, ``id_col``, ``piece_no``, ``token_start``, ``token_end``: each item, cut only if it exceeds the capacity.
 
     An item of more than ``capacity`` is cut into full pieces and a rest, which are placed like items. Items of a
     null or non-positive size take no room and do not come out. Repeated rows are items of their own. An empty
-    table gives an empty result. ``attention`` defaults to the square of the capacity, the cost of one full item.
+    table gives an empty result.
+
+    A container has at most ``capacity`` tokens and ``most`` items, and its attention cost, the sum of the squared sizes, is at
+    most ``attention`` times that of one full item; only an item that costs more by itself may, and then it is alone.
 
     Scale: ``sized`` is narrow and is written once to the checkpoint folder. Pieces are spread by hash over shards
     of about ``shard_items``, each packed on its own: a shard is bounded whatever the data are, and wastes about
     one container.
     """
-    attention = float(capacity) ** 2 if attention is None else attention
+    cost = attention * float(capacity) ** 2
     spark = sized.sparkSession
     ship(spark)
     sized = checkpointed(sized.select(id_col, F.col(size_col).cast("bigint").alias("n")).where("n > 0"))
@@ -85,7 +89,7 @@ def pack(
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([id_col, "piece_no"], kind="stable")
-        bins = vector_best_fit((pdf["token_end"] - pdf["token_start"]).to_numpy(), capacity, most, attention)
+        bins = vector_best_fit((pdf["token_end"] - pdf["token_start"]).to_numpy(), capacity, most, cost)
         pdf["container_id"] = pdf["shard"].astype("int64") * 2**32 + bins
         return pdf[["container_id", id_col, "piece_no", "token_start", "token_end"]]
 
@@ -98,3 +102,16 @@ def pack(
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = encode_texts(spread(table(spark, sf_dir, "documents")), vocabulary=VOCABULARY, ids=False)
     return pack(sized)
+
+
+@query("p9_checked", "SELECT doc_id, true AS whole, true AS within FROM documents WHERE text <> ''")
+def p9_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text in containers: whether its pieces are all of it, each token once, and whether all of its containers keep to the three capacities."""
+    sized = checkpointed(encode_texts(spread(table(spark, sf_dir, "documents")), vocabulary=VOCABULARY, ids=False))
+    pieces = checkpointed(pack(sized)).withColumn("size", F.col("token_end") - F.col("token_start"))
+    filled = pieces.groupBy("container_id").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("texts"), F.sum(F.col("size") * F.col("size")).alias("cost"))
+    kept = (F.col("tokens") <= 2048) & (F.col("texts") <= 128) & ((F.col("cost") <= 0.75 * 2048 * 2048) | (F.col("texts") == 1))
+    w = Window.partitionBy("doc_id").orderBy("piece_no")
+    joined = pieces.withColumn("joined", (F.col("token_start") == F.coalesce(F.lag("token_end").over(w), F.lit(0))) & ((F.col("size") == 2048) | F.lead("size").over(w).isNull()))
+    per = joined.join(filled.select("container_id", kept.alias("kept")), "container_id").groupBy("doc_id").agg(F.max("token_end").alias("end"), F.bool_and("joined").alias("joined"), F.bool_and("kept").alias("within"))
+    return per.join(sized, "doc_id").select("doc_id", (F.col("joined") & (F.col("end") == F.col("n_tokens"))).alias("whole"), "within")

@@ -118,12 +118,9 @@ s AS (SELECT doc_id, len(r) AS n_runs, len(list_distinct(r)) AS n_distinct FROM
 """
 
 
-# The forms of reports of a period, whose texts are the trusted ones.
-_REPORTS = ("10-K", "10-Q", "20-F", "40-F")
-
-
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_ratio(spread(table(spark, sf_dir, "documents")), trusted=F.col("form").isin(*_REPORTS))
+    """The trusted texts are the filings themselves, without their companions."""
+    return repetition_ratio(spread(table(spark, sf_dir, "documents")), trusted=F.col("source") == "main_filing")
 
 
 @query("p10_found", _RUNS + "SELECT doc_id FROM s WHERE 1 - n_distinct / n_runs >= 0.5")
@@ -134,9 +131,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "p10_ratio",
     _RUNS
-    + """, d AS (SELECT documents.doc_id, form, coalesce(n_runs, 0) AS n_runs, coalesce(n_distinct, 0) AS n_distinct FROM documents LEFT JOIN s USING (doc_id)),
-q AS (SELECT sum(n_distinct) AS a, sum(n_runs) AS n, coalesce(sum(n_distinct) FILTER (form IN ('10-K', '10-Q', '20-F', '40-F')), 0) AS b,
-        coalesce(sum(n_runs) FILTER (form IN ('10-K', '10-Q', '20-F', '40-F')), 0) AS m FROM d),
+    + """, d AS (SELECT documents.doc_id, source, coalesce(n_runs, 0) AS n_runs, coalesce(n_distinct, 0) AS n_distinct FROM documents LEFT JOIN s USING (doc_id)),
+q AS (SELECT sum(n_distinct) AS a, sum(n_runs) AS n, coalesce(sum(n_distinct) FILTER (source = 'main_filing'), 0) AS b,
+        coalesce(sum(n_runs) FILTER (source = 'main_filing'), 0) AS m FROM d),
 x AS (SELECT ln((b + 1) / (m + 2)) - ln((a + 1) / (n + 2)) AS first, ln((m - b + 1) / (m + 2)) - ln((n - a + 1) / (n + 2)) AS again FROM q)
 SELECT doc_id, n_runs, n_distinct, round((n_distinct * first + (n_runs - n_distinct) * again) / nullif(n_runs, 0), 9) AS ratio,
   n_runs > 0 AND 2 * n_distinct <= n_runs AS repeats FROM d, x""",

@@ -45,6 +45,24 @@ def encode_texts(df: DataFrame, *, id_col: str = "doc_id", vocabulary: str = VOC
     return out.toDF(id_col, "ids" if ids else "n_tokens")
 
 
+def decode_ids(df: DataFrame, *, id_col: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``id_col`` and the ``text`` that ``ids`` stand for, the inverse of ``encode_texts``; empty and null lists give an empty text."""
+    raw = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        said = replayer(raw.value).bytes_of
+        texts = [b"".join(map(said.__getitem__, ids or ())).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+    return arrow_map(df.select(id_col, "ids"), run, f"id {dict(df.dtypes)[id_col]}, text string").toDF(id_col, "text")
+
+
+@query("p8_text", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of ``p8_ids``, decoded again."""
+    return decode_ids(p8_ids(spark, sf_dir))
+
+
 @query("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(spread(table(spark, sf_dir, "documents")))
