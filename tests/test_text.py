@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.breaks import Breaks
 from tidemark.operators import adjudicate as ad
 from tidemark.operators import intervals as iv
 from tidemark.operators import kernels as ke
@@ -112,11 +114,11 @@ def test_referrals():
     assert lo.parse_referral("T\nIt is found beginning on page 81.") is None
     assert not lo.is_stub(text, (0, 5000))
     named = headed("1") + "Item 7A. Risk\nRefer to “Market Risk” in the report.\n" + "x\nMarket Risk\nAll about it.\nCapital\nOther\n"
-    spans = lo.resolve(named, lo.Referral([], [["Market Risk"]], None), (0, len(named)), [("Market Risk", False), ("Capital", False)])
+    spans = lo.Book(named, (0, len(named)), [("Market Risk", False), ("Capital", False)]).resolve(lo.Referral([], [["Market Risk"]], None))
     assert [named[a:z] for a, z in spans] == ["Market Risk\nAll about it.\n"]
-    assert lo.resolve(named, lo.Referral([], [["Market Risk"]], None), (0, len(named)), []) == []
+    assert lo.Book(named, (0, len(named)), []).resolve(lo.Referral([], [["Market Risk"]], None)) == []
     notes = "NOTE 1. Basis\ntext\nNOTE 2\nLitigation\nbody\nNOTE 3\nend"
-    spans = lo.resolve(notes, lo.Referral([], [["Note 2", "Litigation"]], 2), (0, len(notes)), [])
+    spans = lo.Book(notes, (0, len(notes)), []).resolve(lo.Referral([], [["Note 2", "Litigation"]], 2))
     assert [notes[a:z] for a, z in spans] == ["Litigation\nbody\n"]
 
 
@@ -140,7 +142,7 @@ def test_located_rows(spark):
 
 @pytest.mark.parametrize("text", [BODY * 20, "x" * 9000, "para\n\n" * 3000, ""])
 def test_windows(text):
-    spans = list(pa.windows(text, 0, len(text)))
+    spans = list(pa.windows(Breaks(text), 0, len(text)))
     if not text:
         assert spans == []
         return
@@ -173,7 +175,38 @@ def test_passages():
     with pytest.raises(ValueError):
         pa.find_passages(text, " ")
     assert pa.narrow(text, 1000, "ALLOWANCE rose") == (1011, 1046) and pa.narrow(text, 0, "zzq") is None
-    assert pa.quote("a  b\nc") == "a b c" and len(pa.quote("x" * 200)) == 90
+
+
+def test_breaks_are_those_of_a_search():
+    r = random.Random(8)
+    kinds = [re.compile(p) for p in (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+")]
+    for _ in range(300):
+        text = "".join(r.choice("ab.! \n\n\t") for _ in range(80))
+        breaks = Breaks(text)
+        for _ in range(20):
+            low = r.randrange(0, 70)
+            high = r.randrange(low + 1, 81)
+            ends = [[low + m.end() for m in k.finditer(text[low:high])] for k in kinds]
+            assert breaks.last(low, high) == next((e[-1] for e in ends if e), None)
+
+
+def test_quotes(spark):
+    df = spark.createDataFrame([("a  b\n\u00a0c ",), ("x" * 200,), (None,)], "p string").select(pa.quoted(F.col("p")))
+    assert [r[0] for r in df.collect()] == ["a b c", "x" * 87 + "...", None]
+
+
+def test_longest_chain_of_pages():
+    r = random.Random(6)
+    for _ in range(20):
+        numbers = sorted([*range(1, 31), *(r.randint(1, 40) for _ in range(25))], key=lambda n: n + 6 * r.random())
+        text = "".join(f"words\n{n}\n" for n in numbers)
+        best: dict[int, int] = {}
+        for n in numbers:
+            best[n] = max(best.get(n, 0), 1 + best.get(n - 1, 0))
+        found = lo.page_index(text)
+        longest = max(best.values())
+        assert len(found) == (longest if longest >= lo.PAGE_RUN else 0)
+        assert [text[slice(*found[n])] for n in found] == [str(n) for n in found] and list(found.values()) == sorted(found.values())
 
 
 def test_uncovered(spark):

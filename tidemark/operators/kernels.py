@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions.breaks import Breaks
 from tidemark.operators.text import locate, markup_text, passages
 from tidemark.session import ship
 
@@ -63,35 +64,44 @@ def located(filings: DataFrame, *, id_col: str = "accession") -> DataFrame:
     return rows_of(filings.select(id_col, "text", parts.alias("parts"), outline.alias("outline")), find, schema)
 
 
-def chunked(segments: DataFrame, *, id_col: str = "accession", tokens: int = passages.TARGET_TOKENS, overlap: float = passages.OVERLAP) -> DataFrame:
-    """``id_col``, ``items``, ``char_start``, ``char_end``, ``text`` of the windows over each segment, those under 200 characters left out.
+_SEGMENTS = "array<struct<start:bigint,end:bigint,items:array<string>>>"
 
-    In: ``id_col``, ``text`` (whole), ``start``, ``end``, ``items``. A segment that is a document gives fixed windows, one that is a run of
-    the same items gives item-aware chunks.
+
+def chunked(texts: DataFrame, *, id_col: str = "accession", tokens: int = passages.TARGET_TOKENS, overlap: float = passages.OVERLAP) -> DataFrame:
+    """``id_col``, ``items``, ``char_start``, ``char_end``, ``text`` of the windows over each segment of a text, those under 200 characters left out.
+
+    In: ``id_col``, ``text`` (whole), ``segments`` (array of structs of start, end and items). A segment that is a document gives fixed
+    windows, one that is a run of the same items gives item-aware chunks. Each text is sent once, with all of its segments.
     """
-    kind = dict(segments.dtypes)[id_col]
+    kind = dict(texts.dtypes)[id_col]
 
-    def split(i: Any, text: str | None, start: int, end: int, items: list | None) -> Iterator[tuple]:
-        for a, z in passages.windows(text or "", start, end, tokens=tokens, overlap=overlap) if text else ():
-            if z - a >= passages.MIN_CHARS:
-                yield i, items, a, z, text[a:z]
+    def split(i: Any, text: str | None, segments: list[dict] | None) -> Iterator[tuple]:
+        if text and segments:
+            breaks = Breaks(text)
+            for s in segments:
+                for a, z in passages.windows(breaks, s["start"], s["end"], tokens=tokens, overlap=overlap):
+                    if z - a >= passages.MIN_CHARS:
+                        yield i, s["items"], a, z, text[a:z]
 
-    return rows_of(segments.select(id_col, "text", "start", "end", "items"), split, f"{id_col} {kind}, items array<string>, char_start bigint, char_end bigint, text string")
+    rows = texts.select(id_col, "text", F.col("segments").cast(_SEGMENTS))
+    return rows_of(rows, split, f"{id_col} {kind}, items array<string>, char_start bigint, char_end bigint, text string")
 
 
 def fixed_windows(filings: DataFrame, *, id_col: str = "accession", **how: Any) -> DataFrame:
     """Chunks of each document of a filing, without items."""
-    whole = F.array(F.struct(F.lit("").alias("name"), F.lit(0).cast("bigint").alias("start"), F.length("text").cast("bigint").alias("end")))
-    parts = F.coalesce(F.col("parts"), whole) if "parts" in filings.columns else whole
-    rows = filings.where("text IS NOT NULL").select(id_col, "text", F.explode(parts).alias("p"))
-    return chunked(rows.select(id_col, "text", "p.start", "p.end", F.expr("cast(array() as array<string>)").alias("items")), id_col=id_col, **how)
+    none = F.expr("cast(array() as array<string>)").alias("items")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.length("text").cast("bigint").alias("end"), none))
+    given = F.transform("parts", lambda p: F.struct(p["start"].cast("bigint").alias("start"), p["end"].cast("bigint").alias("end"), none)) if "parts" in filings.columns else F.lit(None)
+    return chunked(filings.where("text IS NOT NULL").select(id_col, "text", F.coalesce(given.cast(_SEGMENTS), whole.cast(_SEGMENTS)).alias("segments")), id_col=id_col, **how)
 
 
 def item_aware(filings: DataFrame, segments: DataFrame, *, id_col: str = "accession", items: list[str] | None = None, **how: Any) -> DataFrame:
     """Chunks of each segment (``start``, ``end``, ``items``), if asked for only of those with any of some items."""
     if items is not None:
         segments = segments.where(F.arrays_overlap("items", F.array(*[F.lit(x) for x in items])))
-    return chunked(filings.select(id_col, "text").join(segments, id_col), id_col=id_col, **how)
+    # A text has few segments, which are narrow: they are put together before its text is joined, once.
+    own = segments.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end", "items"))).alias("segments"))
+    return chunked(filings.select(id_col, "text").join(own, id_col), id_col=id_col, **how)
 
 
 def with_passages(texts: DataFrame, phrase: str, *, id_col: str, most: int = 10) -> DataFrame:
@@ -103,6 +113,7 @@ def with_passages(texts: DataFrame, phrase: str, *, id_col: str, most: int = 10)
 
     def find(i: Any, text: str) -> Iterator[tuple]:
         for a, z in passages.find_passages(text, phrase, most=most):
-            yield i, a, z, passages.quote(text[a:z])
+            yield i, a, z, text[a:z]
 
-    return rows_of(rows, find, f"{id_col} {kind}, char_start bigint, char_end bigint, quote string")
+    found = rows_of(rows, find, f"{id_col} {kind}, char_start bigint, char_end bigint, quote string")
+    return found.withColumn("quote", passages.quoted(F.col("quote")))
