@@ -31,17 +31,20 @@ _TAGS = (
     "output p param picture pre progress q rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table "
     "tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr"
 )
+# Prefixes of the XML vocabularies that stand in pages of filings.
+_PREFIXES = "ix ixt link xlink xbrli xbrldi us-gaap dei svg math xsi o v w"
 _BLOCKS = "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend main nav noscript ol option p section select summary table tbody tfoot thead title tr ul br"
 _ENTITIES = frozenset(k for k in html5 if k.endswith(";"))
 
 _I, _M = re.IGNORECASE, re.MULTILINE
 _ATTRIBUTES = r"(?:\s+[^\s<>=\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?"
-_TAG = re.compile(rf"</?({_TAGS.replace(' ', '|')}){_ATTRIBUTES}>", _I)
+_TAG = re.compile(rf"</?({_TAGS.replace(' ', '|')}|(?:{_PREFIXES.replace(' ', '|')}):[a-z][\w.-]*){_ATTRIBUTES}>", _I)
 _TAG_LIKE = re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^<>]*>|<!\[CDATA\[|<\?xml[^<>]*>", _I | re.S)
 _REFERENCE = re.compile(r"&(?:#\d{1,7};|#[xX][0-9a-fA-F]{1,6};|([A-Za-z][A-Za-z0-9]*;))")
 _ESCAPED = re.compile(r"&(?:(?:amp|AMP|#0{0,5}38|#[xX]0{0,4}26);)+")
 _WIKI_TAG = re.compile(r"</?(?:ref|references|nowiki|syntaxhighlight|gallery|noinclude|includeonly|onlyinclude)(?:\s[^<>]*)?/?>", _I)
 
+_LINE_END = re.compile(r"\r\n?")
 _FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})([^`\n]*)\n(.*?)(?:^[ ]{0,3}\1[`~]*[ \t]*$|\Z)", _M | re.S)
 _PRE = re.compile(r"<(pre|code|script|style|syntaxhighlight|nowiki|source|samp|kbd)(\s[^<>]*)?>(.*?)</\1\s*>", _I | re.S)
 _VERBATIM = re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted|alltt)\}(.*?)\\end\{\1\}", re.S)
@@ -54,6 +57,8 @@ _MARKDOWN = [
         r"^[ \t]{0,3}[^\s=-][^\n]*\r?\n[ ]{0,3}(?:={3,}|-{3,})[ \t]*\r?$",
         r"(?<![\w*\\])(\*{1,3})(?![\s*])[^*\n]*[^*\s](?:\1)(?![\w*])",
         r"(?<![\w_\\])(_{1,3})(?![\s_])[^\n]*?[^_\s\n](?:\1)(?![\w_])",
+        r"(?<![\w*\\])\*\*(?![\s*])(?:[^*\n]|\n(?![ \t]*\n))*[^*\s]\*\*(?![\w*])",
+        r"(?<![\w_\\])__(?![\s_])(?:[^_\n]|\n(?![ \t]*\n))*[^_\s]__(?![\w_])",
         r"(?<![\w~])~~(?![\s~])[^~\n]*[^~\s]~~(?![\w~])",
         r"!?\[[^\[\]\n]*\]\((?:[^\s()]|\([^\s()]*\))+(?:\s+\"[^\"\n]*\")?\)",
         r"\[[^\[\]\n]+\]\[[^\[\]\n]+\]",
@@ -71,6 +76,7 @@ _WIKI = [
         r"(?<!')('{2,3}|'{5})(?!['\s])[^'\n](?:[^\n]*?[^'\n])?\1(?!')",
         r"\[\[[^\[\]\n]+\]\]",
         r"\{\{[^{}\n]+\}\}",
+        r"\{\{[^{}|\n]+\n\s*\|[^{}]*\}\}",
         r"^\{\|",
         r"^\|(?:\}|-(?!-))",
         r"^[;:]+[ \t]*\S",
@@ -114,7 +120,7 @@ def markup_kinds(text: str | None) -> list[str]:
     """The kinds of markup of which a text has a trace, sorted."""
     if not text or not _MAYBE.search(text):
         return []
-    text, kinds = _without_code(text)
+    text, kinds = _without_code(_LINE_END.sub("\n", text) if "\r" in text else text)
     if "<" in text:
         if _TAG.search(text) or _TAG_LIKE.search(text):
             kinds.add("html")
@@ -233,7 +239,7 @@ def _markdown(text: str) -> str:
     text = re.sub(r"!?\[([^\[\]\n]*)\]\((?:[^\s()]|\([^\s()]*\))+(?:\s+\"[^\"\n]*\")?\)", r"\1", text)
     text = re.sub(r"\[([^\[\]\n]+)\]\[[^\[\]\n]+\]", r"\1", text)
     text = re.sub(r"^[ ]{0,3}\[[^\[\]\n]+\]:\s+\S+[^\n]*$", "", text, flags=_M)
-    for p in (r"(?<![\w*\\])(\*{1,3})(?![\s*])([^*\n]*[^*\s])\1(?![\w*])", r"(?<![\w_\\])(_{1,3})(?![\s_])([^\n]*?[^_\s\n])\1(?![\w_])", r"(?<![\w~])(~~)(?![\s~])([^~\n]*[^~\s])~~(?![\w~])"):
+    for p in (r"(?<![\w*\\])(\*\*)(?![\s*])((?:[^*\n]|\n(?![ \t]*\n))*[^*\s])\*\*(?![\w*])", r"(?<![\w_\\])(__)(?![\s_])((?:[^_\n]|\n(?![ \t]*\n))*[^_\s])__(?![\w_])", r"(?<![\w*\\])(\*{1,3})(?![\s*])([^*\n]*[^*\s])\1(?![\w*])", r"(?<![\w_\\])(_{1,3})(?![\s_])([^\n]*?[^_\s\n])\1(?![\w_])", r"(?<![\w~])(~~)(?![\s~])([^~\n]*[^~\s])~~(?![\w~])"):
         text = re.sub(p, r"\2", text)
     text = re.sub(r"^[ ]{0,3}>[ \t]+", "", text, flags=_M)
     return re.sub(r"^([ \t]*)[-*+][ \t]+(?=\S)", r"\1• ", text, flags=_M)
@@ -245,7 +251,7 @@ def clean_text(text: str | None) -> tuple[list[str], str | None]:
     if not kinds:
         return kinds, text
     keep = _Kept()
-    text = re.sub("[\ue000\ue001]", "", text.replace("\r\n", "\n"))
+    text = re.sub("[\ue000\ue001]", "", _LINE_END.sub("\n", text))
     text = _FENCE.sub(lambda m: keep(_block(m[3])), text)
     text = _VERBATIM.sub(lambda m: keep(_block(m[2])), text)
     text = _CODE_SPAN.sub(lambda m: keep(m[2]), text)
