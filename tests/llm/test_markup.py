@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from tidemark.llm.markup import clean_markup, clean_text, markup_kinds, p2_templates, template_classes
+from tidemark.llm.markup import clean_markup, clean_text, markup_kinds, p2_templates, slots_of, template_classes, template_slots
 
 PLAIN = [
     "Holders of <5% positions; a < b and c > d.",
@@ -100,3 +100,27 @@ def test_templates_of_all_texts(spark, tmp_path):
     spark.createDataFrame([(n, t, "main") for n, t in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(tuple(r["tokens"]), r["pages"]) for r in p2_templates(spark, str(tmp_path)).collect()}
     assert got == {(("<p>", "apples", "</p>"), 25), (("filed", "by", "agent"), 25)}
+
+
+def test_line_ends_and_markup_over_lines():
+    for end in ("\n", "\r\n", "\r"):
+        text = "```sql\nSELECT 1\n```\n\n<h2>Title</h2>\n{{Infobox\n| name = x\n}}\nSome **strong\nwords** here".replace("\n", end)
+        assert markup_kinds(text) == ["html", "markdown", "wiki"]
+        kinds, clean = clean_text(text)
+        assert "    SELECT 1" in clean and "Title" in clean and not any(x in clean for x in ("```", "<h2>", "Infobox", "**"))
+    assert markup_kinds('Net <ix:nonFraction unitRef="USD" name="us-gaap:Revenues">12</ix:nonFraction> in all') == ["html"]
+    assert markup_kinds("Send to <ir@x.example> at <hh:mm>, 10**6 or\n2**10 of {{ name") == []
+    assert markup_kinds("* one\n\nTotals ** of\n\nthe year**") != ["html"]
+
+
+def test_slots(spark):
+    pages = [(n, "s", f"<html><title>Report</title><div>Filed by agent</div><p class='x'>{w} {w}</p><div>Contact us</div></html>", "q") for n, w in enumerate("ab cd ef gh ij kl".split())]
+    pages += [(20, None, "Report ab", "q"), (21, "s", None, "q"), (22, "t", "Report alone", "q")]
+    df = spark.createDataFrame(pages, "doc_id bigint, source string, text string, slot_no string")
+    got = {}
+    for r in template_slots(df, min_pages=5).collect():
+        got.setdefault(r["doc_id"], []).append((r["slot_no"], r["after"], r["text"]))
+    assert set(got) == set(range(6))
+    assert [(a, t) for _, a, t in sorted(got[1])] == [("</title>", "<div>"), ("agent", "</div>"), ("<p>", "cd cd"), ("</p>", "<div>"), ("us", "</div>")]
+    assert slots_of("a <b>x</b>", set()) == [(None, "a <b>x</b>")] and slots_of("", {"x"}) == []
+    assert template_slots(df.limit(0)).count() == 0

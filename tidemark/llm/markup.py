@@ -319,13 +319,33 @@ def _occurrences(pages: DataFrame, id_col: str, host_col: str) -> DataFrame:
     return arrow_map(rows, run, f"host {dict(pages.dtypes)[host_col]}, page bigint, token string, c int, first int, last int")
 
 
+def _valid(per: DataFrame, min_pages: int, min_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Tokens of the valid classes (``host``, ``v``, ``token`` and what is known of these), and where pages have them (``host``, ``page``, ``token``)."""
+    hashed = per.withColumn("h", F.xxhash64("page", "c"))
+    vector = F.struct(F.sum(F.col("h").bitwiseAND(F.lit(2**32 - 1))).alias("low"), F.sum(F.shiftright("h", 32)).alias("high"))
+    tokens = hashed.groupBy("host", "token").agg(vector.alias("v"), F.count(F.lit(1)).alias("pages"), F.sum("c").alias("occurrences"), F.avg("first").alias("at"), F.avg("last").alias("until"))
+    tokens = checkpointed(tokens.where(F.col("pages") >= min_pages))
+    sizes = tokens.groupBy("host", "v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_tokens)
+    members = checkpointed(tokens.join(sizes, ["host", "v"], "left_semi"))
+    # In order on every page: the neighbours in the order of mean places never change places on a page, neither first nor last.
+    w = Window.partitionBy("host", "v").orderBy("at", "token")
+    pairs = members.withColumn("next", F.lead("token").over(w)).where("next IS NOT NULL").select("host", "v", "token", "next")
+    asked = members.select("host", "token")
+    places = checkpointed(per.select("host", "page", "token", "first", "last").join(F.broadcast(asked) if asked.count() <= BROADCAST_TOKENS else asked, ["host", "token"], "left_semi"))
+    then = places.select("host", "page", F.col("token").alias("next"), F.col("first").alias("first_"), F.col("last").alias("last_"))
+    swapped = pairs.join(places, ["host", "token"]).join(then, ["host", "page", "next"]).where("first_ < first OR last_ < last")
+    valid = checkpointed(members.join(swapped.select("host", "v").distinct(), ["host", "v"], "left_anti"))
+    return valid, places.select("host", "page", "token")
+
+
 def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", min_pages: int = 20, min_tokens: int = 3) -> DataFrame:
     """``host``, ``tokens``, ``pages``, ``occurrences``, ``depth``: equivalence classes of tokens over the pages of a host.
 
     A token is a tag or a word. Tokens of one class
     occur equally often on every page of the host; a class is valid if it has ``min_tokens`` or more on ``min_pages`` or more pages and
-    its tokens keep their order on every page. Classes are nested by what they span: ``depth`` counts the valid classes of the host
-    that are on all the pages of a class and span it from first to last token. What lies between the tokens of a class is content.
+    its tokens keep their order on every page, both at their first and at their last places. Classes are nested by what they span: ``depth``
+    counts the valid classes of the host that are on all the pages of a class and span it from first to last token. What lies between the tokens
+    of a class is content, see ``template_slots``.
 
     Rows with a null host or text are left out, each other row is a page of its own; an empty table gives an empty result.
 
@@ -333,20 +353,7 @@ def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str
     is gathered, and pages are read twice rather than shuffled unless classes have more tokens than ``BROADCAST_TOKENS``. Only tokens of
     classes, of which there are few, are gathered, ``depth`` compares the classes of one host.
     """
-    per = _occurrences(pages, id_col, host_col)
-    hashed = per.withColumn("h", F.xxhash64("page", "c"))
-    vector = F.struct(F.sum(F.col("h").bitwiseAND(F.lit(2**32 - 1))).alias("low"), F.sum(F.shiftright("h", 32)).alias("high"))
-    tokens = hashed.groupBy("host", "token").agg(vector.alias("v"), F.count(F.lit(1)).alias("pages"), F.sum("c").alias("occurrences"), F.avg("first").alias("at"), F.avg("last").alias("until"))
-    tokens = checkpointed(tokens.where(F.col("pages") >= min_pages))
-    sizes = tokens.groupBy("host", "v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_tokens)
-    members = checkpointed(tokens.join(sizes, ["host", "v"], "left_semi"))
-    # In order on every page: the neighbours in the order of mean places never change places on a page.
-    w = Window.partitionBy("host", "v").orderBy("at", "token")
-    pairs = members.withColumn("next", F.lead("token").over(w)).where("next IS NOT NULL").select("host", "v", "token", "next")
-    asked = members.select("host", "token")
-    places = checkpointed(per.select("host", "page", "token", "first").join(F.broadcast(asked) if asked.count() <= BROADCAST_TOKENS else asked, ["host", "token"], "left_semi"))
-    swapped = pairs.join(places, ["host", "token"]).join(places.select("host", "page", F.col("token").alias("next"), F.col("first").alias("then")), ["host", "page", "next"]).where("then < first")
-    valid = members.join(swapped.select("host", "v").distinct(), ["host", "v"], "left_anti")
+    valid, _ = _valid(_occurrences(pages, id_col, host_col), min_pages, min_tokens)
     classes = valid.groupBy("host", "v").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"), F.max("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.min("at").alias("at"), F.max("until").alias("until")
     )
@@ -355,12 +362,56 @@ def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str
     return classes.join(around, ["host", "v"], "left").select("host", "tokens", "pages", "occurrences", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
+def slots_of(text: str, template: set[str]) -> list[tuple[str | None, str]]:
+    """The stretches of a text between its template tokens, each with the token before it; blank ones are left out. A tag ends with its bracket."""
+    out, at, before = [], 0, None
+    for m in _TOKEN.finditer(text):
+        token = m.group().lower()
+        token = f"{token}>" if token[0] == "<" else token
+        if token in template and m.start() >= at:  # not a word within a tag
+            out.append((before, text[at : m.start()].strip()))
+            end = re.compile(r"[^<>]*>").match(text, m.end()) if token[0] == "<" else None
+            at, before = end.end() if end else m.end(), token
+    return [(b, t) for b, t in [*out, (before, text[at:].strip())] if t]
+
+
+def template_slots(pages: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", min_pages: int = 20, min_tokens: int = 3) -> DataFrame:
+    """``id_col``, ``slot_no`` (from 0), ``after``, ``text``: what the pages of a host have in the slots of their template.
+
+    The template of a page are the tokens of the valid classes of its host that are on it (see ``template_classes``); a slot is what stands
+    between two of these, ``after`` the token before it (null at the beginning). Pages without such tokens have no slots; what is left out
+    is as there.
+
+    Scale: as there; what is gathered for a page are its own tokens, and each text of a page with a template is shuffled once.
+    """
+    valid, places = _valid(_occurrences(pages, id_col, host_col), min_pages, min_tokens)
+    templates = places.join(valid.select("host", "token"), ["host", "token"]).groupBy("page").agg(F.collect_set("token").alias("template"))
+    rows = pages.where(F.col(host_col).isNotNull() & F.col("text").isNotNull()).select(F.xxhash64(id_col, "text").alias("page"), F.col(id_col).alias("id"), "text")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        which, no, after, texts = [], [], [], []
+        for r, (text, template) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            for k, (before, slot) in enumerate(slots_of(text, set(template))):
+                which.append(r), no.append(k), after.append(before), texts.append(slot)
+        columns = [b.column(0).take(pa.array(which, pa.int32())), pa.array(no, pa.int32()), pa.array(after, pa.string()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "slot_no", "after", "text"])
+
+    out = arrow_map(rows.join(templates, "page").select("id", "text", "template"), run, f"id {dict(pages.dtypes)[id_col]}, slot_no int, after string, text string")
+    return out.withColumnRenamed("id", id_col)
+
+
 @query("p2_templates")
 def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of all texts, by source."""
     return template_classes(spread(table(spark, sf_dir, "documents")))
 
 
+@query("p2_slots")
+def p2_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What texts have in the slots of their source's template."""
+    return template_slots(spread(table(spark, sf_dir, "documents")))
+
+
 @query("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_markup(spread(table(spark, sf_dir, "documents")), text=False).select("doc_id", F.explode("markup").alias("markup"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.breaks import RangeMaximum
 from tidemark.llm.common import arrow_map
 from tidemark.plans.registry import Registry, table
 from tidemark.session import spread
@@ -31,24 +32,6 @@ def boundary_strengths(text: str) -> np.ndarray:
     return strength
 
 
-class RangeMaximum:
-    """Sparse table over boundary strengths: the strongest position of a range, the rightmost among equals."""
-
-    def __init__(self, strength: np.ndarray, longest: int) -> None:
-        keys = strength.astype(np.int64) * (len(strength) + 1) + np.arange(len(strength))
-        self.width, self.levels, reach = len(strength) + 1, [keys], 1
-        while 2 * reach <= min(longest, len(strength)):
-            last = self.levels[-1]
-            self.levels.append(np.maximum(last[:-reach], last[reach:]))
-            reach *= 2
-
-    def strongest(self, low: int, high: int) -> int:
-        """The best position of low..high, both included."""
-        k = (high - low + 1).bit_length() - 1
-        row = self.levels[k]
-        return int(max(row[low], row[high + 1 - (1 << k)]) % self.width)
-
-
 def cut(text: str, size: int, overlap: int, least: int) -> list[tuple[int, int]]:
     """Half-open spans of the pieces of a text."""
     n = len(text)
