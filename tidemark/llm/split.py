@@ -105,11 +105,17 @@ r AS (SELECT row_id, 0 AS piece_no, 0 AS s,
       SELECT row_id, piece_no + 1, z - 480, CASE WHEN n - (z - 480) <= 3200 THEN n
         ELSE coalesce(list_max(list_filter(marks, lambda x: x % 10000000 BETWEEN z - 480 + 1600 AND z - 480 + 3200))::BIGINT % 10000000, z - 480 + 3200) END
       FROM r JOIN b USING (row_id) WHERE z < n)
-SELECT row_id, CAST(piece_no AS INTEGER) AS piece_no, char_start + s AS char_start, char_start + z AS char_end, items, substring(text, s + 1, z - s) AS text FROM r JOIN b USING (row_id)
+SELECT row_id, CAST(piece_no AS INTEGER) AS piece_no, char_start + s AS char_start, char_start + z AS char_end, array_to_string(items, ' ') AS items, substring(text, s + 1, z - s) AS text FROM r JOIN b USING (row_id)
 """
 )
 
 
-@query("p3_pieces", _PIECES)
+@query("p3_pieces")
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(spread(table(spark, sf_dir, "manifest")))
+
+
+@query("p3_spans", _PIECES)
+def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of ``p3_pieces`` with their items on a line."""
+    return p3_pieces(spark, sf_dir).withColumn("items", F.array_join("items", " "))
