@@ -346,7 +346,7 @@ def drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.drift(spans, table(spark, sf_dir, "manifest")).select("question_id", "span_id", "problem")
 
 
-_SCOPED = """WITH sc AS (SELECT question_id, list_sort(list(DISTINCT m.ticker))[1:3] AS tickers FROM judgments j JOIN manifest m USING (row_id) WHERE j.grade >= 1 GROUP BY question_id),
+_SCOPED = """WITH sc AS (SELECT question_id, list_sort(list(DISTINCT m.ticker)) AS tickers FROM judgments j JOIN manifest m USING (row_id) WHERE j.grade >= 1 GROUP BY question_id),
 h AS (SELECT question_id, retriever AS config, row_id, ticker, max(score) AS score FROM hits WHERE score IS NOT NULL AND NOT isnan(score) AND retriever <> 'l2_distance' GROUP BY ALL),
 t AS (SELECT h.*, len(tickers) AS n, list_position(tickers, h.ticker) AS place, row_number() OVER (PARTITION BY h.question_id, config, CASE WHEN len(tickers) > 1 THEN h.ticker END ORDER BY score DESC, row_id) AS turn FROM h JOIN sc USING (question_id) WHERE list_contains(tickers, h.ticker)),
 p AS (SELECT *, row_number() OVER (PARTITION BY question_id, config ORDER BY turn, place) AS position FROM t WHERE turn <= ceil(10 / n))"""
@@ -354,11 +354,11 @@ p AS (SELECT *, row_number() OVER (PARTITION BY question_id, config ORDER BY tur
 
 @query("eval_scoped", f"{_SCOPED} SELECT question_id, config, row_id, position FROM p WHERE position <= 10")
 def eval_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each retriever within the scope of its question: the first three companies of which passages were judged relevant."""
+    """Each retriever within the scope of its question: the companies of which passages were judged relevant."""
     hits = table(spark, sf_dir, "hits").where("score IS NOT NULL AND NOT isnan(score) AND retriever <> 'l2_distance'")
     scored = hits.groupBy("question_id", F.col("retriever").alias("config"), "row_id", "ticker").agg(F.max("score").alias("score"), F.first("fiscal_year").alias("fiscal_year"), F.first("items").alias("items"))
     tickers = table(spark, sf_dir, "manifest").select("row_id", "ticker")
-    judged = table(spark, sf_dir, "judgments").where("grade >= 1").join(tickers, "row_id").groupBy("question_id").agg(F.slice(F.array_sort(F.collect_set("ticker")), 1, 3).alias("tickers"))
+    judged = table(spark, sf_dir, "judgments").where("grade >= 1").join(tickers, "row_id").groupBy("question_id").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
     scopes = judged.withColumn("fiscal_years", F.expr("cast(array() as array<int>)")).withColumn("items", F.lit(None).cast("array<string>"))
     return ev.scoped_hits(scored, scopes).select("question_id", "config", "row_id", F.col("position").cast("bigint").alias("position"))
 
