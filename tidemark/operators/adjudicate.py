@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import random
 from collections.abc import Sequence
 
 import pandas as pd
@@ -30,7 +30,7 @@ def pool(hits: DataFrame, spans: DataFrame, *, depth: int = 10, seed: int = SEED
 
     Configs are read in their order; a hit that shares half of the shorter one's length with one taken before is
     the same passage. That choice depends on the order, so a question is worked off in one group, which is bounded by
-    configs x ``depth``. The shuffle has the question as its seed.
+    configs x ``depth``. They are shuffled by a hash of seed, question and row, which any engine can repeat.
     """
     rows = unjudged(hits.where(F.col("position") <= depth), spans).select("question_id", "config", "position", "row_id", "accession", "char_start", "char_end")
     from tidemark.session import ship
@@ -44,8 +44,8 @@ def pool(hits: DataFrame, spans: DataFrame, *, depth: int = 10, seed: int = SEED
             mine = kept.setdefault(r.accession, [])
             if all(min(e, r.char_end) - max(s, r.char_start) < SAME * min(e - s, r.char_end - r.char_start) for s, e in mine):
                 mine.append((r.char_start, r.char_end))
-                take.append(i)
-        random.Random(f"{seed}:{pdf['question_id'].iloc[0]}").shuffle(take)
+                take.append((hashlib.md5(f"{seed}:{r.question_id}:{r.row_id}".encode()).hexdigest(), i))
+        take = [i for _, i in sorted(take)]
         out = pdf.sort_values(["config", "position"]).iloc[take].copy()
         out["place"] = range(1, len(out) + 1)
         return out[["question_id", "place", "row_id", "accession", "char_start", "char_end"]]
@@ -76,7 +76,7 @@ def recheck_sample(labels: DataFrame, key: Sequence[str], fraction: float, seed:
     if done is not None:
         keys = keys.join(done.select(*key), list(key), "left_anti")
     n = math.ceil(fraction * keys.count())
-    return keys.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return keys.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), *key).limit(n)
 
 
 def recent(labels: DataFrame, today: str, days: int = FRESH_DAYS, on: str = "judged_on") -> DataFrame:

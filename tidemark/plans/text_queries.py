@@ -9,6 +9,7 @@ from tidemark.operators import adjudicate as ad
 from tidemark.operators import intervals as iv
 from tidemark.operators import kernels as ke
 from tidemark.operators import manifest as ma
+from tidemark.operators.text.locate import INCORPORATION
 from tidemark.plans.registry import Registry, table
 from tidemark.session import spread
 from tidemark.plans.retrieval_queries import _EVAL, _hits, _spans
@@ -18,16 +19,17 @@ query = Registry()
 _ITEMSQL = "['1','1A','1B','1C','2','3','4','5','6','7','7A','8','9','9A','9B','10','11','12','13','14','15','16']"
 _TITLESQL = "MAP {" + ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in ma.TITLES.items()) + "}"
 _LABELS = f"array_to_string(list_transform(items, lambda i: 'Item ' || i || coalesce('. ' || {_TITLESQL}[i], '')), '; ')"
-_PREFIX = f"""c.company_name || ' (' || m.ticker || ')' || ' · ' || form || ' · period ending ' || strftime(period_end, '%Y-%m-%d') || ' · ' || CASE WHEN len(items) > 0 THEN {_LABELS} ELSE 'full document' END"""
+_PREFIX = f"""concat_ws(' · ', coalesce(c.company_name, m.ticker) || ' (' || m.ticker || ')', form, 'period ending ' || strftime(period_end, '%Y-%m-%d'), CASE WHEN len(items) > 0 THEN {_LABELS} ELSE 'full document' END)"""
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "companies").where("company_name IS NOT NULL").select("ticker", "company_name")
-    rows = table(spark, sf_dir, "manifest").where("form IS NOT NULL AND period_end IS NOT NULL").join(names, "ticker")
+    """All manifest rows with their prefix: a company without a name goes by its ticker, and what a row lacks is left out of the prefix."""
+    names = table(spark, sf_dir, "companies").select("ticker", "company_name")
+    rows = table(spark, sf_dir, "manifest").join(names, "ticker", "left").withColumn("company_name", F.coalesce("company_name", "ticker"))
     return rows.withColumn("prefix", ma.contextual_prefix(*[F.col(c) for c in ("company_name", "ticker", "form", "period_end", "items")]))
 
 
-_NAMED = "FROM manifest m JOIN companies c USING (ticker) WHERE c.company_name IS NOT NULL AND form IS NOT NULL AND period_end IS NOT NULL"
+_NAMED = "FROM manifest m LEFT JOIN companies c USING (ticker)"
 
 
 @query("contextual_prefix", f"SELECT row_id, {_PREFIX} AS prefix, form || CASE WHEN len(items) > 0 THEN ' > ' || {_LABELS} ELSE '' END AS path, accession || ':' || char_start AS id {_NAMED}")
@@ -181,28 +183,107 @@ def html_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ke.normalized(spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("html")), id_col="doc_id")
 
 
-@query("sections_located")
+# Headings with their places; runs of five or more close, ascending ones are contents; of the rest the longest chain in the order of the
+# items, found step by step from the lists of what was found before.
+_SECTIONS = rf"""
+h1 AS (SELECT doc_id, length(text) AS n, regexp_extract_all(text, '(?ism).*?^[ \t]*Item[ \t]+\d{{1,2}}[A-C]?[ \t]*[.—–:-]?[ \t]*') AS parts FROM documents),
+h2 AS (SELECT doc_id, n, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM h1),
+h3 AS (SELECT doc_id, n, i, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS body, length(regexp_extract(part, '(?ism)^[ \t]*Item[ \t]+\d{{1,2}}[A-C]?[ \t]*[.—–:-]?[ \t]*\z')) AS wide,
+        upper(regexp_extract(part, '(?ism)^[ \t]*Item[ \t]+(\d{{1,2}}[A-C]?)[ \t]*[.—–:-]?[ \t]*\z', 1)) AS item FROM h2),
+h4 AS (SELECT *, body - wide AS heading, list_position({_ITEMSQL}, item) AS rank FROM h3 WHERE list_contains({_ITEMSQL}, item)),
+h5 AS (SELECT *, CASE WHEN heading - lag(heading) OVER w <= 300 AND rank > lag(rank) OVER w THEN 0 ELSE 1 END AS new FROM h4 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h6 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h5),
+h7 AS (SELECT * FROM h6 QUALIFY count(*) OVER (PARTITION BY doc_id, run) < 5),
+h8 AS MATERIALIZED (SELECT doc_id, n, list({{'item': item, 'rank': rank, 'heading': heading, 'body': body}} ORDER BY i) AS h FROM h7 GROUP BY doc_id, n),
+c AS (SELECT doc_id, 0 AS k, CAST([] AS BIGINT[]) AS long, CAST([] AS BIGINT[]) AS back FROM h8
+      UNION ALL
+      SELECT doc_id, k + 1, list_append(long, coalesce(best // 1000, 0) + 1), list_append(back, CASE WHEN best IS NULL THEN 0 ELSE 999 - best % 1000 END)
+      FROM (SELECT c.*, list_max(list_transform(list_filter(range(1, k + 1), lambda j: h[j].rank < h[k + 1].rank), lambda j: long[j] * 1000 + 999 - j)) AS best, len(h) AS total
+            FROM c JOIN h8 USING (doc_id)) WHERE k < total),
+e AS (SELECT doc_id, long, back, list_max(list_transform(range(1, k + 1), lambda j: long[j] * 1000 + 999 - j)) AS best FROM c QUALIFY k = max(k) OVER (PARTITION BY doc_id) AND k > 0),
+f AS (SELECT doc_id, back, 999 - best % 1000 AS pos FROM e UNION ALL SELECT doc_id, back, back[pos] FROM f WHERE back[pos] > 0),
+sections AS MATERIALIZED (SELECT doc_id, h[pos].item AS item, 'item_heading' AS strategy, h[pos].heading AS heading_start, 0 AS span_no, h[pos].body AS span_start,
+        coalesce(lead(h[pos].heading) OVER (PARTITION BY doc_id ORDER BY pos), n) AS span_end FROM f JOIN h8 USING (doc_id))"""
+
+
+@query("sections_located", f"WITH RECURSIVE {_SECTIONS} SELECT * FROM sections")
 def sections_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ke.located(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), id_col="doc_id")
 
 
-@query("chunks_fixed")
+# White space as the kernels see it, spelled out as this dialect's does not know all of it. Each part that is taken out reaches to the
+# end of a match, so ends are running sums of lengths.
+_WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_BREAKS = rf"""
+d AS MATERIALIZED (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+l1 AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?\n') AS parts FROM d),
+l2 AS (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM l1),
+l3 AS (SELECT doc_id, i, part, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS p FROM l2),
+s1 AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?[.!?][{_WS}]+') AS parts FROM d),
+s2 AS (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM s1),
+s3 AS (SELECT doc_id, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, length(regexp_extract(part, '[{_WS}]+\z')) AS n FROM s2),
+b1 AS (SELECT doc_id, list(p ORDER BY p) AS ls, list({{'p': p, 'q': p - length(part) - 1}} ORDER BY p) FILTER (i > 1 AND regexp_full_match(part, '[{_WS}]*')) AS ps FROM l3 GROUP BY doc_id),
+b2 AS (SELECT doc_id, list({{'s': e - n, 'e': e}} ORDER BY e) AS ss FROM s3 GROUP BY doc_id),
+b AS MATERIALIZED (SELECT d.doc_id, text, ls, ps, ss FROM d LEFT JOIN b1 USING (doc_id) LEFT JOIN b2 USING (doc_id))"""
+
+
+def _stop(start: str, end: str) -> str:
+    """Where a window from ``start`` ends: the last end of a paragraph, else of a line, else of a sentence in its second half."""
+    low, high = f"({start} + 1600)", f"({start} + 3200)"
+    p, s = f"list_filter(ps, lambda x: x.p <= {high})[-1]", f"list_filter(ss, lambda x: x.s < {high})[-1]"
+    line = f"list_filter(ls, lambda x: x <= {high})[-1]"
+    return f"""CASE WHEN {end} - {start} <= 3200 THEN {end} ELSE coalesce(CASE WHEN {p}.q >= {low} THEN {p}.p END, CASE WHEN {line} > {low} THEN {line} END,
+      CASE WHEN {s}.s > {low} THEN least({s}.e, {high}) END, {high}) END"""
+
+
+def _windows(segments: str) -> str:
+    """Chunks of the ranges (``doc_id``, ``a``, ``z``, ``items``) of a query."""
+    return f"""g AS MATERIALIZED ({segments}),
+    r AS (SELECT doc_id, items, z, a AS start, {_stop("a", "z")} AS stop FROM g JOIN b USING (doc_id) WHERE a < z
+          UNION ALL SELECT doc_id, items, z, stop - 480, {_stop("(stop - 480)", "z")} FROM r JOIN b USING (doc_id) WHERE stop < z)
+    SELECT doc_id, items, start AS char_start, stop AS char_end, substring(text, start + 1, stop - start) AS text FROM r JOIN b USING (doc_id) WHERE stop - start >= 200"""
+
+
+@query("chunks_fixed", f"WITH RECURSIVE {_BREAKS}, {_windows("SELECT doc_id, CAST(0 AS BIGINT) AS a, length(text) AS z, '' AS items FROM d")}")
 def chunks_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ke.fixed_windows(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), id_col="doc_id")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return ke.fixed_windows(docs, id_col="doc_id").withColumn("items", F.array_join("items", " "))
 
 
-@query("chunks_item_aware")
+@query("chunks_item_aware", f"WITH RECURSIVE {_SECTIONS}, {_BREAKS}, {_windows("SELECT doc_id, span_start AS a, span_end AS z, item AS items FROM sections WHERE span_start < span_end")}")
 def chunks_item_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
-    return ke.item_aware(docs, iv.segments(ke.located(docs, id_col="doc_id"), by="doc_id"), id_col="doc_id")
+    chunks = ke.item_aware(docs, iv.segments(ke.located(docs, id_col="doc_id"), by="doc_id"), id_col="doc_id")
+    return chunks.withColumn("items", F.array_join("items", " "))
+
+
+_PHRASE = "credit losses"
 
 
-@query("passages_found")
+@query(
+    "passages_found",
+    rf"""WITH {_BREAKS}, m1 AS (SELECT doc_id, regexp_extract_all(text, '(?is).*?{_PHRASE}') AS parts FROM d),
+    m2 AS (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM m1),
+    m3 AS (SELECT doc_id, i, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM m2),
+    m4 AS (SELECT doc_id, i, text, e - {len(_PHRASE)} AS s, e, coalesce(list_filter(ls, lambda x: x <= e - {len(_PHRASE)})[-1], 0) AS a, coalesce(list_filter(ls, lambda x: x > e)[1] - 1, length(text)) AS z FROM m3 JOIN b USING (doc_id)),
+    m5 AS (SELECT *, CASE WHEN z - a > 2000 THEN greatest(a, s - {(2000 - len(_PHRASE)) // 2}) ELSE a END AS low FROM m4),
+    m6 AS (SELECT doc_id, any_value(text) AS text, low, CASE WHEN z - a > 2000 THEN greatest(e, least(z, low + 2000)) ELSE z END AS high, min(i) AS i FROM m5 GROUP BY doc_id, low, high),
+    m7 AS (SELECT *, trim(regexp_replace(substring(text, low + 1, high - low), '[{_WS}]+', ' ', 'g')) AS flat FROM m6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 10)
+    SELECT doc_id, low AS char_start, high AS char_end, CASE WHEN length(flat) <= 90 THEN flat ELSE substring(flat, 1, 87) || '...' END AS quote FROM m7""",
+)
 def passages_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ke.with_passages(spread(table(spark, sf_dir, "documents")), "credit losses", id_col="doc_id")
+    return ke.with_passages(spread(table(spark, sf_dir, "documents")), _PHRASE, id_col="doc_id")
 
 
-@query("parser_coverage")
+@query(
+    "parser_coverage",
+    rf"""WITH RECURSIVE {_SECTIONS}, p AS (SELECT s.*, span_end - span_start AS size, regexp_matches(substring(text, span_start + 1, 400), '(?i){INCORPORATION.pattern}') AS stub FROM sections s JOIN documents USING (doc_id)),
+    q AS (SELECT doc_id, list(item) FILTER (size >= 1000) AS found, list(item) FILTER (size < 1000 AND stub) AS elsewhere FROM p WHERE item IN ('1', '1A', '3', '7', '7A', '8', '9A') GROUP BY doc_id),
+    t AS (SELECT d.doc_id, d.doc_id NOT IN (SELECT doc_id FROM sections) AS none, list_filter(['1A', '7', '9A'], lambda x: NOT list_contains(coalesce(found, []), x)) AS missing, coalesce(elsewhere, []) AS elsewhere
+          FROM documents d LEFT JOIN q USING (doc_id))
+    SELECT CASE WHEN none THEN 'none' ELSE 'item_heading' END AS strategy, CASE WHEN none THEN 'failed' WHEN missing = [] THEN 'located' ELSE 'partial' END AS state,
+      CASE WHEN none THEN 'no headings and no page table' WHEN missing = [] THEN '' WHEN list_has_all(elsewhere, missing) THEN 'incorporated by reference' ELSE 'sections too short' END AS reason, count(*) AS n FROM t GROUP BY ALL""",
+)
 def parser_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return ad.parser_report(ad.parser_states(docs, ke.located(docs, id_col="doc_id"), id_col="doc_id"))
@@ -216,7 +297,18 @@ def unjudged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.unjudged(_hits(spark, sf_dir), _spans(spark, sf_dir)).select("question_id", "config", F.col("position").cast("bigint").alias("position"), "row_id")
 
 
-@query("judging_pool")
+@query(
+    "judging_pool",
+    _UNJUDGED.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, u AS (SELECT t.* FROM top t LEFT JOIN cov c USING (question_id, config, position) WHERE c.span_id IS NULL),
+    l AS (SELECT question_id, list({'row_id': row_id, 'accession': accession, 's': char_start, 'e': char_end} ORDER BY config, position) AS h FROM u GROUP BY question_id),
+    r AS (SELECT question_id, 0 AS k, h[1:0] AS kept FROM l
+          UNION ALL SELECT question_id, k + 1, CASE WHEN len(list_filter(kept, lambda x: x.accession = h[k + 1].accession
+              AND least(x.e, h[k + 1].e) - greatest(x.s, h[k + 1].s) >= 0.5 * least(x.e - x.s, h[k + 1].e - h[k + 1].s))) = 0 THEN list_append(kept, h[k + 1]) ELSE kept END
+          FROM r JOIN l USING (question_id) WHERE k < len(h)),
+    o AS (SELECT question_id, unnest(kept) AS x FROM r QUALIFY k = max(k) OVER (PARTITION BY question_id))
+    SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY md5('20260101:' || question_id || ':' || x.row_id)) AS INTEGER) AS place, x.row_id AS row_id, x.accession AS accession, x.s AS char_start, x.e AS char_end FROM o""",
+)
 def judging_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.pool(_hits(spark, sf_dir), _spans(spark, sf_dir))
 
@@ -233,7 +325,11 @@ def original_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.original_grades(rows, ["question_id", "row_id"]).select("question_id", "row_id", "grade", "origin")
 
 
-@query("recheck_sample")
+@query(
+    "recheck_sample",
+    """WITH k AS (SELECT DISTINCT question_id, row_id FROM judgments WHERE grade IS NOT NULL)
+    SELECT question_id, row_id FROM k QUALIFY row_number() OVER (ORDER BY md5('7:' || question_id || ':' || row_id), question_id, row_id) <= ceil(0.1::DOUBLE * (SELECT count(*) FROM k))""",
+)
 def recheck_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.recheck_sample(table(spark, sf_dir, "judgments").where("grade IS NOT NULL"), ["question_id", "row_id"], 0.1, 7)
 
