@@ -115,7 +115,7 @@ def test_line_ends_and_markup_over_lines():
 
 def test_slots(spark):
     pages = [(n, "s", f"<html><title>Report</title><div>Filed by agent</div><p class='x'>{w} {w}</p><div>Contact us</div></html>", "q") for n, w in enumerate("ab cd ef gh ij kl".split())]
-    pages += [(20, None, "Report ab", "q"), (21, "s", None, "q"), (22, "t", "Report alone", "q")]
+    pages += [(20, None, "Report ab", "q"), (21, "s", None, "q"), (22, "t", "Report alone", "q"), (23, "s", "。 —", "q"), (24, "s", "", "q")]
     df = spark.createDataFrame(pages, "doc_id bigint, source string, text string, slot_no string")
     got = {}
     for r in template_slots(df, min_pages=5).collect():

@@ -296,46 +296,76 @@ _TOKEN = re.compile(r"</?[A-Za-z][A-Za-z0-9]*|[A-Za-z0-9]+")
 BROADCAST_TOKENS = 100_000
 
 
-def _occurrences(pages: DataFrame, id_col: str, host_col: str) -> DataFrame:
-    """``host``, ``page``, ``token``, ``c``, ``first``, ``last``: how often and where a page has each of its tokens."""
+def _named(found: list[str]) -> list[str]:
+    return [f"{t}>" if t[0] == "<" else t for t in found]
+
+
+def _tokens(text: str) -> list[str]:
+    found = _TOKEN.findall(text)
+    return "\n".join(found).lower().split("\n") if found else []
+
+
+def _pages(pages: DataFrame, id_col: str, host_col: str) -> DataFrame:
+    rows = pages.where(F.col(host_col).isNotNull() & F.col("text").isNotNull())
+    return rows.select(F.col(host_col).alias("host"), F.xxhash64(id_col, "text").alias("page"), F.col(id_col).alias("id"), "text")
+
+
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """``host``, ``page``, ``token``, ``c``: how often a page has each of its tokens."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, tokens, counts, first, last = [], [], [], [], []
+        sizes, tokens, counts = [], [], []
         for text in b.column(2).to_pylist():
-            found = "\n".join(_TOKEN.findall(text)).lower().split("\n")
-            own = Counter(found)
-            own.pop("", None)
+            own = Counter(_tokens(text))
             sizes.append(len(own))
             tokens.extend(own)
             counts.extend(own.values())
-            first.extend(map(dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True)).__getitem__, own))
-            last.extend(map(dict(zip(found, range(len(found)), strict=True)).__getitem__, own))
         which = pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
-        names = pa.array([f"{t}>" if t[0] == "<" else t for t in tokens], pa.string())
-        columns = [b.column(0).take(which), b.column(1).take(which), names, *[pa.array(x, pa.int32()) for x in (counts, first, last)]]
-        return pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "c", "first", "last"])
+        columns = [b.column(0).take(which), b.column(1).take(which), pa.array(_named(tokens), pa.string()), pa.array(counts, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "c"])
+
+    return arrow_map(rows.select("host", "page", "text"), run, f"host {dict(rows.dtypes)['host']}, page bigint, token string, c int")
 
-    rows = pages.where(F.col(host_col).isNotNull() & F.col("text").isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(id_col, "text").alias("page"), "text")
-    return arrow_map(rows, run, f"host {dict(pages.dtypes)[host_col]}, page bigint, token string, c int, first int, last int")
 
+def _with_tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` with the tokens (``host``, ``token``) of their host in ``wanted``. A host without any drops out."""
+    known = wanted.groupBy("host").agg(F.collect_set("token").alias("wanted"))
+    return rows.join(F.broadcast(known) if wanted.count() <= BROADCAST_TOKENS else known, "host")
 
-def _valid(per: DataFrame, min_pages: int, min_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """Tokens of the valid classes (``host``, ``v``, ``token`` and what is known of these), and where pages have them (``host``, ``page``, ``token``)."""
-    hashed = per.withColumn("h", F.xxhash64("page", "c"))
+
+def _valid(rows: DataFrame, min_pages: int, min_tokens: int) -> DataFrame:
+    """The tokens of valid classes: ``host``, ``v`` (what a class has in common), ``token``, ``pages``, ``occurrences``, and the mean places ``at`` and ``until``."""
+    hashed = _occurrences(rows).withColumn("h", F.xxhash64("page", "c"))
     vector = F.struct(F.sum(F.col("h").bitwiseAND(F.lit(2**32 - 1))).alias("low"), F.sum(F.shiftright("h", 32)).alias("high"))
-    tokens = hashed.groupBy("host", "token").agg(vector.alias("v"), F.count(F.lit(1)).alias("pages"), F.sum("c").alias("occurrences"), F.avg("first").alias("at"), F.avg("last").alias("until"))
+    tokens = hashed.groupBy("host", "token").agg(vector.alias("v"), F.count(F.lit(1)).alias("pages"), F.sum("c").alias("occurrences"))
     tokens = checkpointed(tokens.where(F.col("pages") >= min_pages))
     sizes = tokens.groupBy("host", "v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_tokens)
     members = checkpointed(tokens.join(sizes, ["host", "v"], "left_semi"))
+
+    def places_of(b: pa.RecordBatch) -> pa.RecordBatch:
+        which, tokens, first, last = [], [], [], []
+        known: dict[str, frozenset] = {}
+        for r, (host, text, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+            if host not in known:
+                known[host] = frozenset(wanted)
+            found = _named(_tokens(text))
+            own = known[host].intersection(found)
+            if own:
+                begins, ends = dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True)), dict(zip(found, range(len(found)), strict=True))
+                which.extend([r] * len(own)), tokens.extend(own), first.extend(map(begins.__getitem__, own)), last.extend(map(ends.__getitem__, own))
+        take = pa.array(which, pa.int32())
+        columns = [b.column(0).take(take), b.column(1).take(take), pa.array(tokens, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "first", "last"])
+
+    asked = _with_tokens(rows.select("host", "page", "text"), members.select("host", "token"))
+    places = checkpointed(arrow_map(asked.select("host", "page", "text", "wanted"), places_of, f"host {dict(rows.dtypes)['host']}, page bigint, token string, first int, last int"))
+    members = members.join(places.groupBy("host", "token").agg(F.avg("first").alias("at"), F.avg("last").alias("until")), ["host", "token"])
     # In order on every page: the neighbours in the order of mean places never change places on a page, neither first nor last.
     w = Window.partitionBy("host", "v").orderBy("at", "token")
     pairs = members.withColumn("next", F.lead("token").over(w)).where("next IS NOT NULL").select("host", "v", "token", "next")
-    asked = members.select("host", "token")
-    places = checkpointed(per.select("host", "page", "token", "first", "last").join(F.broadcast(asked) if asked.count() <= BROADCAST_TOKENS else asked, ["host", "token"], "left_semi"))
     then = places.select("host", "page", F.col("token").alias("next"), F.col("first").alias("first_"), F.col("last").alias("last_"))
     swapped = pairs.join(places, ["host", "token"]).join(then, ["host", "page", "next"]).where("first_ < first OR last_ < last")
-    valid = checkpointed(members.join(swapped.select("host", "v").distinct(), ["host", "v"], "left_anti"))
-    return valid, places.select("host", "page", "token")
+    return checkpointed(members.join(swapped.select("host", "v").distinct(), ["host", "v"], "left_anti"))
 
 
 def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", min_pages: int = 20, min_tokens: int = 3) -> DataFrame:
@@ -350,10 +380,10 @@ def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str
     Rows with a null host or text are left out, each other row is a page of its own; an empty table gives an empty result.
 
     Scale: an occurrence vector is kept as sums of hashes of page and count, which the map side combines; no vector and no page of a host
-    is gathered, and pages are read twice rather than shuffled unless classes have more tokens than ``BROADCAST_TOKENS``. Only tokens of
-    classes, of which there are few, are gathered, ``depth`` compares the classes of one host.
+    is gathered, and pages are read twice rather than shuffled unless classes have more tokens than ``BROADCAST_TOKENS``. Only the tokens of
+    the classes of a host, of which there are few, are gathered; ``depth`` compares these classes.
     """
-    valid, _ = _valid(_occurrences(pages, id_col, host_col), min_pages, min_tokens)
+    valid = _valid(_pages(pages, id_col, host_col), min_pages, min_tokens)
     classes = valid.groupBy("host", "v").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"), F.max("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.min("at").alias("at"), F.max("until").alias("until")
     )
@@ -382,21 +412,21 @@ def template_slots(pages: DataFrame, *, id_col: str = "doc_id", host_col: str =
     between two of these, ``after`` the token before it (null at the beginning). Pages without such tokens have no slots; what is left out
     is as there.
 
-    Scale: as there; what is gathered for a page are its own tokens, and each text of a page with a template is shuffled once.
+    Scale: as there; pages are read a third time, with the tokens of their host.
     """
-    valid, places = _valid(_occurrences(pages, id_col, host_col), min_pages, min_tokens)
-    templates = places.join(valid.select("host", "token"), ["host", "token"]).groupBy("page").agg(F.collect_set("token").alias("template"))
-    rows = pages.where(F.col(host_col).isNotNull() & F.col("text").isNotNull()).select(F.xxhash64(id_col, "text").alias("page"), F.col(id_col).alias("id"), "text")
+    rows = _pages(pages, id_col, host_col)
+    templates = _with_tokens(rows, _valid(rows, min_pages, min_tokens).select("host", "token"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         which, no, after, texts = [], [], [], []
         for r, (text, template) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            for k, (before, slot) in enumerate(slots_of(text, set(template))):
+            slots = slots_of(text, set(template))
+            for k, (before, slot) in enumerate(slots if len(slots) > 1 or slots and slots[0] != (None, text.strip()) else []):
                 which.append(r), no.append(k), after.append(before), texts.append(slot)
         columns = [b.column(0).take(pa.array(which, pa.int32())), pa.array(no, pa.int32()), pa.array(after, pa.string()), pa.array(texts, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["id", "slot_no", "after", "text"])
 
-    out = arrow_map(rows.join(templates, "page").select("id", "text", "template"), run, f"id {dict(pages.dtypes)[id_col]}, slot_no int, after string, text string")
+    out = arrow_map(templates.select("id", "text", "wanted"), run, f"id {dict(pages.dtypes)[id_col]}, slot_no int, after string, text string")
     return out.withColumnRenamed("id", id_col)
 
 
