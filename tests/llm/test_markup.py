@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from tidemark.llm import markup
 from tidemark.llm.markup import clean_markup, clean_text, markup_kinds, p2_templates, slots_of, template_classes, template_slots
 
 PLAIN = [
@@ -113,7 +114,7 @@ def test_line_ends_and_markup_over_lines():
     assert markup_kinds("* one\n\nTotals ** of\n\nthe year**") != ["html"]
 
 
-def test_slots(spark):
+def test_slots(spark, monkeypatch):
     pages = [(n, "s", f"<html><title>Report</title><div>Filed by agent</div><p class='x'>{w} {w}</p><div>Contact us</div></html>", "q") for n, w in enumerate("ab cd ef gh ij kl".split())]
     pages += [(20, None, "Report ab", "q"), (21, "s", None, "q"), (22, "t", "Report alone", "q"), (23, "s", "。 —", "q"), (24, "s", "", "q")]
     df = spark.createDataFrame(pages, "doc_id bigint, source string, text string, slot_no string")
@@ -122,5 +123,9 @@ def test_slots(spark):
         got.setdefault(r["doc_id"], []).append((r["slot_no"], r["after"], r["text"]))
     assert set(got) == set(range(6))
     assert [(a, t) for _, a, t in sorted(got[1])] == [("</title>", "<div>"), ("agent", "</div>"), ("<p>", "cd cd"), ("</p>", "<div>"), ("us", "</div>")]
-    assert slots_of("a <b>x</b>", set()) == [(None, "a <b>x</b>")] and slots_of("", {"x"}) == []
+    assert slots_of("a <b>x</b>", frozenset()) == [] and slots_of("", frozenset({"x"})) == []
+    assert slots_of("A <B class='c'>x</b> c y", frozenset({"<b>", "c"})) == [(None, "A"), ("<b>", "x</b>"), ("c", "y")]
+    monkeypatch.setattr(markup, "BROADCAST_TOKENS", 0)
+    joined = sorted(map(tuple, template_slots(df, min_pages=5).collect()))
+    assert joined == sorted((n, k, a, t) for n, rows in got.items() for k, a, t in rows)
     assert template_slots(df.limit(0)).count() == 0

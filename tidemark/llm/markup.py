@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from html import unescape
 from html.entities import html5
 
@@ -292,6 +293,7 @@ def clean_markup(df: DataFrame, *, id_col: str = "doc_id", text: bool = True) ->
 
 
 _TOKEN = re.compile(r"</?[A-Za-z][A-Za-z0-9]*|[A-Za-z0-9]+")
+_TAG_END = re.compile(r"[^<>]*>")
 #: Tokens of classes up to this number are broadcast to the pages; more are joined by a shuffle.
 BROADCAST_TOKENS = 100_000
 
@@ -327,10 +329,16 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("host", "page", "text"), run, f"host {dict(rows.dtypes)['host']}, page bigint, token string, c int")
 
 
-def _with_tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` with the tokens (``host``, ``token``) of their host in ``wanted``. A host without any drops out."""
+def _with_tokens(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Callable[[str, list | None], frozenset]]:
+    """``rows`` with a column ``wanted``, and how a task gets from a host and it to the tokens of the host in ``wanted`` (``host``, ``token``).
+
+    Up to ``BROADCAST_TOKENS`` of them are broadcast and the column is empty; more are joined to the rows of their host.
+    """
     known = wanted.groupBy("host").agg(F.collect_set("token").alias("wanted"))
-    return rows.join(F.broadcast(known) if wanted.count() <= BROADCAST_TOKENS else known, "host")
+    if wanted.count() > BROADCAST_TOKENS:
+        return rows.join(known, "host"), lambda _, tokens: frozenset(tokens)
+    sent = rows.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["wanted"]) for r in known.collect()})
+    return rows.withColumn("wanted", F.lit(None).cast("array<string>")), lambda host, _: sent.value.get(host, frozenset())
 
 
 def _valid(rows: DataFrame, min_pages: int, min_tokens: int) -> DataFrame:
@@ -344,12 +352,9 @@ def _valid(rows: DataFrame, min_pages: int, min_tokens: int) -> DataFrame:
 
     def places_of(b: pa.RecordBatch) -> pa.RecordBatch:
         which, tokens, first, last = [], [], [], []
-        known: dict[str, frozenset] = {}
         for r, (host, text, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
-            if host not in known:
-                known[host] = frozenset(wanted)
             found = _named(_tokens(text))
-            own = known[host].intersection(found)
+            own = tokens_of(host, wanted).intersection(found)
             if own:
                 begins, ends = dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True)), dict(zip(found, range(len(found)), strict=True))
                 which.extend([r] * len(own)), tokens.extend(own), first.extend(map(begins.__getitem__, own)), last.extend(map(ends.__getitem__, own))
@@ -357,7 +362,7 @@ def _valid(rows: DataFrame, min_pages: int, min_tokens: int) -> DataFrame:
         columns = [b.column(0).take(take), b.column(1).take(take), pa.array(tokens, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "first", "last"])
 
-    asked = _with_tokens(rows.select("host", "page", "text"), members.select("host", "token"))
+    asked, tokens_of = _with_tokens(rows.select("host", "page", "text"), members.select("host", "token"))
     places = checkpointed(arrow_map(asked.select("host", "page", "text", "wanted"), places_of, f"host {dict(rows.dtypes)['host']}, page bigint, token string, first int, last int"))
     members = members.join(places.groupBy("host", "token").agg(F.avg("first").alias("at"), F.avg("last").alias("until")), ["host", "token"])
     # In order on every page: the neighbours in the order of mean places never change places on a page, neither first nor last.
@@ -392,16 +397,20 @@ def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str
     return classes.join(around, ["host", "v"], "left").select("host", "tokens", "pages", "occurrences", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def slots_of(text: str, template: set[str]) -> list[tuple[str | None, str]]:
-    """The stretches of a text between its template tokens, each with the token before it; blank ones are left out. A tag ends with its bracket."""
+def slots_of(text: str, template: frozenset[str]) -> list[tuple[str | None, str]]:
+    """The stretches of a text between its template tokens, each with the token before it; blank ones are left out. A tag ends with its bracket.
+    A text without such tokens has no slots."""
+    tokens = _named(_tokens(text))
+    if template.isdisjoint(tokens):
+        return []
+    starts = [m.start() for m in _TOKEN.finditer(text)]
     out, at, before = [], 0, None
-    for m in _TOKEN.finditer(text):
-        token = m.group().lower()
-        token = f"{token}>" if token[0] == "<" else token
-        if token in template and m.start() >= at:  # not a word within a tag
-            out.append((before, text[at : m.start()].strip()))
-            end = re.compile(r"[^<>]*>").match(text, m.end()) if token[0] == "<" else None
-            at, before = end.end() if end else m.end(), token
+    for k, token in enumerate(tokens):
+        if token in template and starts[k] >= at:  # not a word within a tag
+            out.append((before, text[at : starts[k]].strip()))
+            tag = token[0] == "<"
+            end = _TAG_END.match(text, starts[k] + len(token) - 1) if tag else None
+            at, before = end.end() if end else starts[k] + len(token) - tag, token
     return [(b, t) for b, t in [*out, (before, text[at:].strip())] if t]
 
 
@@ -415,18 +424,17 @@ def template_slots(pages: DataFrame, *, id_col: str = "doc_id", host_col: str =
     Scale: as there; pages are read a third time, with the tokens of their host.
     """
     rows = _pages(pages, id_col, host_col)
-    templates = _with_tokens(rows, _valid(rows, min_pages, min_tokens).select("host", "token"))
+    asked, tokens_of = _with_tokens(rows.select("id", "host", "text"), _valid(rows, min_pages, min_tokens).select("host", "token"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         which, no, after, texts = [], [], [], []
-        for r, (text, template) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            slots = slots_of(text, set(template))
-            for k, (before, slot) in enumerate(slots if len(slots) > 1 or slots and slots[0] != (None, text.strip()) else []):
+        for r, (host, text, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+            for k, (before, slot) in enumerate(slots_of(text, tokens_of(host, wanted))):
                 which.append(r), no.append(k), after.append(before), texts.append(slot)
         columns = [b.column(0).take(pa.array(which, pa.int32())), pa.array(no, pa.int32()), pa.array(after, pa.string()), pa.array(texts, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["id", "slot_no", "after", "text"])
 
-    out = arrow_map(templates.select("id", "text", "wanted"), run, f"id {dict(pages.dtypes)[id_col]}, slot_no int, after string, text string")
+    out = arrow_map(asked.select("id", "host", "text", "wanted"), run, f"id {dict(pages.dtypes)[id_col]}, slot_no int, after string, text string")
     return out.withColumnRenamed("id", id_col)
 
 
