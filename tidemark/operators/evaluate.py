@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Characters by which a hit must overlap a passage, and depths.
+# Characters by which a hit must overlap a passage, depths, and the parts of the questions.
 MIN_OVERLAP = 200
 DEPTH = 10
+SPLITS = ("dev", "blind")
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -27,6 +28,13 @@ def grid(questions: DataFrame, configs: Sequence[str]) -> DataFrame:
     return questions.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
 
 
+def of_split(questions: DataFrame, which: str, *, id_col: str = "question_id") -> DataFrame:
+    """The questions of a split, of all splits, or the one question with that id."""
+    if which == "all":
+        return questions
+    return questions.where(F.col("split") == which) if which in SPLITS else questions.where(F.col(id_col).cast("string") == which)
+
+
 def scoped_hits(scored: DataFrame, scopes: DataFrame, k: int = DEPTH, *, tie: str = "row_id") -> DataFrame:
     """The ``k`` best of each question and config within the question's scope, with their ``position``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.analysis import english_terms, plain_terms
 from tidemark.functions.vectors import dot_with, score_of_cosine
-from tidemark.session import ship
+from tidemark.session import checkpointed, ship
 
 # Saturation and length normalisation of BM25, the constant of reciprocal rank fusion, its depth.
 K1, B = 1.2, 0.75
@@ -67,45 +67,47 @@ def vector_search(vectors: DataFrame, query: Sequence[float], k: int = 10, *, wh
     return ranked(rows.withColumn("cosine", dot_with(embedding, query)).withColumn("score", score_of_cosine("cosine")), k, score="cosine", tie=tie)
 
 
+def _packed(vectors: DataFrame, id_col: str, embedding: str, block: int) -> DataFrame:
+    """Vectors in blocks of at most ``block``, one row each: ``ids`` and their numbers one after the other in ``flat``."""
+    kind = dict(vectors.dtypes)[id_col]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.filter(batch.column(1).is_valid())
+            for at in range(0, keep.num_rows, block):
+                part = keep.slice(at, block)
+                columns = [pa.array([part.column(0)], pa.list_(part.column(0).type)), pa.array([part.column(1).flatten().cast(pa.float64())], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "flat"])
+
+    return vectors.select(id_col, embedding).mapInArrow(pack, f"ids array<{kind}>, flat array<double>")
+
+
 def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "vec_id", embedding: str = "embedding", block: int = 4096) -> DataFrame:
     """``query_id``, ``id_col``, ``cosine``, ``rank``: for each query row its ``k`` nearest others, exactly.
 
-    Queries go in blocks of at most ``block`` (a few MB), each broadcast to one pass over the vectors that keeps ``k``
-    candidates for each batch, so what is shuffled is bounded by batches x queries x k. Queries without a vector are skipped.
+    Queries and vectors are packed into blocks of at most ``block``, and each block of queries meets each of vectors in one
+    product of matrices that keeps ``k`` candidates for each query, so what is shuffled is bounded by queries x blocks of vectors x k.
+    Nothing of it passes through the driver. Rows without a vector are skipped.
     """
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     kind = dict(vectors.dtypes)[id_col]
-    n = queries.where(F.col(embedding).isNotNull()).count()
-    blocks = max(1, -(-n // block))
-    parts = queries.where(F.col(embedding).isNotNull()).select(id_col, embedding).withColumn("__b", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        own = parts.where(F.col("__b") == b).toArrow()
-        if not own.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((own.column(0).to_pylist(), np.array(own.column(1).to_pylist(), float)))
-
-        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                keep = batch.filter(batch.column(1).is_valid())
-                if not keep.num_rows:
-                    continue
-                mine = np.array(keep.column(0).to_pylist(), object)
-                cosines = q @ np.array(keep.column(1).to_pylist(), float).T
-                m = min(k + 1, cosines.shape[1])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                asked, mine = batch.column(0)[row].values, batch.column(2)[row].values
+                q, v = (batch.column(c)[row].values.to_numpy().reshape(len(ids), -1) for c, ids in ((1, asked), (3, mine)))
+                cosines = q @ v.T
+                m = min(k + 1, len(mine))
                 top = np.argpartition(-cosines, m - 1, axis=1)[:, :m]
-                rows = np.repeat(np.arange(len(ids)), m)
-                own = keep.column(0).type
-                columns = [pa.array([ids[i] for i in rows], own), pa.array(mine[top.ravel()].tolist(), own), pa.array(cosines[rows, top.ravel()])]
+                rows = np.repeat(np.arange(len(asked)), m)
+                columns = [asked.take(pa.array(rows)), mine.take(pa.array(top.ravel())), pa.array(cosines[rows, top.ravel()])]
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", id_col, "cosine"])
 
-        found = vectors.select(id_col, embedding).mapInArrow(nearest, f"query_id {kind}, {id_col} {kind}, cosine double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.limit(0).select(F.col(id_col).alias("query_id"), id_col, F.lit(0.0).alias("cosine"), F.lit(1).alias("rank"))
-    return ranked(out.where(F.col("query_id") != F.col(id_col)), k, by=["query_id"], score="cosine", tie=id_col)
+    asked = _packed(queries, id_col, embedding, block).toDF("asked", "q")
+    pairs = asked.crossJoin(_packed(vectors, id_col, embedding, block))  # blocks of a stated query set against blocks of all rows
+    found = pairs.mapInArrow(nearest, f"query_id {kind}, {id_col} {kind}, cosine double")
+    return ranked(found.where(F.col("query_id") != F.col(id_col)), k, by=["query_id"], score="cosine", tie=id_col)
 
 
 @dataclass(frozen=True)
@@ -131,9 +133,11 @@ def lexical_index(docs: DataFrame, *, id_col: str, english: bool = False) -> Lex
         analysed = docs.select(F.col(id_col).alias("id"), "text").mapInArrow(terms, f"id {kind}, terms array<string>")
     else:
         analysed = docs.select(F.col(id_col).alias("id"), F.coalesce(plain_terms("text"), F.expr("cast(array() as array<string>)")).alias("terms"))
-    lengths = analysed.select("id", F.size("terms").alias("dl"))
+    # Texts are analysed once: everything is read from the postings. Of each text one row is marked, also of one without terms.
     # An outer explode: from an inner one the planner infers a filter on the number of terms, which would split each text twice.
-    postings = analysed.select("id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    said = analysed.select("id", F.size("terms").alias("dl"), F.posexplode_outer("terms").alias("at", "term"))
+    said = checkpointed(said.groupBy("id", "dl", "term").agg(F.count("term").alias("tf"), (F.coalesce(F.min("at"), F.lit(0)) == 0).alias("one")))
+    postings, lengths = said.where("term IS NOT NULL").select("id", "dl", "term", "tf"), said.where("one").select("id", "dl")
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return LexicalIndex(postings, lengths, frequencies, lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
 

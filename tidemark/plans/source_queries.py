@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ids import cik10
 from tidemark.plans.registry import Registry, table
+from tidemark.session import scratch
 from tidemark.sources import json_sources as js
 from tidemark.sources import urls
 from tidemark.streaming.ingest import late_filings
@@ -88,9 +89,13 @@ def stream_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads by day and form, counted by a stream over the fact files that works off what is there."""
     given = spark.read.parquet(f"{sf_dir}/facts.parquet").schema
     rows = spark.readStream.schema(given).parquet(f"{sf_dir}/fact[s].parquet").withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
-    counted = late_filings(rows, late="100000 days")
-    name = f"loads_{abs(hash(sf_dir))}"
-    running = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("date").alias("day"), "form", "n")
+    counted = late_filings(rows, late="100000 days")  # what is there is all of it, however old
+    folder = scratch(spark, "loads")
+
+    def put(batch: DataFrame, no: int) -> None:
+        """What a batch changed; rows of a batch that is done again are the same."""
+        batch.select(F.col("window.start").cast("date").alias("day"), "form", "n", F.lit(no).alias("batch")).write.mode("overwrite").parquet(f"{folder}/counts/batch_no={no}")
+
+    counted.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").groupBy("day", "form").agg(F.max_by("n", "batch").alias("n"))
 

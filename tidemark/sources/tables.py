@@ -20,8 +20,12 @@ from tidemark.session import ship
 
 
 def write_facts(facts: DataFrame, path: str) -> None:
-    """Replace exactly the companies and years that are in ``facts``; others stay."""
-    ordered = facts.select(*schemas.names(schemas.FACTS)).repartition("cik", "period_year").sortWithinPartitions("tag", "period_end", "filed")
+    """Replace exactly the companies and years that are in ``facts``; others stay.
+
+    Rows are brought together by company and year, but a large company's year goes to as many tasks as its bytes need.
+    """
+    rows = facts.select(*schemas.names(schemas.FACTS)).hint("rebalance", "cik", "period_year")
+    ordered = rows.sortWithinPartitions("cik", "period_year", "tag", "period_end", "filed")
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cik", "period_year").parquet(path)
 
 
@@ -130,28 +134,47 @@ def embed_missing(inputs: DataFrame, cache: VectorCache, encode: Encode, *, roun
     return n
 
 
+def _folders(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """The versions of an index that are there, and those that are complete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    there = sorted(int(n) for n in names if n.isdigit())
+    return there, [n for n in there if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n:06d}/READY"))]
+
+
 def build_index(manifest: DataFrame, vectors: DataFrame, path: str) -> int:
-    """Write chunks with vectors, postings, lengths and frequencies, after all gates are passed and before any is replaced."""
+    """Write chunks with vectors, postings, lengths and frequencies as a new version of the index, after all gates are passed.
+
+    A version counts only when all of it is written and its rows are counted: until then, and after a failure, the one before stays.
+    """
     problems = ma.index_problems(manifest, vectors).collect()  # three rows at most
     if problems:
         raise ValueError("index not built: " + ", ".join(f"{r['problem']} ({r['n']})" for r in problems))
     ma.assert_unique(manifest, "chunk_id")
-    manifest.join(vectors, "digest").write.mode("overwrite").parquet(f"{path}/chunks")
-    index = lexical_index(manifest, id_col="chunk_id", english=True)
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     spark = manifest.sparkSession
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
-    n, wanted = spark.read.parquet(f"{path}/chunks").count(), manifest.count()
+    new = f"{path}/{max(_folders(spark, path)[0], default=0) + 1:06d}"
+    manifest.join(vectors, "digest").write.parquet(f"{new}/chunks")
+    index = lexical_index(manifest, id_col="chunk_id", english=True)
+    index.postings.hint("rebalance", "term").sortWithinPartitions("term").write.parquet(f"{new}/postings")
+    index.lengths.write.parquet(f"{new}/lengths")
+    spark.read.parquet(f"{new}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{new}/frequencies")
+    n, wanted = spark.read.parquet(f"{new}/chunks").count(), manifest.count()
     if n != wanted:
         raise ValueError(f"the index has {n} of {wanted} rows")
+    ready = spark._jvm.org.apache.hadoop.fs.Path(f"{new}/READY")
+    ready.getFileSystem(spark._jsc.hadoopConfiguration()).create(ready).close()
     return n
 
 
 def open_index(spark: SparkSession, path: str):
-    """The chunks of an index, and its lexical part."""
+    """The chunks of the latest complete version of an index, and its lexical part."""
     from tidemark.operators.search import LexicalIndex
 
+    ready = _folders(spark, path)[1]
+    if not ready:
+        raise ValueError(f"no index in {path}")
+    path = f"{path}/{ready[-1]:06d}"
     lengths = spark.read.parquet(f"{path}/lengths")
     totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     return spark.read.parquet(f"{path}/chunks"), LexicalIndex(spark.read.parquet(f"{path}/postings"), lengths, spark.read.parquet(f"{path}/frequencies"), totals)
