@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Set
 from html import unescape
 from html.entities import html5
 
@@ -329,48 +329,53 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("host", "page", "text"), run, f"host {dict(rows.dtypes)['host']}, page bigint, token string, c int")
 
 
-def _with_tokens(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Callable[[str, list | None], frozenset]]:
-    """``rows`` with a column ``wanted``, and how a task gets from a host and it to the tokens of the host in ``wanted`` (``host``, ``token``).
+Given = Callable[[str, list | None], dict[str, tuple[int, int]]]
+
+
+def _with_tokens(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Given]:
+    """``rows`` with a column ``wanted``, and how a task gets from a host and it to the tokens of the host in ``wanted`` (``host``, ``token``, ``v``) and their classes.
 
     Up to ``BROADCAST_TOKENS`` of them are broadcast and the column is empty; more are joined to the rows of their host.
     """
-    known = wanted.groupBy("host").agg(F.collect_set("token").alias("wanted"))
+    known = wanted.groupBy("host").agg(F.collect_list(F.struct("token", "v.low", "v.high")).alias("wanted"))
+    as_dict = lambda tokens: {t["token"]: (t["low"], t["high"]) for t in tokens}
     if wanted.count() > BROADCAST_TOKENS:
-        return rows.join(known, "host"), lambda _, tokens: frozenset(tokens)
-    sent = rows.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["wanted"]) for r in known.collect()})
-    return rows.withColumn("wanted", F.lit(None).cast("array<string>")), lambda host, _: sent.value.get(host, frozenset())
+        return rows.join(known, "host"), lambda _, tokens: as_dict(tokens)
+    sent = rows.sparkSession.sparkContext.broadcast({r["host"]: as_dict(r["wanted"]) for r in known.collect()})
+    return rows.withColumn("wanted", F.lit(None).cast("array<struct<token:string,low:bigint,high:bigint>>")), lambda host, _: sent.value.get(host, {})
 
 
 def _valid(rows: DataFrame, min_pages: int, min_tokens: int) -> DataFrame:
-    """The tokens of valid classes: ``host``, ``v`` (what a class has in common), ``token``, ``pages``, ``occurrences``, and the mean places ``at`` and ``until``."""
+    """Valid classes: ``host``, ``v`` (what a class has in common), its ``tokens`` in order, ``pages``, ``occurrences``, and its mean places ``at`` and ``until``."""
     hashed = _occurrences(rows).withColumn("h", F.xxhash64("page", "c"))
     vector = F.struct(F.sum(F.col("h").bitwiseAND(F.lit(2**32 - 1))).alias("low"), F.sum(F.shiftright("h", 32)).alias("high"))
     tokens = hashed.groupBy("host", "token").agg(vector.alias("v"), F.count(F.lit(1)).alias("pages"), F.sum("c").alias("occurrences"))
     tokens = checkpointed(tokens.where(F.col("pages") >= min_pages))
-    sizes = tokens.groupBy("host", "v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_tokens)
-    members = checkpointed(tokens.join(sizes, ["host", "v"], "left_semi"))
-
-    def places_of(b: pa.RecordBatch) -> pa.RecordBatch:
-        which, tokens, first, last = [], [], [], []
-        for r, (host, text, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
-            found = _named(_tokens(text))
-            own = tokens_of(host, wanted).intersection(found)
+    sizes = tokens.groupBy("host", "v").agg(F.count(F.lit(1)).alias("size"), F.max("pages").alias("pages"), F.sum("occurrences").alias("occurrences")).where(F.col("size") >= min_tokens)
+    members = checkpointed(tokens.select("host", "v", "token").join(sizes, ["host", "v"]))
+    asked, given = _with_tokens(rows.select("host", "text"), members)
+
+    def orders(b: pa.RecordBatch) -> pa.RecordBatch:
+        """For each page and class on it: the tokens in the order of their first places, whether that of their last ones is the same, and what they span."""
+        which, low, high, order, same, at, until = [], [], [], [], [], [], []
+        for r, (host, text, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+            found, classes = _named(_tokens(text)), given(host, wanted)
+            own: dict[tuple[int, int], list[str]] = {}
+            for t in classes.keys() & set(found):
+                own.setdefault(classes[t], []).append(t)
             if own:
-                begins, ends = dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True)), dict(zip(found, range(len(found)), strict=True))
-                which.extend([r] * len(own)), tokens.extend(own), first.extend(map(begins.__getitem__, own)), last.extend(map(ends.__getitem__, own))
-        take = pa.array(which, pa.int32())
-        columns = [b.column(0).take(take), b.column(1).take(take), pa.array(tokens, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "first", "last"])
-
-    asked, tokens_of = _with_tokens(rows.select("host", "page", "text"), members.select("host", "token"))
-    places = checkpointed(arrow_map(asked.select("host", "page", "text", "wanted"), places_of, f"host {dict(rows.dtypes)['host']}, page bigint, token string, first int, last int"))
-    members = members.join(places.groupBy("host", "token").agg(F.avg("first").alias("at"), F.avg("last").alias("until")), ["host", "token"])
-    # In order on every page: the neighbours in the order of mean places never change places on a page, neither first nor last.
-    w = Window.partitionBy("host", "v").orderBy("at", "token")
-    pairs = members.withColumn("next", F.lead("token").over(w)).where("next IS NOT NULL").select("host", "v", "token", "next")
-    then = places.select("host", "page", F.col("token").alias("next"), F.col("first").alias("first_"), F.col("last").alias("last_"))
-    swapped = pairs.join(places, ["host", "token"]).join(then, ["host", "page", "next"]).where("first_ < first OR last_ < last")
-    return checkpointed(members.join(swapped.select("host", "v").distinct(), ["host", "v"], "left_anti"))
+                first, last = dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True)), dict(zip(found, range(len(found)), strict=True))
+            for (a, z), some in own.items():
+                by_first, by_last = sorted(some, key=first.__getitem__), sorted(some, key=last.__getitem__)
+                which.append(r), low.append(a), high.append(z), order.append(" ".join(by_first)), same.append(by_first == by_last)
+                at.append(first[by_first[0]]), until.append(last[by_last[-1]])
+        columns = [b.column(0).take(pa.array(which, pa.int32())), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(order, pa.string()), pa.array(same, pa.bool_()), pa.array(at, pa.int64()), pa.array(until, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["host", "low", "high", "order", "same", "at", "until"])
+
+    seen = arrow_map(asked.select("host", "text", "wanted"), orders, f"host {dict(rows.dtypes)['host']}, low bigint, high bigint, order string, same boolean, at bigint, until bigint")
+    kept = seen.groupBy("host", "low", "high").agg(F.min("order").alias("order"), F.max("order").alias("other"), F.bool_and("same").alias("same"), F.avg("at").alias("at"), F.avg("until").alias("until"))
+    kept = kept.where("order = other AND same").select("host", F.struct("low", "high").alias("v"), F.split("order", " ").alias("tokens"), "at", "until")
+    return checkpointed(kept.join(sizes.drop("size"), ["host", "v"]))
 
 
 def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", min_pages: int = 20, min_tokens: int = 3) -> DataFrame:
@@ -384,20 +389,17 @@ def template_classes(pages: DataFrame, *, id_col: str = "doc_id", host_col: str
 
     Rows with a null host or text are left out, each other row is a page of its own; an empty table gives an empty result.
 
-    Scale: an occurrence vector is kept as sums of hashes of page and count, which the map side combines; no vector and no page of a host
-    is gathered, and pages are read twice rather than shuffled unless classes have more tokens than ``BROADCAST_TOKENS``. Only the tokens of
-    the classes of a host, of which there are few, are gathered; ``depth`` compares these classes.
+    Scale: an occurrence vector is kept as sums of hashes of page and count, and the order of a class as its least and greatest one, which the
+    map side combines; no vector and no page of a host is gathered, and pages are read twice rather than shuffled unless classes have more
+    tokens than ``BROADCAST_TOKENS``. Only the tokens of the classes of a host, of which there are few, are gathered; ``depth`` compares these classes.
     """
-    valid = _valid(_pages(pages, id_col, host_col), min_pages, min_tokens)
-    classes = valid.groupBy("host", "v").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"), F.max("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.min("at").alias("at"), F.max("until").alias("until")
-    )
+    classes = _valid(_pages(pages, id_col, host_col), min_pages, min_tokens)
     outer = classes.select("host", F.col("v").alias("w"), F.col("at").alias("a"), F.col("until").alias("z"), F.col("pages").alias("p"))
     around = classes.join(outer, "host").where("w <> v AND a < at AND until < z AND p >= pages").groupBy("host", "v").agg(F.count(F.lit(1)).alias("depth"))
     return classes.join(around, ["host", "v"], "left").select("host", "tokens", "pages", "occurrences", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def slots_of(text: str, template: frozenset[str]) -> list[tuple[str | None, str]]:
+def slots_of(text: str, template: Set[str]) -> list[tuple[str | None, str]]:
     """The stretches of a text between its template tokens, each with the token before it; blank ones are left out. A tag ends with its bracket.
     A text without such tokens has no slots."""
     tokens = _named(_tokens(text))
@@ -424,12 +426,13 @@ def template_slots(pages: DataFrame, *, id_col: str = "doc_id", host_col: str =
     Scale: as there; pages are read a third time, with the tokens of their host.
     """
     rows = _pages(pages, id_col, host_col)
-    asked, tokens_of = _with_tokens(rows.select("id", "host", "text"), _valid(rows, min_pages, min_tokens).select("host", "token"))
+    classes = _valid(rows, min_pages, min_tokens)
+    asked, given = _with_tokens(rows.select("id", "host", "text"), classes.select("host", "v", F.explode("tokens").alias("token")))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         which, no, after, texts = [], [], [], []
         for r, (host, text, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-            for k, (before, slot) in enumerate(slots_of(text, tokens_of(host, wanted))):
+            for k, (before, slot) in enumerate(slots_of(text, given(host, wanted).keys())):
                 which.append(r), no.append(k), after.append(before), texts.append(slot)
         columns = [b.column(0).take(pa.array(which, pa.int32())), pa.array(no, pa.int32()), pa.array(after, pa.string()), pa.array(texts, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["id", "slot_no", "after", "text"])
