@@ -118,14 +118,21 @@ def test_config_files(spark, tmp_path):
 def test_questions_and_records(spark, tmp_path):
     p = tmp_path / "q.yaml"
     p.write_text(
-        "questions:\n- {id: q1, question: why, persona: x, archetype: peer, split: dev, written_on: 2026-01-01, scope: {tickers: [A, B], items: ['7']},"
-        " gold: [{accession: a, char_start: 0, char_end: 5, grade: 2}]}\n"
+        "questions:\n- {id: q1, question: why, persona: aml, archetype: peer, split: dev, written_on: 2026-01-01, scope: {tickers: [A, B], items: ['7']},"
+        " gold: [{accession: a, char_start: 0, char_end: 5, grade: 2, filing_sha256: s}]}\n"
     )
     words = {"ticker": {"A", "B"}, "item": {"7"}, "fiscal_year": set()}
     questions, gold = cf.read_questions(spark, p, words)
     assert questions.first()["tickers"] == ["A", "B"] and gold.first()["labelled_on"] == D(2026, 1, 1)
     bad = [{"id": "q", "question": " ", "archetype": "x", "split": "y", "scope": {"tickers": ["Z"]}, "gold": [{"char_start": 5, "char_end": 5, "grade": 7}]}] * 2
-    assert len(cf.validate_questions(bad, words)) == 15
+    found = cf.validate_questions(bad, words)
+    # twice: persona, written_on missing; archetype, split, ticker; of the passage accession and sha missing, grade, empty
+    assert len(found) == 1 + 2 * 9 and found[0] == "question q twice"
+    fine = {"id": "p", "question": "x", "persona": "aml", "archetype": "peer", "scope": {}, "split": "dev", "written_on": "2026-01-01", "gold": [{"accession": "a", "char_start": 0, "char_end": 9, "grade": None, "filing_sha256": "s"}]}
+    assert cf.validate_questions([fine], words) == []  # a peer question may name no company at all
+    assert cf.validate_questions([fine | {"scope": {"tickers": ["A"]}}], words) == ["p: a peer question with a single company"]
+    assert len(cf.validate_questions([fine | {"persona": "x", "gold": [fine["gold"][0] | {"grade": 0, "source": "y"}, 5]}, 7], words)) == 5
+    assert cf.validate_questions("x", words) == ["questions must be a list"]
     records = tmp_path / "j.yaml"
     assert cf.read_records(spark, records, "judgments").count() == 0
     cf.append_records(records, "judgments", [{"question": "q1", "accession": "a", "char_start": 0, "char_end": 5, "grade": 1, "judged_on": "2026-01-02"}], "# made by a machine\n")

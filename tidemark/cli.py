@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate as ev
@@ -15,12 +16,15 @@ from tidemark.operators import filings as fi
 from tidemark.operators import financials as fn
 from tidemark.operators import intervals as iv
 from tidemark.operators import kernels as ke
+from tidemark.operators import manifest as ma
 from tidemark.operators import search as se
 from tidemark.session import local_session
 from tidemark.sources import config_files as cf
 from tidemark.sources import json_sources as js
 from tidemark.sources import tables as tb
 from tidemark.sources import urls
+from tidemark.sources.encoders import HttpEncoder
+from tidemark.sources.fetch import Landing, Pace, Settings, http_transport
 
 
 def _show(df: DataFrame, n: int = 200) -> int:
@@ -132,25 +136,76 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
     chunks, index = tb.open_index(spark, a.index)
     where = se.Filters.of(ticker=a.ticker, fiscal_year=a.year, form=a.form, items=a.item).condition()
     width = len(chunks.select("vector").first()[0])
-    encode = tb.hashing_encoder(width)
-    found = se.search(a.mode, vectors=chunks.withColumnRenamed("vector", "embedding"), encode=lambda t: encode([t])[0], index=index, question=a.question, k=a.k, where=where, rows=chunks)
+    encode = _encoder(a, width)
+    asked = ma.QUERY + a.question if a.encoder else a.question
+    found = se.search(a.mode, vectors=chunks.withColumnRenamed("vector", "embedding"), encode=lambda t: encode([t])[0], index=index, question=a.question, vector_question=asked, k=a.k, where=where, rows=chunks)
     return int(_show(found.join(chunks.select("chunk_id", "ticker", "section_path", F.substring("text", 1, 100).alias("snippet")), "chunk_id").orderBy("rank")) == 0)
 
 
-def build_index(spark: SparkSession, a: argparse.Namespace) -> int:
-    rows = tb.read_manifest(spark, a.manifest)
-    cache = tb.VectorCache(spark, a.cache, a.model, a.width)
-    inputs = rows.select("digest", "text")
+def _encoder(a: argparse.Namespace, width: int) -> tb.Encode:
+    return HttpEncoder(a.encoder, a.model, width) if a.encoder else tb.hashing_encoder(width)
+
+
+def embed(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Encode what a cache lacks of a manifest; an interruption loses one of the rounds."""
+    inputs, cache = tb.read_manifest(spark, a.manifest).select("digest", "text"), tb.VectorCache(spark, a.cache, a.model, a.width)
     if a.dry_run:
         print(inputs.select("digest").distinct().join(cache.digests(), "digest", "left_anti").count(), "to embed")
         return 0
-    print(tb.embed_missing(inputs, cache, tb.hashing_encoder(a.width)), "embedded")
-    print(tb.build_index(rows, cache.load(rows), a.index), "indexed")
+    print(tb.embed_missing(inputs, cache, _encoder(a, a.width), rounds=a.rounds), "embedded")
+    return 0
+
+
+def build_index(spark: SparkSession, a: argparse.Namespace) -> int:
+    rows = tb.read_manifest(spark, a.manifest)
+    if embed(spark, a) or a.dry_run:
+        return 0
+    print(tb.build_index(rows, tb.VectorCache(spark, a.cache, a.model, a.width).load(rows), a.index), "indexed")
     return 0
 
 
 def label_span(spark: SparkSession, a: argparse.Namespace) -> int:
-    return int(_show(ke.with_passages(spark.read.parquet(a.texts).where(F.col("accession") == a.accession), a.phrase, id_col="accession")) == 0)
+    """The passages of a filing with a phrase, ready to be put into the file of questions."""
+    from tidemark.operators.adjudicate import gold_entries
+
+    texts = spark.read.parquet(a.texts).where(F.col("accession") == a.accession)
+    found = ke.with_passages(texts, a.phrase, id_col="accession")
+    return int(_show(gold_entries(found, texts, grade=a.grade, day=dt.date.today().isoformat()).orderBy("char_start")) == 0)
+
+
+def _fetch(a: argparse.Namespace, wanted: list[str]) -> int:
+    """Answers of addresses that the landing folder lacks; 1 if any failed."""
+    done, failed = Landing(a.folder, http_transport(Settings(a.contact)), Pace(a.rate)).get_all(wanted)
+    print(len(done), "there")
+    for url, why in failed.items():
+        print(url, why, sep="\t")
+    return int(bool(failed))
+
+
+def _addresses(rows: DataFrame, *columns: Column) -> list[str]:
+    return [u for r in rows.select(*columns).collect() for u in r if u]  # a few for each company of the registry
+
+
+def fetch_submissions(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Lists of filings, and the older pages they name."""
+    companies = _tickers(spark, a)
+    failed = _fetch(a, _addresses(companies, urls.submissions_url(F.col("cik"))))
+    payloads = js.text_files(spark, f"{a.folder}/submissions").where(F.col("name").rlike(r"^CIK\d{10}\.json$")).select(F.col("text").alias("json"))
+    older = js.older_pages(payloads).join(companies.select("cik"), "cik", "left_semi")
+    return _fetch(a, _addresses(older, urls.submissions_page_url(F.col("name")))) | failed
+
+
+def fetch_companyfacts(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Tagged facts of each company."""
+    return _fetch(a, _addresses(_tickers(spark, a), urls.facts_url(F.col("cik"))))
+
+
+def fetch_filings(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Main documents and index pages of the annual reports of the last years."""
+    payloads = js.text_files(spark, f"{a.folder}/submissions").where(F.col("name").rlike(r"^CIK\d{10}\.json$")).select(F.col("text").alias("json"))
+    rows = js.recent_filings(payloads, fi.ANNUAL_FORMS).join(_tickers(spark, a).select("cik"), "cik", "left_semi")
+    c, n = F.col("cik"), F.col("accession")
+    return _fetch(a, _addresses(fi.latest_per_year(rows, a.years), urls.document_url(c, n, F.col("primary_document")), urls.filing_index_page_url(c, n)))
 
 
 def eval_retrieval(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -190,9 +245,16 @@ def _parser() -> argparse.ArgumentParser:
     command(filings, ("--folder", need), ("--years", {"type": int, "default": 3}))
     command(sections, texts, ("--threshold", {"type": float, "default": 0.9}), ("--out", {}), ("--chunker", {"default": "item_aware", "choices": ["item_aware", "fixed_window"]}))
     command(show, texts, ("--accession", need), ("--item", need))
-    command(build_index, ("--manifest", need), ("--cache", need), ("--model", need), ("--width", {"type": int, "default": 64}), ("--index", need), ("--dry-run", {"action": "store_true"}))
-    command(search, ("--index", need), ("--question", need), ("--mode", {"default": "vector", "choices": list(se.MODES)}), ("-k", {"type": int, "default": 10}), ticker, ("--year", many | {"type": int}), ("--form", many), ("--item", many))
-    command(label_span, texts, ("--accession", need), ("--phrase", need))
+    encoding = ("--encoder", {"help": "address of an encoder; words are hashed without one"}), ("--model", {"default": "hashing"})
+    embedding = ("--manifest", need), ("--cache", need), *encoding, ("--width", {"type": int, "default": 64}), ("--rounds", {"type": int, "default": 1}), ("--dry-run", {"action": "store_true"})
+    landed = ("--folder", need), ("--contact", need), ("--rate", {"type": float, "default": 5.0}), companies, ticker
+    command(embed, *embedding)
+    command(build_index, *embedding, ("--index", need))
+    command(fetch_submissions, *landed)
+    command(fetch_companyfacts, *landed)
+    command(fetch_filings, *landed, ("--years", {"type": int, "default": 3}))
+    command(search, ("--index", need), ("--question", need), ("--mode", {"default": "vector", "choices": list(se.MODES)}), ("-k", {"type": int, "default": 10}), *encoding, ticker, ("--year", many | {"type": int}), ("--form", many), ("--item", many))
+    command(label_span, texts, ("--accession", need), ("--phrase", need), ("--grade", {"type": int, "default": 2, "choices": [1, 2]}))
     command(eval_retrieval, hits, spans, ("--tags", {}))
     command(adjudicate, hits, spans)
     return p

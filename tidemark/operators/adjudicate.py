@@ -83,6 +83,13 @@ def recent(labels: DataFrame, today: str, days: int = FRESH_DAYS, on: str = "jud
     return labels.where(F.datediff(F.lit(today).cast("date"), F.col(on)) < days)
 
 
+def gold_entries(passages: DataFrame, filings: DataFrame, *, grade: int = 2, day: str, id_col: str = "accession") -> DataFrame:
+    """Passages as they go into the file of questions: with the grade, the hash of the text they are from, the quote and the day."""
+    hashes = filings.select(id_col, F.sha2(F.col("text"), 256).alias("filing_sha256"))
+    rows = passages.join(hashes, id_col)
+    return rows.select(id_col, "char_start", "char_end", F.lit(grade).alias("grade"), "filing_sha256", "quote", F.lit(day).cast("date").alias("labelled_on"))
+
+
 def parser_states(filings: DataFrame, sections: DataFrame, *, id_col: str = "accession") -> DataFrame:
     """For each filing its ``state`` (located, partial, failed), ``strategy``, missing core items and why it falls short."""
     primary = sections.where("span_no = 0")

@@ -224,8 +224,8 @@ def section_targeted(scored: DataFrame, items: Sequence[str], k: int = 10, **how
 MODES = ("vector", "bm25", "hybrid")
 
 
-def search(mode: str, *, vectors: DataFrame | None = None, encode: Callable[[str], Sequence[float]] | None = None, index: LexicalIndex | None = None, question: str, k: int = 10, where: Column | None = None, id_col: str = "chunk_id", rows: DataFrame | None = None) -> DataFrame:
-    """One question in one of the three modes over chunk ``rows``; the filter comes before the best ``k`` and leaves BM25's statistics alone."""
+def search(mode: str, *, vectors: DataFrame | None = None, encode: Callable[[str], Sequence[float]] | None = None, index: LexicalIndex | None = None, question: str, vector_question: str | None = None, k: int = 10, where: Column | None = None, id_col: str = "chunk_id", rows: DataFrame | None = None) -> DataFrame:
+    """One question in one of the three modes over chunk ``rows`` (``vector_question``: what the encoder gets instead of it); the filter comes before the best ``k`` and leaves BM25's statistics alone."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     if mode != "bm25" and encode is None:
@@ -233,7 +233,7 @@ def search(mode: str, *, vectors: DataFrame | None = None, encode: Callable[[str
     depth = k if mode != "hybrid" else CANDIDATES
     near = lexical = None
     if mode != "bm25":
-        near = vector_search(vectors, encode(question), depth, where=where, tie=id_col).select(id_col, "score", "rank")
+        near = vector_search(vectors, encode(vector_question or question), depth, where=where, tie=id_col).select(id_col, "score", "rank")
     if mode != "vector":
         scores = bm25_scores(index, query_terms(rows.sparkSession, {0: question}, english=True)).withColumnRenamed("id", id_col)
         allowed = rows if where is None else rows.where(where)

@@ -250,6 +250,21 @@ def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("question_id", "config", "labelled", *[F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "reciprocal_rank", "ndcg_10")], "unjudged_10", "issuers")
 
 
+@query(
+    "eval_coverage",
+    f"""{_EVAL}, x AS (SELECT question_id, list(DISTINCT ticker) AS wanted FROM spans JOIN manifest ON span_id = row_id WHERE grade >= 1 GROUP BY question_id),
+    y AS (SELECT question_id, config, list(DISTINCT ticker) AS had FROM top GROUP BY ALL)
+    SELECT question_id, config, issuers, round(len(list_intersect(had, wanted)) / len(wanted), 6) AS coverage_10 FROM scores JOIN y USING (question_id, config) LEFT JOIN x USING (question_id)""",
+)
+def eval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the companies with a relevant passage the share that a list has among its best ten."""
+    spans = _spans(spark, sf_dir)
+    tickers = table(spark, sf_dir, "manifest").select(F.col("row_id").alias("span_id"), "ticker")
+    expected = spans.where("grade >= 1").join(tickers, "span_id").groupBy("question_id").agg(F.collect_set("ticker").alias("tickers"))
+    scores = ev.question_scores(_hits(spark, sf_dir), spans, expected=expected)
+    return scores.select("question_id", "config", "issuers", F.round("coverage_10", 6).alias("coverage_10"))
+
+
 @query(
     "eval_hit_grades",
     f"{_EVAL} SELECT t.question_id, t.config, t.position, t.row_id, max(c.grade) AS grade FROM top t LEFT JOIN cov c USING (question_id, config, position) GROUP BY ALL",

@@ -272,9 +272,9 @@ def inputs_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a cache lacks is encoded, each input once, in two shares; a second run finds nothing to do."""
     from tidemark.functions.vectors import norm
 
-    inputs = _chunks(spark, sf_dir).where("trim(text) <> '' AND digest IS NOT NULL").select("digest", F.substring("text", 1, tb.MAX_INPUT).alias("text"))
+    inputs = _chunks(spark, sf_dir).where("trim(text) <> '' AND digest IS NOT NULL").select("digest", "text")
     cache = tb.VectorCache(spark, scratch(spark, "vectors"), "hashing", 64)
-    tb.embed_missing(inputs, cache, tb.hashing_encoder(), rounds=2)
+    tb.embed_missing(inputs, cache, tb.hashing_encoder(), rounds=2, longest=1 << 31)  # hashing takes texts of any length
     if tb.embed_missing(inputs, cache, tb.hashing_encoder()):
         raise AssertionError("inputs were left")
     return cache.load(inputs).select("digest", (F.abs(norm("vector") - 1) < 1e-3).alias("of_unit_length"))

@@ -260,17 +260,23 @@ def chunks_item_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PHRASE = "credit losses"
 
 
-@query(
-    "passages_found",
-    rf"""WITH {_BREAKS}, m1 AS (SELECT doc_id, regexp_extract_all(text, '(?is).*?{_PHRASE}') AS parts FROM d),
+_PASSAGES = rf"""{_BREAKS}, m1 AS (SELECT doc_id, regexp_extract_all(text, '(?is).*?{_PHRASE}') AS parts FROM d),
     m2 AS (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM m1),
     m3 AS (SELECT doc_id, i, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM m2),
     m4 AS (SELECT doc_id, i, text, e - {len(_PHRASE)} AS s, e, coalesce(list_filter(ls, lambda x: x <= e - {len(_PHRASE)})[-1], 0) AS a, coalesce(list_filter(ls, lambda x: x > e)[1] - 1, length(text)) AS z FROM m3 JOIN b USING (doc_id)),
     m5 AS (SELECT *, CASE WHEN z - a > 2000 THEN greatest(a, s - {(2000 - len(_PHRASE)) // 2}) ELSE a END AS low FROM m4),
     m6 AS (SELECT doc_id, any_value(text) AS text, low, CASE WHEN z - a > 2000 THEN greatest(e, least(z, low + 2000)) ELSE z END AS high, min(i) AS i FROM m5 GROUP BY doc_id, low, high),
-    m7 AS (SELECT *, trim(regexp_replace(substring(text, low + 1, high - low), '[{_WS}]+', ' ', 'g')) AS flat FROM m6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 10)
-    SELECT doc_id, low AS char_start, high AS char_end, CASE WHEN length(flat) <= 90 THEN flat ELSE substring(flat, 1, 87) || '...' END AS quote FROM m7""",
-)
+    m7 AS (SELECT *, trim(regexp_replace(substring(text, low + 1, high - low), '[{_WS}]+', ' ', 'g')) AS flat FROM m6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 10),
+    passages AS (SELECT doc_id, low AS char_start, high AS char_end, CASE WHEN length(flat) <= 90 THEN flat ELSE substring(flat, 1, 87) || '...' END AS quote FROM m7)"""
+
+
+@query("gold_entries", f"WITH {_PASSAGES} SELECT doc_id, char_start, char_end, 2 AS grade, sha256(text) AS filing_sha256, quote, DATE '2026-01-01' AS labelled_on FROM passages JOIN documents USING (doc_id)")
+def gold_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of ``passages_found`` as entries of the file of questions."""
+    return ad.gold_entries(passages_found(spark, sf_dir), table(spark, sf_dir, "documents"), day="2026-01-01", id_col="doc_id")
+
+
+@query("passages_found", f"WITH {_PASSAGES} SELECT * FROM passages")
 def passages_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ke.with_passages(spread(table(spark, sf_dir, "documents")), _PHRASE, id_col="doc_id")
 

@@ -1,6 +1,6 @@
 """Filling a landing folder from the driver: paced, repeated where it helps, and never fetched twice.
 
-There is no network client here; ``transport`` is any callable that gives status, headers and the body in pieces.
+A transport is any callable that gives status, headers and the body in pieces; ``http_transport`` is the standard library's.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ import random
 import re
 import threading
 import time
-from collections.abc import Callable, Iterable, Mapping
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 from urllib.parse import urlsplit
@@ -86,6 +88,27 @@ class FetchError(RuntimeError):
         self.status = status
 
 
+def http_transport(settings: Settings, timeout: float = 60.0, piece: int = 1 << 16) -> Callable[[str], Answer]:
+    """Requests that say who asks. A lost connection counts as an overloaded server."""
+
+    def pieces(answer) -> Iterator[bytes]:
+        with answer:
+            while part := answer.read(piece):
+                yield part
+
+    def ask(url: str) -> Answer:
+        request = urllib.request.Request(url, headers={"user-agent": settings.contact})
+        try:
+            answer = urllib.request.urlopen(request, timeout=timeout)
+        except urllib.error.HTTPError as e:
+            return e.code, {k.lower(): v for k, v in e.headers.items()}, ()
+        except OSError:
+            return 503, {}, ()
+        return answer.status, {k.lower(): v for k, v in answer.headers.items()}, pieces(answer)
+
+    return ask
+
+
 class Landing:
     """Answers by address. Every try takes a turn of the pace; only overload and server errors are tried again."""
 

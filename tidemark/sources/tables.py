@@ -108,10 +108,11 @@ def hashing_encoder(width: int = 64) -> Encode:
 MAX_INPUT = 12_000
 
 
-def embed_missing(inputs: DataFrame, cache: VectorCache, encode: Encode, *, rounds: int = 1, batch: int = 256) -> int:
+def embed_missing(inputs: DataFrame, cache: VectorCache, encode: Encode, *, rounds: int = 1, batch: int = 256, longest: int = MAX_INPUT) -> int:
     """Encode the inputs (``digest``, ``text``) that the cache lacks, each once, and add them; how many there were.
 
-    ``rounds`` above 1 commits a share at a time, so that an interruption loses one share. Empty or overlong inputs are errors.
+    ``rounds`` above 1 commits a share at a time, so that an interruption loses one share. Empty inputs and those over ``longest``, what the
+    encoder takes, are errors.
     """
     ship(inputs.sparkSession)
     todo = inputs.dropDuplicates(["digest"]).join(cache.digests(), "digest", "left_anti")
@@ -124,8 +125,8 @@ def embed_missing(inputs: DataFrame, cache: VectorCache, encode: Encode, *, roun
             for at in range(0, b.num_rows, batch):
                 piece = b.slice(at, batch)
                 texts = piece.column(1).to_pylist()
-                if any(not (t or "").strip() or len(t) > MAX_INPUT for t in texts):
-                    raise ValueError(f"an input is empty or longer than {MAX_INPUT} characters")
+                if any(not (t or "").strip() or len(t) > longest for t in texts):
+                    raise ValueError(f"an input is empty or longer than {longest} characters")
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(encode(texts), pa.list_(pa.float32()))], ["digest", "vector"])
 
     for r in range(rounds if n else 0):
