@@ -87,17 +87,16 @@ def question_scores(hits: DataFrame, spans: DataFrame, *, k: int = DEPTH, expect
     wanted = relevant.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     ideal = spans.where("grade > 0").withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("grade"), "span_id"))).where(F.col("r") <= k)
     ideal = ideal.groupBy("question_id").agg(F.sum(F.col("grade") / F.log2(F.col("r") + 1)).alias("ideal"))
-    first = covered.groupBy(*key, "span_id", "grade").agg(F.min("position").alias("position"))
-    found = first.where("grade >= 1").groupBy(*key).agg(
-        F.count(F.when(F.col("position") <= 5, 1)).alias("found_5"), F.count(F.lit(1)).alias("found_k"), F.min("position").alias("first_position")
-    )
-    gains = first.groupBy(*key, "position").agg(F.max("grade").alias("g")).groupBy(*key).agg(F.sum(F.col("g") / F.log2(F.col("position") + 1)).alias("dcg"))
-    judged = covered.select(*key, "position").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("judged"))
+    # One pass over what is covered: a passage counts for the first hit that covers it, a hit as judged if it covers any.
+    is_first = F.col("position") == F.min("position").over(Window.partitionBy(*key, "span_id"))
+    own = F.when(is_first, F.col("grade"))
+    places = covered.withColumn("own", own).groupBy(*key, "position").agg(F.max("own").alias("g"), F.count(F.when(F.col("own") >= 1, 1)).alias("n"))
+    found = places.groupBy(*key).agg(
+        F.sum(F.when(F.col("position") <= 5, F.col("n"))).alias("found_5"), F.sum("n").alias("found_k"), F.min(F.when(F.col("n") > 0, F.col("position"))).alias("first_position"),
+        F.sum(F.col("g") / F.log2(F.col("position") + 1)).alias("dcg"), F.count(F.lit(1)).alias("judged"),
+    )
     base = top.groupBy(*key).agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("ticker").alias("issuers"), F.collect_set("ticker").alias("__tickers"))
-    rows = base
-    for d in (found, gains, judged):
-        rows = rows.join(d, key, "left")
-    rows = rows.join(wanted, "question_id", "left").join(ideal, "question_id", "left")
+    rows = base.join(found, key, "left").join(wanted, "question_id", "left").join(ideal, "question_id", "left")
     has = F.col("n_relevant").isNotNull()
     rows = (
         rows.withColumn("recall_5", F.when(has, F.coalesce("found_5", F.lit(0)) / F.col("n_relevant")))

@@ -20,21 +20,24 @@ def item_order(items: Column) -> Column:
 def segments(spans: DataFrame, *, by: str = "accession", label: str = "item", start: str = "span_start", end: str = "span_end") -> DataFrame:
     """``by``, ``start``, ``end``, ``items``: maximal stretches that the same labels claim; stretches that none claims are left out.
 
-    Bounds are swept once: each span adds its label at its start and takes it away at its end, so no bound is joined
-    to the spans around it.
+    Bounds are swept once for each label: a span adds its label at its start and takes it away at its end, so no bound is joined
+    to the spans around it. What passes through grows with bounds x labels of one ``by``, however many spans overlap.
     """
-    spans = spans.where(F.col(end) > F.col(start)).select(by, F.col(label).alias("l"), F.col(start).alias("a"), F.col(end).alias("z"))
+    spans = spans.where((F.col(end) > F.col(start)) & F.col(label).isNotNull()).select(by, F.col(label).alias("l"), F.col(start).alias("a"), F.col(end).alias("z"))
     events = spans.select(by, F.col("a").alias("at"), "l", F.lit(1).alias("d")).unionByName(spans.select(by, F.col("z").alias("at"), "l", F.lit(-1).alias("d")))
     # How many spans of each label are open behind each of its own bounds; a stretch between them is labelled if any is.
     per = events.groupBy(by, "l", "at").agg(F.sum("d").alias("d"))
     per = per.withColumn("open", F.sum("d").over(Window.partitionBy(by, "l").orderBy("at")))
     per = per.withColumn("was", F.coalesce(F.lag("open").over(Window.partitionBy(by, "l").orderBy("at")), F.lit(0)))
     turns = per.where((F.col("open") > 0) != (F.col("was") > 0)).select(by, "l", "at", (F.col("open") > 0).alias("on"))
-    bounds = turns.groupBy(by, "at").agg(F.collect_set(F.when(F.col("on"), F.col("l"))).alias("on"), F.collect_set(F.when(~F.col("on"), F.col("l"))).alias("off"))
-    w = Window.partitionBy(by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    history = bounds.withColumn("h", F.collect_list(F.struct("on", "off")).over(w)).withColumn("next", F.lead("at").over(Window.partitionBy(by).orderBy("at")))
-    now = F.aggregate("h", F.expr("cast(array() as array<string>)"), lambda s, e: F.array_union(F.array_except(s, e["off"]), e["on"]))
-    stretches = history.select(by, F.col("at").alias("start"), F.col("next").alias("end"), item_order(now).alias("items")).where(F.size("items") > 0)
+    # Each label's state at each bound of its ``by``: as its last turn left it. All of it stays where ``by`` was brought together.
+    turns = turns.repartition(by).withColumn("labels", F.collect_set("l").over(Window.partitionBy(by)))
+    bounds = turns.groupBy(by, "at").agg(F.map_from_entries(F.collect_list(F.struct("l", "on"))).alias("turned"), F.first("labels").alias("labels"))
+    bounds = bounds.withColumn("next", F.lead("at").over(Window.partitionBy(by).orderBy("at")))
+    states = bounds.select(by, "at", "next", "turned", F.explode("labels").alias("l")).withColumn("on", F.col("turned")[F.col("l")])
+    states = states.withColumn("now", F.last("on", ignorenulls=True).over(Window.partitionBy(by, "l").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    open_ = states.where("now").groupBy(by, "at", "next").agg(F.collect_list("l").alias("items"))
+    stretches = open_.select(by, F.col("at").alias("start"), F.col("next").alias("end"), item_order(F.col("items")).alias("items"))
     order = Window.partitionBy(by).orderBy("start")
     new = ~((F.col("start") == F.lag("end").over(order)) & (F.col("items") == F.lag("items").over(order)))
     runs = stretches.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(order))

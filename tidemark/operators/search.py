@@ -133,11 +133,12 @@ def lexical_index(docs: DataFrame, *, id_col: str, english: bool = False) -> Lex
         analysed = docs.select(F.col(id_col).alias("id"), "text").mapInArrow(terms, f"id {kind}, terms array<string>")
     else:
         analysed = docs.select(F.col(id_col).alias("id"), F.coalesce(plain_terms("text"), F.expr("cast(array() as array<string>)")).alias("terms"))
-    # Texts are analysed once: everything is read from the postings. Of each text one row is marked, also of one without terms.
-    # An outer explode: from an inner one the planner infers a filter on the number of terms, which would split each text twice.
-    said = analysed.select("id", F.size("terms").alias("dl"), F.posexplode_outer("terms").alias("at", "term"))
-    said = checkpointed(said.groupBy("id", "dl", "term").agg(F.count("term").alias("tf"), (F.coalesce(F.min("at"), F.lit(0)) == 0).alias("one")))
-    postings, lengths = said.where("term IS NOT NULL").select("id", "dl", "term", "tf"), said.where("one").select("id", "dl")
+    # Texts are analysed once: their terms are written to the checkpoint folder, and all else is read from these.
+    analysed = checkpointed(analysed)
+    lengths = analysed.select("id", F.size("terms").alias("dl"))
+    # An outer explode: from an inner one the planner infers a filter on the number of terms.
+    said = analysed.select("id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+    postings = said.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return LexicalIndex(postings, lengths, frequencies, lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
 
