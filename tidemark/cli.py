@@ -86,7 +86,7 @@ def financials(spark: SparkSession, a: argparse.Namespace) -> int:
     if concepts.isEmpty():
         raise SystemExit2(f"unknown concept {a.concept!r}")
     companies = _tickers(spark, a)
-    facts = tb.read_facts(spark, a.facts).join(F.broadcast(companies.select("cik")), "cik", "left_semi")
+    facts = tb.read_facts(spark, a.facts).join(companies.select("cik"), "cik", "left_semi")
     year = facts.where(F.col("period_year") == a.year)
     values = fn.concept_values(year, concepts, a.basis)
     n = _show(values.join(companies.select("cik", "ticker", "ordinal"), "cik").orderBy("ordinal").drop("ordinal"))

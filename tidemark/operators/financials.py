@@ -40,7 +40,7 @@ def concept_values(facts: DataFrame, concepts: DataFrame, basis: str = "as_resta
 
 def unavailable(values: DataFrame, resolved: DataFrame, companies: DataFrame, concepts: DataFrame, years: Sequence[int]) -> DataFrame:
     """Company, concept and year without a value, and why. Companies and concepts are dimensions; their product with the years is the question itself."""
-    asked = companies.select("cik").crossJoin(F.broadcast(concepts.select("concept").distinct())).withColumn("period_year", F.explode(F.array(*[F.lit(y) for y in years])))
+    asked = companies.select("cik").crossJoin(concepts.select("concept").distinct()).withColumn("period_year", F.explode(F.array(*[F.lit(y) for y in years])))
     found = values.select("cik", "concept", "period_year", F.lit(True).alias("has_value"))
     tagged = resolved.select("cik", "concept", "period_year", F.lit(True).alias("has_tag"))
     keys = ["cik", "concept", "period_year"]
@@ -75,7 +75,7 @@ def coverage_cells(facts: DataFrame, concepts: DataFrame, companies: DataFrame,
     """One row for each company and concept: whether it is in scope, and the rank and tag it resolves to."""
     found = resolve_concepts(facts.where(F.col("period_year").between(*years)).withColumn("period_year", F.lit(0)), concepts).drop("period_year", "unit", "period_type")
     scope = concepts.select("concept", "applies_to").distinct()
-    grid = companies.select("cik", "ticker", F.coalesce("lender", F.lit(False)).alias("lender")).crossJoin(F.broadcast(scope))
+    grid = companies.select("cik", "ticker", F.coalesce("lender", F.lit(False)).alias("lender")).crossJoin(scope)
     grid = grid.withColumn("in_scope", (F.col("applies_to") != "lenders") | F.col("lender"))
     return grid.join(found, ["cik", "concept"], "left").select("cik", "ticker", "concept", "in_scope", "tag", "tag_rank")
 
