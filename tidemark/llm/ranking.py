@@ -16,32 +16,28 @@ query = Registry()
 PART = 100_000
 
 
+def _longer(df: DataFrame, by: Sequence[str], part: int) -> bool:
+    """Whether any list has more than ``part`` rows."""
+    return not df.groupBy(*by).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > part).isEmpty()
+
+
 def positions(df: DataFrame, by: Sequence[str], order: str, part: int = PART) -> DataFrame:
     """``df`` with ``before``: how many rows of the same ``by`` have a smaller ``order``, and ``ties``: how many the same (itself too).
 
-    ``df`` should be cheap to read again. Equal values are counted on the map side first. Where there are lists of more
-    than ``part`` different values, these are cut at approximate quantiles into parts of about as many, however long they are, numbered
-    each on its own and moved up by what the parts before hold, so that no task sorts a whole long list; the numbers are the same either way.
+    ``df`` should be cheap to read again. Lists of up to ``part`` rows are numbered as they are. Otherwise equal values are counted on the
+    map side, the counts are put in order over as many tasks as they need, numbered in each and moved up by what a list has in the tasks
+    before. So no task sorts a whole long list, however long it is, and the numbers are the same either way.
     """
-    counts = df.groupBy(*by, order).agg(F.count(F.lit(1)).alias("ties"))
-    long = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > part)
+    if not _longer(df, by, part):
+        return df.withColumn("before", F.rank().over(Window.partitionBy(*by).orderBy(order)) - 1).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*by, order)))
+    counts = checkpointed(df.groupBy(*by, order).agg(F.count(F.lit(1)).alias("ties")))
+    parts = -(-counts.count() // part)
+    parted = checkpointed(counts.repartitionByRange(max(1, parts), *by, order).withColumn("__part", F.spark_partition_id()))
     upto = Window.unboundedPreceding, -1
-    longest = long.agg(F.max("__m")).first()[0]
-    if longest is None:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(*upto)
-        placed = counts.withColumn("before", F.coalesce(F.sum("ties").over(w), F.lit(0)))
-    else:
-        counts = checkpointed(counts)
-        # As many cuts as the longest list needs; a shorter one takes every so many-th of them.
-        n = -(-longest // part)
-        quantiles = F.percentile_approx(order, F.array(*[F.lit(k / n) for k in range(1, n)]), 20 * n)
-        cuts = counts.join(long.select(*by), [*by], "left_semi").groupBy(*by).agg(quantiles.alias("__q"), F.ceil(F.count(F.lit(1)) / part).alias("__own"))
-        nth = F.floor(F.coalesce(F.size(F.filter("__q", lambda q: q < F.col(order))), F.lit(0)) * F.col("__own") / n)
-        parted = checkpointed(counts.join(cuts, [*by], "left").withColumn("__part", F.when(F.col("__q").isNull(), 0).otherwise(nth)).drop("__q", "__own"))
-        w = Window.partitionBy(*by).orderBy("__part").rowsBetween(*upto)
-        sums = parted.groupBy(*by, "__part").agg(F.sum("ties").alias("__s")).select(*by, "__part", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__base"))
-        w = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(*upto)
-        placed = parted.withColumn("__in", F.coalesce(F.sum("ties").over(w), F.lit(0))).join(sums, [*by, "__part"]).withColumn("before", F.col("__base") + F.col("__in"))
+    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(*upto)
+    sums = parted.groupBy(*by, "__part").agg(F.sum("ties").alias("__s")).select(*by, "__part", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__base"))
+    w = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(*upto)
+    placed = parted.withColumn("__in", F.coalesce(F.sum("ties").over(w), F.lit(0))).join(sums, [*by, "__part"]).withColumn("before", F.col("__base") + F.col("__in"))
     return df.join(placed.select(*by, order, "before", "ties"), [*by, order])
 
 
@@ -117,8 +113,10 @@ def robust_rank_aggregation(
     items = items.withColumn("rho", rho).withColumn("__mean", mean)
     sources = F.array_sort(F.transform("__l", lambda x: F.struct(x["retriever"].alias("retriever"), x["place"].alias("place"))))
     items = checkpointed(items.select(question, item, "rho", "n_lists", F.size("__l").alias("n_found"), sources.alias("sources"), "__mean"))
-    # Ties in rho may be many, ties in both hardly: long ones are placed by mean rank in parts, others in one window.
+    # In long lists ties in rho may be many, ties in both hardly: long ones are placed by mean rank in parts, others in one window.
     columns = [question, item, "fused_rank", "rho", "n_lists", "n_found", "sources"]
+    if not _longer(items, [question], part):
+        return items.withColumn("fused_rank", F.row_number().over(Window.partitionBy(question).orderBy("rho", "__mean", item)).cast("bigint")).select(*columns)
     if items.groupBy(question, "rho").agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > part).isEmpty():
         w = Window.partitionBy(question, "rho").orderBy("__mean", item)
         return positions(items, [question], "rho", part).withColumn("fused_rank", F.col("before") + F.row_number().over(w)).select(*columns)
