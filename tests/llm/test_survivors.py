@@ -3,6 +3,9 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
+
+from tidemark.llm import survivors as survivors_
 from tidemark.llm.survivors import FIELDS, _facts_copies, survivors
 
 D, T = dt.date, dt.datetime
@@ -91,12 +94,14 @@ def test_a_null_load_is_the_least_trusted(spark):
     assert (r["best_id"], r["n_rows"], r["layers"], r["frame_from"]) == (2, 3, 2, 1)
 
 
-def test_groups_are_components_of_links(spark):
+@pytest.mark.parametrize("hot", [survivors_.HOT, 100, 0])
+def test_groups_are_components_of_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(survivors_, "HOT", hot)
     random.seed(5)
     accns = ["", None, "0000000001-25-000001", "000000000125000001", "0000000001-25-000002"]
     vals = [0.0, -0.0, 1e-320, 5e-324, 1e308, float("inf"), float("-inf"), *[100 * 1.004**k for k in range(12)], *[-100 * 1.007**k for k in range(4)]]
     rows = [
-        fact(n, tag=random.choice("AB"), end=D(2024, 12, 1) + dt.timedelta(random.randrange(0, 25, 2)), filed=D(2025, 2, 1) + dt.timedelta(random.randrange(0, 40, 3)), val=random.choice(vals), accn=random.choice(accns))
+        fact(n, tag=random.choice("AAAAB"), end=D(2024, 12, 1) + dt.timedelta(random.randrange(0, 25, 2)), filed=D(2025, 2, 1) + dt.timedelta(random.randrange(0, 40, 3)), val=random.choice(vals), accn=random.choice(accns))
         for n in range(1, 500)
     ]
 

@@ -15,6 +15,8 @@ from tidemark.session import checkpointed
 
 query = Registry()
 
+#: Figures with more rows than this are not gone through in order, each in one task: all their kinds go to the grid.
+HOT = 1_000_000
 #: What a null trust counts as: earlier than any other.
 _NEVER = "0001-01-01 00:00:00"
 
@@ -104,9 +106,9 @@ def copies(
     linked, as their extremes show. In the others every link is found and checked (see ``_linked_parts``), and groups are the
     components of these links.
 
-    Scale: an exact copy costs nothing after the map side, whatever share of all rows it is; kinds of a figure are
-    bounded by its days, amounts and filings. All sorts share one partitioning by figure. Segments that are not alone are
-    written to the checkpoint folder. No segment is gathered; candidates of the unclear ones grow in proportion to their kinds.
+    Scale: an exact copy costs nothing after the map side, whatever share of all rows it is. All sorts share one partitioning by
+    figure; a figure of more than ``HOT`` rows is not sorted but goes to the grid, which spreads it by days and values. Segments that are not
+    alone are written to the checkpoint folder. No segment is gathered; candidates of the unclear ones grow in proportion to their kinds.
     ``figure`` is hashed to 64 bits; as a link also needs near days and values, figures with one hash would still have to agree on these.
     """
     d = [F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) for c in days]
@@ -127,7 +129,9 @@ def copies(
     kinds = rows.groupBy("figure", *own, "val", "accn", "mask").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max(F.struct("trust", (-F.col("id")).alias("i"))).alias("best")
     )
-    parted, seg = kinds.repartition("figure"), ["figure"]
+    hot = checkpointed(rows.groupBy("figure").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("figure"))
+    any_hot = not hot.isEmpty()
+    parted, seg = (kinds.join(hot, "figure", "left_anti") if any_hot else kinds).repartition("figure"), ["figure"]
     for c in reversed(own):
         parted, seg = _split(parted, seg, c, lambda low, high: high - low >= within_days)
     parted, seg = _split(parted, seg, "val", lambda low, high: ~_within(low, high, tolerance))
@@ -140,7 +144,13 @@ def copies(
 
     out = [*own, "val", "accn", "mask", "n", "id", "best"]
     clear = parted.where("__near").select(F.struct(*seg, F.lit(None).cast("bigint").alias("part")).alias("group"), *out)
-    unclear = parted.where("NOT __near").withColumn("cell", _value_cell(F.col("val"), tolerance))
+    unclear = parted.where("NOT __near").drop("__near")
+    if any_hot:
+        whole = kinds.join(hot, "figure", "left_semi")
+        for c in seg[1:]:
+            whole = whole.withColumn(c, F.lit(0))
+        unclear = unclear.unionByName(whole)
+    unclear = unclear.withColumn("cell", _value_cell(F.col("val"), tolerance))
     if unclear.isEmpty():
         return clear
     place = [*seg, *own, "cell"]
