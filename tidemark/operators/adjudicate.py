@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
+import random
 from collections.abc import Sequence
 
 import pandas as pd
@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.evaluate import covered_spans
 from tidemark.operators.text.locate import INCORPORATION, TARGETS
+from tidemark.operators.text.passages import SPACE
 
 # The share of the shorter one that two hits of one passage have in common, days for which a label is fresh.
 SAME, FRESH_DAYS, SEED = 0.5, 3, 20260101
 # The items that must be there, the least length of a real section, where a stub says so.
 CORE, PLAUSIBLE, STUB_WINDOW = ("1A", "7", "9A"), 1_000, 400
+# Fixed value: the line above and below a text on a judge's sheet.
+RULE = "-" * 72
 
 
 def unjudged(hits: DataFrame, spans: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def pool(hits: DataFrame, spans: DataFrame, *, depth: int = 10, seed: int = SEED
 
     Configs are read in their order; a hit that shares half of the shorter one's length with one taken before is
     the same passage. That choice depends on the order, so a question is worked off in one group, which is bounded by
-    configs x ``depth``. They are shuffled by a hash of seed, question and row, which any engine can repeat.
+    configs x ``depth``. The shuffle has the question as its seed.
     """
     rows = unjudged(hits.where(F.col("position") <= depth), spans).select("question_id", "config", "position", "row_id", "accession", "char_start", "char_end")
     from tidemark.session import ship
@@ -44,8 +47,8 @@ def pool(hits: DataFrame, spans: DataFrame, *, depth: int = 10, seed: int = SEED
             mine = kept.setdefault(r.accession, [])
             if all(min(e, r.char_end) - max(s, r.char_start) < SAME * min(e - s, r.char_end - r.char_start) for s, e in mine):
                 mine.append((r.char_start, r.char_end))
-                take.append((hashlib.md5(f"{seed}:{r.question_id}:{r.row_id}".encode()).hexdigest(), i))
-        take = [i for _, i in sorted(take)]
+                take.append(i)
+        random.Random(f"{seed}:{pdf['question_id'].iloc[0]}").shuffle(take)
         out = pdf.sort_values(["config", "position"]).iloc[take].copy()
         out["place"] = range(1, len(out) + 1)
         return out[["question_id", "place", "row_id", "accession", "char_start", "char_end"]]
@@ -54,6 +57,19 @@ def pool(hits: DataFrame, spans: DataFrame, *, depth: int = 10, seed: int = SEED
     return rows.groupBy("question_id").applyInPandas(choose, f"question_id {kinds['question_id']}, place int, row_id {kinds['row_id']}, accession string, char_start bigint, char_end bigint")
 
 
+def sheets(pooled: DataFrame, questions: DataFrame, manifest: DataFrame, *, key: str = "row_id") -> DataFrame:
+    """``question_id``, ``key``, ``sheet``: what a judge sees of each passage of a pool, where it is from and its text, but nothing of its rank.
+
+    ``questions``: ``question_id``, ``question``. What a row of the manifest lacks is a question mark.
+    """
+    rows = pooled.join(questions.select("question_id", "question"), "question_id").join(manifest.select(key, "ticker", "fiscal_year", "items", "document_name", "text"), key)
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    items = F.when(F.size("items") > 0, F.array_join("items", ", ")).otherwise("unlabelled")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), f"\\A[{SPACE}]+|[{SPACE}]+\\z", "")
+    head = F.concat(F.col("question_id").cast("string"), F.lit(": "), F.col("question"), F.lit("\n"), known("ticker"), F.lit(" FY"), known("fiscal_year"), F.lit(" · items "), items, F.lit(" · "), known("document_name"))
+    return rows.select("question_id", key, F.concat_ws("\n", head, F.lit(RULE), text, F.lit(RULE)).alias("sheet"))
+
+
 def original_grades(entries: DataFrame, key: Sequence[str]) -> DataFrame:
     """One entry for each key: gold before judgments; of gold the last, of judgments the first. ``entry_no`` is their order."""
     gold = F.col("origin") == "gold"

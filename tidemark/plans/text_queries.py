@@ -313,10 +313,24 @@ def unjudged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
               AND least(x.e, h[k + 1].e) - greatest(x.s, h[k + 1].s) >= 0.5 * least(x.e - x.s, h[k + 1].e - h[k + 1].s))) = 0 THEN list_append(kept, h[k + 1]) ELSE kept END
           FROM r JOIN l USING (question_id) WHERE k < len(h)),
     o AS (SELECT question_id, unnest(kept) AS x FROM r QUALIFY k = max(k) OVER (PARTITION BY question_id))
-    SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY md5('20260101:' || question_id || ':' || x.row_id)) AS INTEGER) AS place, x.row_id AS row_id, x.accession AS accession, x.s AS char_start, x.e AS char_end FROM o""",
+    SELECT question_id, x.row_id AS row_id, x.accession AS accession, x.s AS char_start, x.e AS char_end FROM o""",
 )
 def judging_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ad.pool(_hits(spark, sf_dir), _spans(spark, sf_dir))
+    """Who is in the pools; their order is a seeded shuffle, which SQL has not."""
+    return ad.pool(_hits(spark, sf_dir), _spans(spark, sf_dir)).drop("place")
+
+
+@query(
+    "judging_sheets",
+    f"""{_UNJUDGED}, u AS (SELECT DISTINCT t.question_id, t.row_id FROM top t LEFT JOIN cov c USING (question_id, config, position) WHERE c.span_id IS NULL)
+    SELECT question_id, row_id, question_id || ': Question ' || question_id || chr(10) || coalesce(ticker, '?') || ' FY' || coalesce(CAST(fiscal_year AS VARCHAR), '?') || ' · items ' || CASE WHEN len(items) > 0 THEN array_to_string(items, ', ') ELSE 'unlabelled' END
+      || ' · ' || coalesce(document_name, '?') || chr(10) || repeat('-', 72) || chr(10) || regexp_replace(coalesce(text, ''), '\\A[{_WS}]+|[{_WS}]+\\z', '', 'g') || chr(10) || repeat('-', 72) AS sheet FROM u JOIN manifest USING (row_id)""",
+)
+def judging_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge sees of each unjudged hit."""
+    hits = ad.unjudged(_hits(spark, sf_dir), _spans(spark, sf_dir)).select("question_id", "row_id").distinct()
+    questions = hits.select("question_id").distinct().withColumn("question", F.concat(F.lit("Question "), F.col("question_id").cast("string")))
+    return ad.sheets(hits, questions, table(spark, sf_dir, "manifest"))
 
 
 @query(
