@@ -54,7 +54,10 @@ def test_copies_nulls_and_short_texts(spark):
     assert {(r["id"], r["first"], r["size"]) for r in members.collect()} == {(1, 1, 3), (2, 1, 3), (3, 1, 3), (8, 8, 1)}
     groups = {r["row_id"]: (r["class_id"], r["group_id"]) for r in near_duplicate_groups(df, n=3, similarity=0.7).collect()}
     assert groups == {1: (1, 1), 2: (1, 1), 3: (1, 1), 8: (8, 1)}
-    assert near_duplicate_pairs(df.limit(0)).count() == 0
+    assert near_duplicate_pairs(df.limit(0)).count() == 0 and near_duplicate_groups(df.limit(0)).count() == 0
+    twice = df.union(df).union(spark.createDataFrame([(None, long, "q")], SCHEMA))
+    assert sorted(tuple(r) for r in near_duplicate_pairs(twice, n=3, similarity=0.7).collect()) == sorted(got)
+    assert {tuple(r) for r in near_duplicate_groups(twice, n=3, similarity=0.7).collect()} == {(k, *v) for k, v in groups.items()}
 
 
 def test_a_large_class_is_a_star(spark):

@@ -100,7 +100,8 @@ def signatures(df: DataFrame, *, id_col: str, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["id", "c1", "c2", "t1", "t2", "runs", "sig"])
 
     kind = dict(df.dtypes)[id_col]
-    return arrow_map(df.where("text IS NOT NULL").select(id_col, "text"), run, f"id {kind}, c1 bigint, c2 bigint, t1 bigint, t2 bigint, runs int, sig array<smallint>")
+    rows = df.where(F.col("text").isNotNull() & F.col(id_col).isNotNull())
+    return arrow_map(rows.select(id_col, "text"), run, f"id {kind}, c1 bigint, c2 bigint, t1 bigint, t2 bigint, runs int, sig array<smallint>")
 
 
 def _keys(sig: str) -> Column:
@@ -152,7 +153,8 @@ def _checked(df: DataFrame, pairs: DataFrame, reps: DataFrame, *, id_col: str, n
 
     kind = dict(df.dtypes)[id_col]
     links = arrow_map(both.select("a", "b", "text_a", "text_b"), compare, f"a {kind}, b {kind}, similarity double")
-    return links.where(F.col("similarity") >= similarity)
+    # A row that occurs repeatedly has been compared as often.
+    return links.where(F.col("similarity") >= similarity).distinct()
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "row_id", n: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -165,8 +167,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "row_id", n: int = 5, simila
     of one form at every size: any two rows are near-duplicates if they have one class or their classes have a link.
 
     Candidates come from a multi-index join over b-bit signatures, see CHUNKS; an exact comparison of the texts follows.
-    Rows with a null text or fewer than ``n`` words are in neither result. Ids must be unique and not null; other columns
-    are ignored; empty tables give empty results.
+    Rows with a null id, a null text or fewer than ``n`` words are in neither result. A repeated row is in the members as
+    often as it occurs and counts so often as a copy; no id is linked with itself. Other columns are ignored; empty tables give empty results.
 
     Scale: copies are combined before any pair is formed. The signatures (about 190 bytes a row) and the candidates
     are written to the checkpoint folder, so texts are read twice and never all shuffled unless more rows than
@@ -183,12 +185,12 @@ def near_duplicate_pairs(df: DataFrame, *, id_col: str = "row_id", n: int = 5, s
 
     Every two different texts that are linked have pairs: each row of one with the first copy of the other. Each row has one with the
     first copy of its own text. Where both texts have up to ``UNFOLDED`` copies all pairs come out; beyond, those left out
-    follow from the members, and what comes out grows with the rows and not with their square.
+    follow from the members, and what comes out grows with the rows and not with their square. A repeated row gives each pair once.
 
     Scale: variants of one text are paired by kind of text before their copies are.
     """
     links, members = near_duplicates(df, id_col=id_col, n=n, similarity=similarity)
-    members = checkpointed(members)
+    members = checkpointed(members.distinct())
     # Kinds of text (equal bytes) that are linked: across classes, and within a class that has several.
     kinds = members.select("first", "copy", "copies").where("id = copy")
     k, m = kinds.toDF("a", "k", "n_k"), kinds.toDF("b", "m", "n_m")
