@@ -78,10 +78,10 @@ def _cache(spark: SparkSession, sf_dir: str) -> tb.VectorCache:
     return cache
 
 
-@query("vectors_cached", "SELECT 'v' || vec_id AS digest, len(embedding) AS width, round(CAST(CASE WHEN label = 3 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 6) AS x0 FROM embeddings WHERE label IN (2, 3)")
+@query("vectors_cached", "SELECT 'v' || vec_id AS digest, len(embedding) AS width, round(CAST(CASE WHEN label = 3 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 6) AS x0 FROM embeddings")
 def vectors_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the asked digests; of one that was added twice the later counts."""
-    asked = table(spark, sf_dir, "embeddings").where("label IN (2, 3)").select(F.concat(F.lit("v"), "vec_id").alias("digest"))
+    asked = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("digest"))
     return _cache(spark, sf_dir).load(asked).select("digest", F.size("vector").cast("bigint").alias("width"), F.round(F.col("vector")[0].cast("double"), 6).alias("x0"))
 
 
