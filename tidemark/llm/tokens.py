@@ -57,12 +57,12 @@ def decode_ids(df: DataFrame, *, id_col: str = "doc_id", vocabulary: str = VOCAB
     return arrow_map(df.select(id_col, "ids"), run, f"id {dict(df.dtypes)[id_col]}, text string").toDF(id_col, "text")
 
 
+@query("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(spread(table(spark, sf_dir, "documents")))
+
+
 @query("p8_text", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of ``p8_ids``, decoded again."""
     return decode_ids(p8_ids(spark, sf_dir))
-
-
-@query("p8_ids")
-def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(spread(table(spark, sf_dir, "documents")))
