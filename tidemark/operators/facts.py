@@ -71,16 +71,17 @@ def fiscal_year_ends(facts: DataFrame) -> DataFrame:
     return counted.groupBy("cik", "period_year").agg(F.max_by("period_end", F.struct("n", "period_end")).alias("fye"))
 
 
-def select_annual(rows: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+def select_annual(rows: DataFrame, ends: DataFrame, keys: Sequence[str], prefer: str | None = None) -> DataFrame:
     """Of each group of ``keys`` (with ``cik`` and ``period_year``) the rows of the annual period.
 
-    Durations: annual rows, those ending on the fiscal year end if there are any, else all. Instants: those of the
+    If there is a ``prefer``, only rows with its least value in the group count, annual or not. Durations: annual rows, those ending on the fiscal year end if there are any, else all. Instants: those of the
     fiscal year end if there are any, else those of the latest day.
     """
-    joined = rows.join(ends, ["cik", "period_year"], "left")
+    joined, w = rows.join(ends, ["cik", "period_year"], "left"), Window.partitionBy(*keys)
+    if prefer is not None:
+        joined = joined.withColumn("__least", F.min(prefer).over(w)).where(F.col(prefer) == F.col("__least")).drop("__least")
     fits = F.coalesce(F.col("period_end") == F.col("fye"), F.lit(False))
     joined = joined.where((F.col("period_type") != "duration") | is_annual()).withColumn("__fits", fits)
-    w = Window.partitionBy(*keys)
     joined = joined.withColumn("__any", F.max("__fits").over(w)).withColumn("__last", F.max("period_end").over(w))
     instead = F.when(F.col("period_type") == "duration", F.lit(True)).otherwise(F.col("period_end") == F.col("__last"))
     return joined.where(F.when(F.col("__any"), F.col("__fits")).otherwise(instead)).drop("__fits", "__any", "__last")

@@ -18,19 +18,18 @@ def resolve_concepts(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """
     present = facts.select("cik", "period_year", "tag", "unit", "period_type").distinct()
     candidates = concepts.select("concept", "unit", "period_type", "tag_rank", "tag")
-    return present.join(candidates, ["tag", "unit", "period_type"]).groupBy("cik", "period_year", "concept").agg(
-        F.min_by(F.struct("tag", "tag_rank", "unit", "period_type"), "tag_rank").alias("c")
-    ).select("cik", "period_year", "concept", "c.*")
+    least = present.join(candidates, ["tag", "unit", "period_type"]).groupBy("cik", "period_year", "concept").agg(F.min("tag_rank").alias("tag_rank"))
+    return least.join(candidates, ["concept", "tag_rank"]).select("cik", "period_year", "concept", "tag", "tag_rank", "unit", "period_type")
 
 
 def concept_values(facts: DataFrame, concepts: DataFrame, basis: str = "as_restated") -> DataFrame:
     """One row for each company, year and concept with an annual period: both values, and period, form and filing of the basis."""
     if basis not in ("as_reported", "as_restated"):
         raise ValueError(f"basis must be as_reported or as_restated, not {basis!r}")
-    chosen = resolve_concepts(facts, concepts)
-    rows = facts.join(chosen, ["cik", "period_year", "tag", "unit", "period_type"])
+    # As ``resolve_concepts``, but of the rows themselves: they are brought together by company and year once, for all that follows.
+    rows = facts.join(concepts.select("concept", "unit", "period_type", "tag_rank", "tag"), ["tag", "unit", "period_type"])
     keys = ["cik", "period_year", "concept", "tag", "tag_rank"]
-    annual = select_annual(rows, fiscal_year_ends(facts), ["cik", "period_year", "concept"])
+    annual = select_annual(rows, fiscal_year_ends(facts), ["cik", "period_year", "concept"], prefer="tag_rank")
     both = restatement(annual, keys, ("val", "period_start", "period_end", "form", "filed", "accn"))
     end = "first" if basis == "as_reported" else "last"
     return both.select(
