@@ -51,3 +51,41 @@ def test_text_commands(spark, tmp_path, capsys):
         assert main(["search", "--index", str(tmp_path / "i"), "--question", "credit loss", "--mode", mode, "-t", "a"]) == 0
     assert main(["search", "--index", str(tmp_path / "i"), "--question", "credit loss", "-t", "zz"]) == 1
     capsys.readouterr()
+
+
+def test_fetch_commands(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "c.yaml").write_text("companies:\n- {ticker: A, cik: 1, name: One, group: g, lender: true}\n- {ticker: B, cik: 2, name: Two, group: g, lender: false}\n")
+    asked = []
+
+    def transport(url):
+        asked.append(url)
+        if url.endswith("CIK0000000002.json"):
+            return 404, {}, ()
+        filing = {"accessionNumber": ["0000000001-25-000001"], "form": ["10-K"], "filingDate": ["2025-02-01"], "reportDate": ["2024-12-31"], "primaryDocument": ["a.htm"], "isXBRL": [1]}
+        files = [{"name": "CIK0000000001-submissions-001.json", "filingCount": 1, "filingFrom": "2010-01-01", "filingTo": "2011-01-01"}]
+        body = json.dumps({"cik": "1", "filings": {"recent": filing, "files": files}} if url.endswith("CIK0000000001.json") else {})
+        return 200, {}, [body.encode()]
+
+    monkeypatch.setattr("tidemark.cli.http_transport", lambda settings: transport)
+    how = ["--folder", str(tmp_path / "landing"), "--contact", "me@x.example", "--rate", "1000", "--companies", str(tmp_path / "c.yaml")]
+    assert main(["fetch-submissions", *how]) == 1  # one company has none
+    assert "status 404" in capsys.readouterr().out
+    assert (tmp_path / "landing/submissions/CIK0000000001-submissions-001.json").exists() or any("submissions-001" in u for u in asked)
+    assert main(["fetch-filings", *how, "-t", "A"]) == 0
+    assert {u.rsplit("/", 1)[1] for u in asked} >= {"a.htm", "0000000001-25-000001-index.htm"}
+    before = len(asked)
+    assert main(["fetch-companyfacts", *how, "-t", "A"]) == 0 and main(["fetch-companyfacts", *how, "-t", "A"]) == 0
+    assert len(asked) == before + 1  # the second time it is there
+
+
+def test_embed_command(spark, tmp_path, capsys):
+    text = "Credit losses rose. " * 30
+    rows = spark.createDataFrame([(f"f:{n}", text + str(n)) for n in range(4)], "chunk_id string, text string").selectExpr(
+        "chunk_id", "'1' cik", "'A' ticker", "'f' accession", "'10-K' form", "date'2024-12-31' period_end", "2024 fiscal_year", "array('7') items", "'p' section_path", "'d' document_name", "0L char_start", "9L char_end", "text",
+        "'s' text_sha256", "sha2(text, 256) digest", "'hashing' model",
+    )
+    tb.write_manifest(rows, str(tmp_path / "m"))
+    how = ["--manifest", str(tmp_path / "m"), "--cache", str(tmp_path / "v")]
+    assert main(["embed", *how, "--dry-run"]) == 0 and "4 to embed" in capsys.readouterr().out
+    assert main(["embed", *how, "--rounds", "2"]) == 0 and "4 embedded" in capsys.readouterr().out
+    assert main(["build-index", *how, "--index", str(tmp_path / "i")]) == 0 and "0 embedded\n4 indexed" in capsys.readouterr().out
