@@ -70,7 +70,10 @@ def test_fetch_commands(spark, tmp_path, capsys, monkeypatch):
     how = ["--folder", str(tmp_path / "landing"), "--contact", "me@x.example", "--rate", "1000", "--companies", str(tmp_path / "c.yaml")]
     assert main(["fetch-submissions", *how]) == 1  # one company has none
     assert "status 404" in capsys.readouterr().out
-    assert (tmp_path / "landing/submissions/CIK0000000001-submissions-001.json").exists() or any("submissions-001" in u for u in asked)
+    pages = tmp_path / "landing/misc/data.sec.gov/submissions"
+    assert (pages / "CIK0000000001-submissions-001.json").exists()
+    assert main(["filings", "--folder", str(tmp_path / "landing/submissions"), "--pages", str(pages), "--years", "1"]) == 0
+    assert "0000000001-25-000001" in capsys.readouterr().out
     assert main(["fetch-filings", *how, "-t", "A"]) == 0
     assert {u.rsplit("/", 1)[1] for u in asked} >= {"a.htm", "0000000001-25-000001-index.htm"}
     before = len(asked)

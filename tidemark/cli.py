@@ -98,7 +98,7 @@ def financials(spark: SparkSession, a: argparse.Namespace) -> int:
 def filings(spark: SparkSession, a: argparse.Namespace) -> int:
     payloads = js.text_files(spark, a.folder).where(F.col("name").rlike(r"^CIK\d{10}\.json$")).select(F.col("text").alias("json"))
     rows, pages = js.recent_filings(payloads, fi.ANNUAL_FORMS), js.older_pages(payloads)
-    read = js.text_files(spark, a.folder).where(F.col("name").contains("-submissions-"))
+    read = js.text_files(spark, a.pages or a.folder).where(F.col("name").contains("-submissions-"))
     older = js.page_filings(read.select(F.regexp_extract("name", r"CIK(\d{10})", 1).alias("cik"), F.col("text").alias("json")), fi.ANNUAL_FORMS)
     rows = rows.unionByName(older)
     unread = pages.join(read.select("name"), "name", "left_anti")
@@ -242,7 +242,7 @@ def _parser() -> argparse.ArgumentParser:
     command(landing, ("--folder", need))
     command(coverage, facts, concepts, companies, ticker, ("--years", {"type": int, "nargs": 2, "default": [2022, 2025]}))
     command(financials, facts, concepts, companies, ticker, ("--concept", need), ("--year", need | {"type": int}), ("--basis", {"default": "as_restated", "choices": ["as_reported", "as_restated"]}))
-    command(filings, ("--folder", need), ("--years", {"type": int, "default": 3}))
+    command(filings, ("--folder", need), ("--pages", {"help": "where older pages are, if elsewhere"}), ("--years", {"type": int, "default": 3}))
     command(sections, texts, ("--threshold", {"type": float, "default": 0.9}), ("--out", {}), ("--chunker", {"default": "item_aware", "choices": ["item_aware", "fixed_window"]}))
     command(show, texts, ("--accession", need), ("--item", need))
     encoding = ("--encoder", {"help": "address of an encoder; words are hashed without one"}), ("--model", {"default": "hashing"})
