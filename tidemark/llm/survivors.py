@@ -15,7 +15,7 @@ from tidemark.session import checkpointed
 
 query = Registry()
 
-#: Figures with more rows than this are not gone through in order, each in one task: all their kinds go to the grid.
+#: Figures with more rows than this in one spelling are not gone through in order, each in one task: all their kinds go to the grid.
 HOT = 1_000_000
 #: What a null trust counts as: earlier than any other.
 _NEVER = "0001-01-01 00:00:00"
@@ -82,6 +82,7 @@ def copies(
     facts: DataFrame,
     *,
     figure: Sequence[Column],
+    spelled: Sequence[Column] | None = None,
     filing: Column,
     days: Sequence[str] = ("period_end", "filed"),
     within_days: int = 7,
@@ -99,7 +100,8 @@ def copies(
 
     Two rows are linked if all of ``figure`` are equal (nulls too), each of ``days`` differs by less than
     ``within_days``, ``val`` by at most ``tolerance`` of the greater amount, and ``filing`` is equal or empty in one; a
-    group is all that links lead to. Rows with a null or NaN value, a null day or a null id belong to no group and do not come out.
+    group is all that links lead to. ``spelled`` may name columns from which ``figure`` follows and which are cheaper to
+    count by; it changes nothing of the result. Rows with a null or NaN value, a null day or a null id belong to no group and do not come out.
 
     Method: rows are combined into kinds on the map side, then sorted by one property after the other; a gap that no
     link can bridge parts them, which rules out links but states none. In most of the segments that are left any two kinds are
@@ -107,7 +109,7 @@ def copies(
     components of these links.
 
     Scale: an exact copy costs nothing after the map side, whatever share of all rows it is. All sorts share one partitioning by
-    figure; a figure of more than ``HOT`` rows is not sorted but goes to the grid, which spreads it by days and values. Segments that are not
+    figure; a figure of more than ``HOT`` rows of one spelling is not sorted but goes to the grid, which spreads it by days and values. Segments that are not
     alone are written to the checkpoint folder. No segment is gathered; candidates of the unclear ones grow in proportion to their kinds.
     ``figure`` is hashed to 64 bits; as a link also needs near days and values, figures with one hash would still have to agree on these.
     """
@@ -129,8 +131,10 @@ def copies(
     kinds = rows.groupBy("figure", *own, "val", "accn", "mask").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max(F.struct("trust", (-F.col("id")).alias("i"))).alias("best")
     )
-    hot = checkpointed(rows.groupBy("figure").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("figure"))
-    any_hot = not hot.isEmpty()
+    written = facts.select(F.xxhash64(*(spelled or figure)).alias("w"), _digest(figure).alias("figure"))
+    often = checkpointed(written.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("w"))
+    any_hot = not often.isEmpty()
+    hot = checkpointed(written.join(often, "w", "left_semi").select("figure").distinct()) if any_hot else None
     parted, seg = (kinds.join(hot, "figure", "left_anti") if any_hot else kinds).repartition("figure"), ["figure"]
     for c in reversed(own):
         parted, seg = _split(parted, seg, c, lambda low, high: high - low >= within_days)
@@ -170,6 +174,7 @@ def _facts_copies(facts: DataFrame) -> DataFrame:
     return copies(
         facts,
         figure=[F.coalesce(cik10("cik"), low("cik")), low("tag"), low("unit"), F.col("period_start")],
+        spelled=[F.col(c) for c in ("cik", "tag", "unit", "period_start")],
         filing=F.regexp_replace(F.coalesce(low("accn"), F.lit("")), "[^0-9a-z]", ""),
     )
 
