@@ -222,12 +222,13 @@ def near_duplicate_groups(df: DataFrame, *, id_col: str = "row_id", n: int = 5,
     """
     signed, reps, keys = _index(df, id_col, n)
     how = {"id_col": id_col, "n": n, "similarity": similarity}
-    reps, keys = checkpointed(reps), checkpointed(keys)
+    # Most buckets have one text: only the others are kept, with the first text of each.
     hubs = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    tried = checkpointed(keys.join(hubs, "key").where("a < id").select("a", F.col("id").alias("b")).distinct())
+    shared = checkpointed(keys.join(hubs, "key"))
+    tried = checkpointed(shared.where("a < id").select("a", F.col("id").alias("b")).distinct())
     links = checkpointed(_checked(df, tried, reps, **how).select("a", "b"))
     grouped = checkpointed(components(links))
-    placed = keys.join(grouped, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+    placed = shared.select("key", "id").join(grouped, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
     mixed = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("n"))
     mixed = checkpointed(mixed.groupBy("key").agg(F.max_by("g", "n").alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("key", "main"))
     inside = placed.join(mixed, "key")
