@@ -16,6 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     with the logarithm of the longest chain. Each round is a checkpoint. Null ends and links of an id to itself are ignored.
     """
     links = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
+    if links.isEmpty():
+        return links.toDF("id", "component")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

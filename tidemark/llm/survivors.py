@@ -113,6 +113,8 @@ def copies(
     alone are written to the checkpoint folder. No segment is gathered; candidates of the unclear ones grow in proportion to their kinds.
     ``figure`` is hashed to 64 bits; as a link also needs near days and values, figures with one hash would still have to agree on these.
     """
+    if not (0 < tolerance < 1 and within_days > 0):
+        raise ValueError("0 < tolerance < 1 and within_days > 0 must hold")
     d = [F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) for c in days]
     full = [F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(filled)]
     mask = full[0]
