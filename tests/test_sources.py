@@ -205,3 +205,35 @@ def test_context(spark):
     got = row.select(ma.contextual_prefix(*[F.col(c) for c in "ntfpi"]), ma.contextual_prefix(*[F.col(c) for c in "ntfpe"]), ma.section_path(F.col("f"), F.col("e"))).first()
     assert got[0] == "One Co (ONE) · 10-K · period ending 2024-12-31 · Item 7. Management's Discussion and Analysis; Item 7A. Quantitative and Qualitative Disclosures About Market Risk"
     assert got[1].endswith("· full document") and got[2] == "10-K"
+
+
+def test_folders_of_facts_do_not_grow_with_companies(spark, tmp_path):
+    from tidemark import schemas
+
+    def facts(keys, val):
+        rows = spark.createDataFrame([(c, y, val) for c, y in keys], "cik string, period_year int, val double")
+        return rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast(t).alias(n) for n, t in (x.strip().split(" ") for x in schemas.FACTS.split(","))])
+
+    path = str(tmp_path / "f")
+    keys = [(None if i == 0 else f"{i:010d}", y) for i in range(100) for y in (2023, 2024, None)]
+    tb.write_facts(facts(keys, 1.0), path)
+    folders = {p.parent for p in (tmp_path / "f").rglob("*.parquet")}
+    assert len(folders) < 100  # of 300 companies and years
+    again = [(None, 2023), (None, None), ("0000000007", 2024), ("0000000008", None), ("0000000100", 2024), ("0000000100", 2025)]
+    tb.write_facts(facts(again, 2.0), path)
+    tb.write_facts(facts([], 3.0), path)
+    want = dict.fromkeys(keys, 1.0) | dict.fromkeys(again, 2.0)
+    assert sorted(map(repr, (((r["cik"], r["period_year"]), r["val"]) for r in tb.read_facts(spark, path).collect()))) == sorted(map(repr, want.items()))
+    tb.write_facts(tb.read_facts(spark, path).where("period_year = 2025").withColumn("val", F.lit(4.0)), path)  # read from where it is written to
+    assert tb.read_facts(spark, path).count() == len(want) and tb.read_facts(spark, path).where("val = 4").count() == 1
+
+
+def test_facts_of_an_earlier_layout_stay(spark, tmp_path):
+    from tidemark import schemas
+
+    path = str(tmp_path / "f")
+    facts = spark.createDataFrame([(None,) * 15], schemas.FACTS).withColumns({"cik": F.lit("0000000001"), "period_year": F.lit(2024)})
+    facts.write.partitionBy("cik", "period_year").parquet(path)
+    with pytest.raises(ValueError, match="earlier version"):
+        tb.write_facts(facts, path)
+    assert [r["cik"] for r in tb.read_facts(spark, path).collect()] == ["0000000001"]

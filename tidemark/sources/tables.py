@@ -10,28 +10,69 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import manifest as ma
 from tidemark.operators.search import lexical_index
-from tidemark.session import ship
+from tidemark.session import scratch, ship
+
+
+#: Fixed value, by which tables on disk go: the companies of a year are dealt to so many folders.
+SHARES = 16
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _put_facts(rows: DataFrame, path: str) -> None:
+    """Rows are brought together by folder, but a large folder goes to as many tasks as its bytes need; companies are sorted in its files."""
+    by = ["period_year", "share"]
+    dealt = rows.withColumn("share", _share()).hint("rebalance", *by)
+    ordered = dealt.sortWithinPartitions(*by, "cik", "tag", "period_end", "filed")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def _share() -> Column:
+    return F.pmod(F.xxhash64("cik"), F.lit(SHARES)).cast("int").alias("share")
 
 
 def write_facts(facts: DataFrame, path: str) -> None:
-    """Replace exactly the companies and years that are in ``facts``; others stay.
+    """Replace exactly the companies and years that are in ``facts``; others stay. One writer at a time.
 
-    Rows are brought together by company and year, but a large company's year goes to as many tasks as its bytes need.
+    A folder has one year of a share of the companies: with one for each company they would grow as the table. The other companies of a folder
+    that is replaced are written again; ``facts`` is computed once, beside the table.
     """
-    rows = facts.select(*schemas.names(schemas.FACTS)).hint("rebalance", "cik", "period_year")
-    ordered = rows.sortWithinPartitions("cik", "period_year", "tag", "period_end", "filed")
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cik", "period_year").parquet(path)
+    spark, columns = facts.sparkSession, schemas.names(schemas.FACTS)
+    rows = facts.select(*columns)
+    old = spark.read.schema(schemas.FACTS).parquet(path) if _exists(spark, path) else None
+    if old is None or "share" not in old.columns:
+        if old is not None and old.inputFiles():
+            raise ValueError(f"{path} has a folder for each company, of an earlier version; facts are to be ingested into a new one")
+        return _put_facts(rows, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "facts-new"))
+    try:
+        rows.write.parquet(at.toString())
+        new = spark.read.schema(rows.schema).parquet(at.toString())
+        folders: dict[int | None, list[int]] = {}
+        for year, share in new.select("period_year", _share()).distinct().collect():  # SHARES a year at most
+            folders.setdefault(year, []).append(share)
+        within = F.lit(False)
+        for year, shares in folders.items():
+            within |= F.col("period_year").eqNullSafe(year) & F.col("share").isin(shares)
+        named = new.select(F.col("cik").alias("__cik"), F.col("period_year").alias("__year")).distinct()
+        same = F.col("cik").eqNullSafe(F.col("__cik")) & F.col("period_year").eqNullSafe(F.col("__year"))
+        _put_facts(new.unionByName(old.where(within).join(named, same, "left_anti").select(*columns)), path)
+    finally:
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """With the schema given, so that keys keep their zeros."""
-    return spark.read.schema(schemas.FACTS).parquet(path)
+    return spark.read.schema(schemas.FACTS).parquet(path).select(*schemas.names(schemas.FACTS))
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
@@ -55,12 +96,8 @@ class VectorCache:
         self.spark, self.width = spark, width
         self.path = f"{root}/{safe_name(f'{model}@{width}')}"
 
-    def _exists(self) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
     def read(self) -> DataFrame:
-        if not self._exists():
+        if not _exists(self.spark, self.path):
             return self.spark.createDataFrame([], schemas.VECTORS)
         return self.spark.read.schema(schemas.VECTORS).parquet(self.path)
 
@@ -78,7 +115,7 @@ class VectorCache:
         vectors.select("digest", fits.alias("vector"), F.lit(part_no).alias("part_no")).write.mode("append").parquet(self.path)
 
     def stats(self) -> DataFrame:
-        if not self._exists():
+        if not _exists(self.spark, self.path):
             return self.read().agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("files"), F.lit(0).cast("bigint").alias("bytes"))
         rows = self.read().select("_metadata.file_path", "_metadata.file_size")
         files = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.max("file_size").alias("b"))
